@@ -1,8 +1,8 @@
 """Mixed timestamp notations and time zones, brought to one UTC instant.
 
 Everything is a built-in expression: each notation is one anchored pattern that rewrites the text
-to ``year|month|day|hour|minute|second|fraction|half|zone``; date arithmetic is on integers, so
-no row can raise. Zones come in this order: in the text, a separate offset, a named zone, UTC.
+to ``year|month|day|hour|minute|second|fraction|half|zone``, and a forgiving cast checks the date and
+applies the zone, so no row can raise. Zones come in this order: in the text, a separate offset, a named zone, UTC.
 
 ``estimate_zones`` picks, for groups whose zone is unknown, the candidate zone (an offset history)
 that violates the fewest observations.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Zone abbreviations and their minutes east of UTC.
@@ -22,7 +22,7 @@ ABBREVIATIONS = {
 }
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-_TAIL = r"\s*([AaPp][Mm])?\s*(.*)$"
+_TAIL = r"\s*([AaPp][Mm](?![A-Za-z]))?\s*(.*)$"
 
 #: (pattern, replacement). Replacements have nine parts; month may be a name.
 _NOTATIONS: list[tuple[str, str]] = [
@@ -39,88 +39,55 @@ _SLASHES = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:,?\s+" + _CLOCK + ")?" + _TAIL
 _DAY_FIRST, _MONTH_FIRST = "$3|$2|$1|$4|$5|$6|$7|$8|$9", "$3|$1|$2|$4|$5|$6|$7|$8|$9"
 
 
-def known_zones(spark: SparkSession) -> list[str]:
-    """Names of zones that the JVM can convert (some 600)."""
-    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
-
-
-def _days(y: Column, m: Column, d: Column) -> Column:
-    """Days from 1970-01-01 of a proleptic Gregorian date, in integers."""
-    yy = y - F.when(m <= 2, 1).otherwise(0)
-    era = F.floor(yy / 400)
-    yoe = yy - era * 400
-    doy = F.floor((153 * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5) + d - 1
-    doe = yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + doy
-    return era * 146097 + doe - 719468
-
-
-def parse_local(text: Column, day_first: Column) -> tuple[Column, Column]:
-    """(local microseconds since 1970 or null, zone text) of a notation; impossible dates are null."""
-    s = F.trim(F.regexp_replace(F.trim(text), r"^\(\s*(.*?)\s*\)$", "$1"))
-    canon = F.when(s.rlike(_SLASHES), F.when(F.coalesce(day_first, F.lit(True)), F.regexp_replace(s, _SLASHES, _DAY_FIRST)).otherwise(F.regexp_replace(s, _SLASHES, _MONTH_FIRST)))
-    for pattern, parts in _NOTATIONS:
-        canon = canon.when(s.rlike(pattern), F.regexp_replace(s, pattern, parts))
-    return canon, s
-
-
-def _number(c: Column, default: int) -> Column:
-    return F.coalesce(c.try_cast("bigint"), F.lit(default).cast("bigint"))
+def _zone_name(tail: Column) -> Column:
+    """A zone that a cast understands, from the text behind a time; '' for none, null when it is no zone."""
+    z = F.regexp_replace(tail, r"[\[\]' :]", "")
+    fixed = F.create_map(*[F.lit(x) for name, m in ABBREVIATIONS.items() for x in (name, f"{'-' if m < 0 else '+'}{abs(m) // 60:02d}:{abs(m) % 60:02d}")])
+    return (
+        F.when(z == "", F.lit(""))
+        .when(z.rlike(r"^[+-]\d{4}$"), F.regexp_replace(z, r"^(...)(..)$", "$1:$2"))
+        .when(z.rlike(r"^[+-]\d{2}$"), F.concat(z, F.lit(":00")))
+        .when(z.rlike(r"^[+-]\d$"), F.regexp_replace(z, r"^(.)(.)$", "$10$2:00"))
+        .when(z.rlike("^Z0+$"), F.lit("+00:00"))
+        .when(z.rlike("^[A-Za-z]+/[A-Za-z]"), z)
+        .otherwise(F.try_element_at(fixed, F.upper(z)))
+    )
 
 
 def normalise_timestamps(df: DataFrame, text: str, offset_minutes: str, zone: str, day_first: str, out: str = "utc_us") -> DataFrame:
     """``df`` with ``out``: microseconds since 1970-01-01 UTC, or null where ``text`` denotes no possible date.
 
     Null, blank and unparsable texts give null. Missing parts take their lowest value. Digits alone
-    are a date when they have 4, 6, 8, 12 or 14 places and fit one, else seconds (under 12 places),
-    milliseconds (12 to 14) or microseconds since 1970, when they have at least 9 places. The zone
-    is the one in the text, else ``offset_minutes``, else ``zone``, else UTC; a text with a zone
-    that is not understood gives null, an unknown name in ``zone`` counts as none. A local time
-    that occurs twice is the earlier instant; one that is skipped moves forward by the gap. A null
-    ``day_first`` means day first.
+    are a date when they have 4, 6, 8, 12 or 14 places and fit one, else seconds (9 to 11 places),
+    milliseconds (12, 13) or microseconds (15 and more) since 1970. The zone is the one in the text,
+    else ``offset_minutes``, else ``zone``, else UTC; a text with a zone that is not understood gives
+    null, an unknown name in ``zone`` counts as none. A local time that occurs twice is the earlier
+    instant; one that is skipped moves forward by the gap. A null ``day_first`` means day first.
     """
-    zones = known_zones(df.sparkSession)
-    canon, s = parse_local(F.col(text), F.col(day_first))
-    d = df.withColumn("_s", s).withColumn("_p", F.split(canon, r"\|"))
-    p = lambda i: F.try_element_at("_p", F.lit(i + 1))
-    month = F.lower(F.substring(p(1), 1, 3))
-    names = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
-    half = F.upper(p(7))
-    hour = _number(p(3), 0)
-    d = (
-        d.withColumn("_y", p(0).try_cast("bigint"))
-        .withColumn("_m", F.when(p(1).rlike("^[A-Za-z]"), F.array_position(names, month)).otherwise(_number(p(1), 1)))
-        .withColumn("_d", _number(p(2), 1))
-        .withColumn("_h", F.when((half.isin("AM", "PM")) & ~hour.between(1, 12), F.lit(99)).when(half == "AM", hour % 12).when(half == "PM", hour % 12 + 12).otherwise(hour))
-        .withColumn("_mi", _number(p(4), 0))
-        .withColumn("_sec", _number(p(5), 0))
-        .withColumn("_us", F.substring(F.rpad(F.coalesce(p(6), F.lit("")), 9, "0"), 1, 6).try_cast("bigint"))
-        .withColumn("_z", F.regexp_replace(F.coalesce(p(8), F.lit("")), r"[\[\]' :]", ""))
-    )
-    leap = ((F.col("_y") % 4 == 0) & (F.col("_y") % 100 != 0)) | (F.col("_y") % 400 == 0)
-    longest = F.when(F.col("_m") == 2, F.when(leap, 29).otherwise(28)).when(F.col("_m").isin(4, 6, 9, 11), 30).otherwise(31)
-    possible = F.col("_y").between(1, 9999) & F.col("_m").between(1, 12) & F.col("_d").between(1, longest) & F.col("_h").between(0, 23) & F.col("_mi").between(0, 59) & F.col("_sec").between(0, 59)
-    local = ((_days(F.col("_y"), F.col("_m"), F.col("_d")) * 24 + F.col("_h")) * 60 + F.col("_mi")) * 60 + F.col("_sec")
-    d = d.withColumn("_local", F.when(possible, local.cast("bigint") * 1_000_000 + F.col("_us")))
-
-    z, short = F.col("_z"), F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    numeric = z.rlike(r"^[+-]\d{1,2}(\d{2})?$")
-    digits = F.regexp_replace(z, "[+-]", "")
-    hours = F.when(F.length(digits) > 2, F.expr("substring(regexp_replace(_z, '[+-]', ''), 1, length(regexp_replace(_z, '[+-]', '')) - 2)")).otherwise(digits).try_cast("bigint")
-    minutes = F.when(F.length(digits) > 2, F.substring(digits, -2, 2).try_cast("bigint")).otherwise(F.lit(0))
-    in_text = (
-        F.when(numeric & hours.between(0, 18) & minutes.between(0, 59), (hours * 60 + minutes) * F.when(z.startswith("-"), -1).otherwise(1))
-        .when(z.rlike(r"^Z0+$"), F.lit(0))
-        .otherwise(F.try_element_at(short, F.upper(z)))
-    )
-    d = d.withColumn("_text_off", in_text.cast("bigint")).withColumn("_text_zone", F.when(F.col("_text_off").isNull() & z.isin(zones), z))
-    named = F.when(F.col("_text_zone").isNotNull(), F.col("_text_zone")).when((z == "") & F.col(offset_minutes).isNull() & F.col(zone).isin(zones), F.col(zone))
-    fixed = F.when(F.col("_text_off").isNotNull(), F.col("_text_off")).when(z == "", F.coalesce(F.col(offset_minutes).cast("bigint"), F.lit(0)))
-    n = F.col("_s").try_cast("bigint")
-    places = F.length("_s")
-    epoch = F.when(F.col("_s").rlike(r"^\d{9,18}$") & ~(places.isin(14) | (places.isin(12) & F.col("_local").isNotNull())), F.when(places < 12, n * 1_000_000).when(places < 15, n * 1000).otherwise(n))
-    shifted = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("_local")), F.col("_named")))
-    d = d.withColumn("_named", named)
-    utc = F.when(epoch.isNotNull(), epoch).when(F.col("_named").isNotNull(), shifted).otherwise(F.col("_local") - fixed * 60_000_000)
+    s = F.trim(F.regexp_replace(F.trim(F.col(text)), r"^\(\s*(.*?)\s*\)$", "$1"))
+    canon = F.when(F.col("_s").rlike(_SLASHES), F.when(F.coalesce(F.col(day_first), F.lit(True)), F.regexp_replace("_s", _SLASHES, _DAY_FIRST)).otherwise(F.regexp_replace("_s", _SLASHES, _MONTH_FIRST)))
+    for pattern, parts in _NOTATIONS:
+        canon = canon.when(F.col("_s").rlike(pattern), F.regexp_replace("_s", pattern, parts))
+    # the lambda keeps this projection out of the whole-stage method, which would grow too large to compile
+    d = df.withColumn("_s", s).withColumn("_p", F.transform(F.split(canon, r"\|"), lambda x: F.trim(x)))
+
+    def part(i: int, default: str = "") -> Column:
+        return F.coalesce(F.nullif(F.try_element_at("_p", F.lit(i + 1)), F.lit("")), F.lit(default))
+
+    names = F.create_map(*[F.lit(x) for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1) for x in (m, str(i))])
+    month = F.when(part(1).rlike("^[A-Za-z]"), F.try_element_at(names, F.lower(F.substring(part(1), 1, 3)))).otherwise(part(1, "1"))
+    twelve = part(3).try_cast("int")
+    hour = F.when(part(7) == "", part(3, "0")).when(twelve.between(1, 12), (twelve % 12 + F.when(F.upper(part(7)) == "PM", 12).otherwise(0)).cast("string"))
+    day = F.concat(part(0), F.lit("-"), month, F.lit("-"), part(2, "1"), F.lit(" "))
+    clock = F.concat(hour, F.lit(":"), part(4, "0"), F.lit(":"), part(5, "0"), F.lit("."), part(6, "0"))
+    d = d.withColumn("_local", F.when(part(0).rlike("[1-9]"), F.concat(day, clock, F.lit(" ")))).withColumn("_zone", F.when(F.col("_p").isNotNull(), _zone_name(part(8))))
+    offset = F.when(F.col("_zone") == "", F.col(offset_minutes)).cast("bigint")
+    as_utc = F.unix_micros(F.concat("_local", F.lit("+00:00")).try_cast("timestamp"))
+    there = F.when(F.col("_zone") != "", F.col("_zone")).when(F.col("_zone") == "", F.col(zone))
+    in_zone = F.unix_micros(F.concat("_local", there).try_cast("timestamp"))
+    n, places = F.col("_s").try_cast("bigint"), F.length("_s")
+    epoch = F.when(F.col("_s").rlike(r"^\d{9,18}$") & (places != 14) & ~((places == 12) & as_utc.isNotNull()), F.when(places < 12, n * 1_000_000).when(places < 14, n * 1000).otherwise(n))
+    utc = F.when(epoch.isNotNull(), epoch).when(offset.isNotNull(), as_utc - offset * 60_000_000).when(F.col("_zone") == "", F.coalesce(in_zone, as_utc)).otherwise(in_zone)
     return d.select(*[F.col(f"`{c}`") for c in df.columns if c != out], utc.alias(out))
 
 
@@ -133,16 +100,17 @@ def estimate_zones(df: DataFrame, group: list[str], local_us: str, seen_us: str,
     observations; groups without one are left out. One aggregation with a column per candidate, so
     a hot group is combined before the shuffle.
     """
-    known = [z for z in candidates if z in set(known_zones(df.sparkSession))]
+    known = list(dict.fromkeys(candidates))
     if not known:
-        raise ValueError("no candidate zone is known")
+        raise ValueError("there is no candidate zone")
 
     def violated(zone: str) -> Column:
         utc = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col(local_us)), zone))
         return (utc != F.col(seen_us)) if exact else (utc > F.col(seen_us))
 
-    rows = df.dropna(subset=[local_us, seen_us])
-    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_seen"), *[F.count_if(violated(z)).alias(f"_v{i}") for i, z in enumerate(known)])
+    # no filter on the two times: it would be pushed down and parse every text a second time
+    both = F.col(local_us).isNotNull() & F.col(seen_us).isNotNull()
+    counts = df.groupBy(*group).agg(F.count_if(both).alias("n_seen"), *[F.count_if(both & violated(z)).alias(f"_v{i}") for i, z in enumerate(known)]).where("n_seen > 0")
     best = F.array_min(F.array(*[F.struct(F.col(f"_v{i}").alias("v"), F.lit(i).alias("i")) for i in range(len(known))]))
     names = F.array(*[F.lit(z) for z in known])
     return counts.withColumn("_best", best).select(*group, F.element_at(names, F.col("_best.i") + 1).alias("zone"), "n_seen", F.col("_best.v").alias("n_violations"))
