@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import bpe, packing
+from quireflow.llm import bpe, encodings, packing
 from quireflow.session import cut, table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.find_garbled(table(spark, d, "text_objects")).select("text_object_id", "field_name", "item_no").distinct()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled strings with the chain that garbled them and the original, null where it is lost."""
+    return encodings.find_garbled(table(spark, d, "text_objects")).distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -31,7 +40,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p2_found, p2_repaired, p6_ids, p7_containers, p7_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
