@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import bpe, encodings, packing
+from quireflow.llm import bpe, encodings, language, packing
 from quireflow.session import cut, table
 
 
@@ -39,8 +39,23 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return total.join(F.broadcast(specs), "spec_id").select("spec_id", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(language.judge_documents(table(spark, d, "documents"))).distinct()
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every language of every post with its share of the words and a confidence."""
+    return language.shares(language.judge_documents(table(spark, d, "documents")))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage of one language, in order, with its number of words and a confidence."""
+    judged = language.judge_documents(table(spark, d, "documents"))
+    return judged.select("doc_id", F.posexplode("spans").alias("passage_no", "s")).select("doc_id", "passage_no", "s.lang", "s.confidence", "s.n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_repaired, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p2_found, p2_repaired, p6_ids, p7_containers, p7_fill, p8_found, p8_languages, p8_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
