@@ -78,10 +78,10 @@ def integer_limits(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", scalars.parse_as("i32", _text(F.col("o_orderkey") * 1000003)).alias("as_i32"), scalars.parse_as("i16", _text(F.col("o_orderkey"))).alias("as_i16"), scalars.parse_as("nonzero_u8", _text(F.col("o_orderkey"))).alias("as_nonzero_u8"))
 
 
-@_query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS flag, o_orderstatus NOT IN ('F', 'O') AS is_null FROM orders")
+@_query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' END AS flag, o_orderstatus NOT IN ('F', 'O') AS is_null FROM orders")
 def booleans(spark: SparkSession, d: str) -> DataFrame:
     word = _text(F.when(F.col("o_orderstatus") == "F", "true").when(F.col("o_orderstatus") == "O", "false").otherwise("null"))
-    return table(spark, d, "orders").select("o_orderkey", scalars.boolean(word).alias("flag"), scalars.is_null(word).alias("is_null"))
+    return table(spark, d, "orders").select("o_orderkey", scalars.boolean(word).cast("string").alias("flag"), scalars.is_null(word).alias("is_null"))
 
 
 @_query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(day(o_orderdate) AS INTEGER) AS day,
@@ -273,7 +273,7 @@ def object_stream(spark: SparkSession, d: str) -> DataFrame:
     return scalars.project(m, "m", [FieldSpec("name", lambda c: scalars.text(scalars.string(c))), FieldSpec("size", scalars.integer)]).select("p_partkey", "name", "size")
 
 
-@_query("SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || l_returnflag, chr(10) ORDER BY l_linenumber) AS content FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem) GROUP BY 1")
+@_query("SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || l_returnflag, chr(10) ORDER BY l_linenumber, l_returnflag) AS content FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem) GROUP BY 1")
 def content_concat(spark: SparkSession, d: str) -> DataFrame:
     """Binary parts of a group in order, a line feed between them."""
     parts = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _text(F.col("l_linenumber"), F.col("l_returnflag")).alias("part")).distinct()
@@ -309,12 +309,13 @@ def operators_count(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT text_object_id, font, font_size, coalesce(pos_x, 0) + CASE WHEN pos_y IS NULL THEN -coalesce(pos_x, 0) ELSE 0 END AS x0, CASE WHEN pos_x IS NULL THEN 0 ELSE coalesce(pos_y, 0) END AS y0, -1 AS pos, text_buffer AS txt, CAST(NULL AS FLOAT) AS shift FROM t
       UNION ALL SELECT text_object_id, font, font_size, coalesce(pos_x, 0) + CASE WHEN pos_y IS NULL THEN -coalesce(pos_x, 0) ELSE 0 END, CASE WHEN pos_x IS NULL THEN 0 ELSE coalesce(pos_y, 0) END, pos, x.txt, CASE WHEN x.txt IS NULL THEN x.shift END FROM i),
     w AS (SELECT *, sum(coalesce(CAST(shift AS DOUBLE), 0)) OVER (PARTITION BY text_object_id ORDER BY pos) AS moved FROM s)
-    SELECT text_object_id, CAST(row_number() OVER (PARTITION BY text_object_id ORDER BY pos) - 1 AS INTEGER) AS span_ord, CAST(round((x0 - moved / 1000) * 1000) AS BIGINT) AS x_thousandth, CAST(round(y0 * 1000) AS BIGINT) AS y_thousandth, txt AS text,
+    SELECT text_object_id, CAST(row_number() OVER (PARTITION BY text_object_id ORDER BY pos) - 1 AS INTEGER) AS span_ord, CAST(floor((x0 - moved / 1000 + 0.0001) * 10) AS BIGINT) AS x_tenth, CAST(floor((y0 + 0.0001) * 10) AS BIGINT) AS y_tenth, txt AS text,
       CASE WHEN font_size IS NULL THEN NULL ELSE font END AS font, CASE WHEN font IS NULL THEN NULL ELSE font_size END AS font_size FROM w WHERE txt IS NOT NULL""")
 def text_positions(spark: SparkSession, d: str) -> DataFrame:
     spans = textstate.text_spans(operators_of(_text_content(spark, d), ["text_object_id"], "content"), ["text_object_id"])
-    milli = lambda c: F.round(F.col(c).cast("double") * 1000).cast("bigint")
-    return spans.select("text_object_id", "span_ord", milli("x").alias("x_thousandth"), milli("y").alias("y_thousandth"), "text", "font", "font_size")
+    # positions are single floats: tenths are compared, away from their edges
+    tenth = lambda c: F.floor((F.col(c).cast("double") + 0.0001) * 10).cast("bigint")
+    return spans.select("text_object_id", "span_ord", tenth("x").alias("x_tenth"), tenth("y").alias("y_tenth"), "text", "font", "font_size")
 
 
 @_query("""WITH t AS (SELECT DISTINCT text_object_id, text_buffer, buffer FROM text_objects)
