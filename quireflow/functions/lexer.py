@@ -108,6 +108,8 @@ def name_value(token: bytes) -> Name:
 
 
 def number(token: bytes) -> int | float:
+    if len(token) > 300:
+        raise SyntaxProblem("a number without end")
     return float(token) if b"." in token else int(token)
 
 
@@ -297,7 +299,7 @@ def operations(data: bytes) -> tuple[list[Operation], int]:
         if m is None:
             break
         kind = m.lastgroup
-        if kind == "num":
+        if kind == "num" and m.end() - at <= 300:
             operands.append(number(m[0]))
             at = skip(data, m.end())
             continue

@@ -38,9 +38,9 @@ def missing_keys(keys: DataFrame, parents: DataFrame, key: list[str], at: str, v
     )
     l, r, e = keys.alias("l"), lasting.alias("r"), ended.alias("e")
     same = lambda a, b: [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in key]
-    rest = l.join(r, [*same("l", "r"), F.col("r._from") <= F.col(f"l.{at}")], "left_anti").withColumn("_at_month", month(at)).alias("l")
-    cond = [*same("l", "e"), F.col("l._at_month") == F.col("e._month"), F.col("e._from") <= F.col(f"l.{at}"), F.col("e._to") > F.col(f"l.{at}")]
-    return rest.join(e, cond, "left_anti").drop("_at_month")
+    rest = l.join(r, [*same("l", "r"), F.col("r._from") <= F.col(f"l.{at}")], "left_anti").withColumn("_qf_month", month(at)).alias("l")
+    cond = [*same("l", "e"), F.col("l._qf_month") == F.col("e._month"), F.col("e._from") <= F.col(f"l.{at}"), F.col("e._to") > F.col(f"l.{at}")]
+    return rest.join(e, cond, "left_anti").drop("_qf_month")
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], at: str = "at", valid_from: str = "recorded_at", valid_to: str = "removed_at") -> DataFrame:
@@ -50,10 +50,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], at: s
     reference with a null key column is none and is left out; a null time is before everything,
     so such a reference is always an orphan. Repeated rows stay repeated.
     """
-    real = refs.dropna(subset=key).withColumn("_at", F.coalesce(_moment(F.col(at)), F.expr(NEVER)))
-    keys = real.select(*key, "_at").distinct()
-    lost = missing_keys(keys, parents, key, "_at", valid_from, valid_to)
-    return real.join(lost, [*key, "_at"], "left_semi").drop("_at")
+    real = refs.dropna(subset=key).withColumn("_qf_at", F.coalesce(_moment(F.col(at)), F.expr(NEVER)))
+    keys = real.select(*key, "_qf_at").distinct()
+    lost = missing_keys(keys, parents, key, "_qf_at", valid_from, valid_to)
+    return real.join(lost, [*key, "_qf_at"], "left_semi").select(*[F.col(f"`{c}`") for c in refs.columns])
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame, by: list[str]) -> DataFrame:

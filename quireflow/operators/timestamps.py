@@ -65,14 +65,14 @@ def normalise_timestamps(df: DataFrame, text: str, offset_minutes: str, zone: st
     instant; one that is skipped moves forward by the gap. A null ``day_first`` means day first.
     """
     s = F.trim(F.regexp_replace(F.trim(F.col(text)), r"^\(\s*(.*?)\s*\)$", "$1"))
-    canon = F.when(F.col("_s").rlike(_SLASHES), F.when(F.coalesce(F.col(day_first), F.lit(True)), F.regexp_replace("_s", _SLASHES, _DAY_FIRST)).otherwise(F.regexp_replace("_s", _SLASHES, _MONTH_FIRST)))
+    canon = F.when(F.col("_qf_s").rlike(_SLASHES), F.when(F.coalesce(F.col(day_first), F.lit(True)), F.regexp_replace("_qf_s", _SLASHES, _DAY_FIRST)).otherwise(F.regexp_replace("_qf_s", _SLASHES, _MONTH_FIRST)))
     for pattern, parts in _NOTATIONS:
-        canon = canon.when(F.col("_s").rlike(pattern), F.regexp_replace("_s", pattern, parts))
+        canon = canon.when(F.col("_qf_s").rlike(pattern), F.regexp_replace("_qf_s", pattern, parts))
     # the lambda keeps this projection out of the whole-stage method, which would grow too large to compile
-    d = df.withColumn("_s", s).withColumn("_p", F.transform(F.split(canon, r"\|"), lambda x: F.trim(x)))
+    d = df.withColumn("_qf_s", s).withColumn("_qf_p", F.transform(F.split(canon, r"\|"), lambda x: F.trim(x)))
 
     def part(i: int, default: str = "") -> Column:
-        return F.coalesce(F.nullif(F.try_element_at("_p", F.lit(i + 1)), F.lit("")), F.lit(default))
+        return F.coalesce(F.nullif(F.try_element_at("_qf_p", F.lit(i + 1)), F.lit("")), F.lit(default))
 
     names = F.create_map(*[F.lit(x) for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1) for x in (m, str(i))])
     month = F.when(part(1).rlike("^[A-Za-z]"), F.try_element_at(names, F.lower(F.substring(part(1), 1, 3)))).otherwise(part(1, "1"))
@@ -80,14 +80,14 @@ def normalise_timestamps(df: DataFrame, text: str, offset_minutes: str, zone: st
     hour = F.when(part(7) == "", part(3, "0")).when(twelve.between(1, 12), (twelve % 12 + F.when(F.upper(part(7)) == "PM", 12).otherwise(0)).cast("string"))
     day = F.concat(part(0), F.lit("-"), month, F.lit("-"), part(2, "1"), F.lit(" "))
     clock = F.concat(hour, F.lit(":"), part(4, "0"), F.lit(":"), part(5, "0"), F.lit("."), part(6, "0"))
-    d = d.withColumn("_local", F.when(part(0).rlike("[1-9]"), F.concat(day, clock, F.lit(" ")))).withColumn("_zone", F.when(F.col("_p").isNotNull(), _zone_name(part(8))))
-    offset = F.when(F.col("_zone") == "", F.col(offset_minutes)).cast("bigint")
-    as_utc = F.unix_micros(F.concat("_local", F.lit("+00:00")).try_cast("timestamp"))
-    there = F.when(F.col("_zone") != "", F.col("_zone")).when(F.col("_zone") == "", F.col(zone))
-    in_zone = F.unix_micros(F.concat("_local", there).try_cast("timestamp"))
-    n, places = F.col("_s").try_cast("bigint"), F.length("_s")
-    epoch = F.when(F.col("_s").rlike(r"^\d{9,18}$") & (places != 14) & ~((places == 12) & as_utc.isNotNull()), F.when(places < 12, n * 1_000_000).when(places < 14, n * 1000).otherwise(n))
-    utc = F.when(epoch.isNotNull(), epoch).when(offset.isNotNull(), as_utc - offset * 60_000_000).when(F.col("_zone") == "", F.coalesce(in_zone, as_utc)).otherwise(in_zone)
+    d = d.withColumn("_qf_local", F.when(part(0).rlike("[1-9]"), F.concat(day, clock, F.lit(" ")))).withColumn("_qf_zone", F.when(F.col("_qf_p").isNotNull(), _zone_name(part(8))))
+    offset = F.when(F.col("_qf_zone") == "", F.col(offset_minutes)).cast("bigint")
+    as_utc = F.unix_micros(F.concat("_qf_local", F.lit("+00:00")).try_cast("timestamp"))
+    there = F.when(F.col("_qf_zone") != "", F.col("_qf_zone")).when(F.col("_qf_zone") == "", F.col(zone))
+    in_zone = F.unix_micros(F.concat("_qf_local", there).try_cast("timestamp"))
+    n, places = F.col("_qf_s").try_cast("bigint"), F.length("_qf_s")
+    epoch = F.when(F.col("_qf_s").rlike(r"^\d{9,18}$") & (places != 14) & ~((places == 12) & as_utc.isNotNull()), F.when(places < 12, n * 1_000_000).when(places < 14, n * 1000).otherwise(n))
+    utc = F.when(epoch.isNotNull(), epoch).when(offset.isNotNull(), as_utc - offset * 60_000_000).when(F.col("_qf_zone") == "", F.coalesce(in_zone, as_utc)).otherwise(in_zone)
     return d.select(*[F.col(f"`{c}`") for c in df.columns if c != out], utc.alias(out))
 
 
