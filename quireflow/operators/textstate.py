@@ -32,45 +32,48 @@ def text_spans(operators: DataFrame, page: list[str], mode: str = "default") ->
     """
     if mode not in ("default", "reset"):
         raise ValueError(f"unknown mode {mode}")
-    on_page = Window.partitionBy(*page).orderBy("op_ord", "item_ord")
-    ops = operators.select(*page, "op_ord", "op", "nums", "name", "text", F.posexplode_outer(F.when(F.col("op") == "TJ", F.col("items"))).alias("item_ord", "item"))
-    ops = ops.withColumn("item_ord", F.coalesce("item_ord", F.lit(0)))
-    ops = ops.withColumn("text_obj_ord", F.count_if(F.col("op") == "BT").over(on_page.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1)
-    in_object = Window.partitionBy(*page, "text_obj_ord").orderBy("op_ord", "item_ord").rowsBetween(Window.unboundedPreceding, 0)
-    ops = ops.withColumn("open", (F.col("text_obj_ord") >= 0) & (F.count_if(F.col("op") == "ET").over(in_object) == 0))
-
-    state = in_object if mode == "reset" else on_page.rowsBetween(Window.unboundedPreceding, 0)
+    on_page = Window.partitionBy(*page).orderBy("op_ord", "item_ord").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda v, w: F.last(v, ignorenulls=True).over(w)
+    op = F.col("op")
+    ops = operators.select(*page, "op_ord", "op", "nums", "name", "text", F.posexplode_outer(F.when(op == "TJ", F.col("items"))).alias("item_ord", "item"))
+    ops = ops.withColumn("item_ord", F.coalesce("item_ord", F.lit(0))).withColumns({
+        "text_obj_ord": F.count_if(op == "BT").over(on_page).cast("int") - 1,
+        "seg": F.count_if(op == "Tm").over(on_page),
+        "open": F.coalesce(last(F.when(op.isin("BT", "ET"), op), on_page) == "BT", F.lit(False)),
+    })
+
+    state = on_page
     if mode == "reset":
         ops = ops.where("open")
-    last = lambda v, w: F.last(v, ignorenulls=True).over(w)
-    leading = F.when(F.col("op") == "TL", _n(0)).when((F.col("op") == "TD") & F.col("open"), -_n(1))
+        state = Window.partitionBy(*page, "text_obj_ord").orderBy("op_ord", "item_ord").rowsBetween(Window.unboundedPreceding, 0)
+    leading = F.when(op == "TL", _n(0)).when((op == "TD") & F.col("open"), -_n(1))
     spacing = {"char_spacing": _n(1), "word_spacing": _n(0)}  # the operator that also shows text sets both
-    settings = {k: F.coalesce(last(F.when(F.col("op") == op, _n(0)).when((F.col("op") == '"') & F.col("open"), spacing.get(k, F.lit(None))), state), F.lit(low)) for k, (op, low) in PARAMETERS.items()}
+    settings = {k: F.coalesce(last(F.when(op == code, _n(0)).when((op == '"') & F.col("open"), spacing.get(k, F.lit(None))), state), F.lit(low)) for k, (code, low) in PARAMETERS.items()}
     ops = ops.withColumns({
         "leading": F.coalesce(last(leading, state), F.lit(0.0)),
-        "font": last(F.when(F.col("op") == "Tf", F.col("name")), state),
-        "font_size": last(F.when(F.col("op") == "Tf", _n(0)), state),
+        "font": last(F.when(op == "Tf", F.col("name")), state),
+        "font_size": last(F.when(op == "Tf", _n(0)), state),
         **settings,
     }).where("open")
 
-    ops = ops.withColumn("seg", F.count_if(F.col("op") == "Tm").over(in_object))
     in_segment = Window.partitionBy(*page, "text_obj_ord", "seg").orderBy("op_ord", "item_ord").rowsBetween(Window.unboundedPreceding, 0)
     identity = F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)])
-    ops = ops.withColumn("tm", F.coalesce(F.first(F.when(F.col("op") == "Tm", F.col("nums")), ignorenulls=True).over(in_segment), identity))
-    down = F.col("op").isin("T*", "'", '"')
-    dx = F.when(F.col("op").isin("Td", "TD"), _n(0)).when(F.col("op") == "TJ", -F.col("item.offset") / 1000)
-    dy = F.when(F.col("op").isin("Td", "TD"), _n(1)).when(down, -F.col("leading"))
+    ops = ops.withColumn("tm", F.coalesce(F.first(F.when(op == "Tm", F.col("nums")), ignorenulls=True).over(in_segment), identity))
+    down = op.isin("T*", "'", '"')
+    dx = F.when(op.isin("Td", "TD"), _n(0)).when(op == "TJ", -F.col("item.offset") / 1000)
+    dy = F.when(op.isin("Td", "TD"), _n(1)).when(down, -F.col("leading"))
     ops = ops.withColumns({"dx": F.coalesce(dx, F.lit(0.0)), "dy": F.coalesce(dy, F.lit(0.0))})
     t = lambda i: F.element_at("tm", i)
     ops = ops.withColumns({
         "x": t(5) + F.sum(t(1) * F.col("dx") + t(3) * F.col("dy")).over(in_segment),
         "y": t(6) + F.sum(t(2) * F.col("dx") + t(4) * F.col("dy")).over(in_segment),
+        "shown": F.when(op == "TJ", F.col("item.text")).when(op.isin("Tj", "'", '"'), F.col("text")),
     })
-    shown = F.when(F.col("op") == "TJ", F.col("item.text")).when(F.col("op").isin("Tj", "'", '"'), F.col("text"))
-    spans = ops.withColumn("shown", shown).where("shown is not null")
-    order = Window.partitionBy(*page, "text_obj_ord").orderBy("op_ord", "item_ord")
+    # numbered in the order the segments are sorted in already, and before any Python function
+    order = Window.partitionBy(*page, "text_obj_ord").orderBy("seg", "op_ord", "item_ord")
+    spans = ops.where("shown is not null").withColumn("span_ord", F.row_number().over(order) - 1)
     return spans.select(
-        *page, "text_obj_ord", (F.row_number().over(order) - 1).alias("span_ord"), F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"),
+        *page, "text_obj_ord", "span_ord", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"),
         scalars.text(F.col("shown")).alias("text"), scalars.latin(F.col("font")).alias("font"), F.col("font_size").cast("float").alias("font_size"),
         "leading", *PARAMETERS, F.when(F.col("font").isNull(), F.lit("text shown before font")).alias("error"),
     )

@@ -129,7 +129,8 @@ class Corpus:
         return self._checked(out.withColumn("was_modified", F.col("id_creation") != F.col("id_modification")))
 
     def _sections(self) -> DataFrame:
-        return self._open().select("path", F.explode("o.sections").alias("s"))
+        # outer, as the filter inferred for a plain explode would be pushed down and open every file twice
+        return self._open().select("path", F.explode_outer("o.sections").alias("s")).where("s is not null")
 
     def xref_sections(self) -> DataFrame:
         """One row for each revision of a cross-reference, section_ord 0 being the newest."""
@@ -184,6 +185,7 @@ def operators_of(df: DataFrame, keys: list[str], content: str) -> DataFrame:
     """The operators of a column of content streams: keys, op_ord and the operator; trailing_at is set on
     the last row of a stream that was not read to its end."""
     ops = df.select(*keys, F.length(content).alias("n"), scalars.operations(F.col(content)).alias("o"))
-    rows = ops.select(*keys, "n", "o.stopped_at", F.size("o.ops").alias("k"), F.posexplode("o.ops").alias("op_ord", "x"))
+    # outer, as the filter inferred for a plain explode would be pushed down and read every stream twice
+    rows = ops.select(*keys, "n", "o.stopped_at", F.size("o.ops").alias("k"), F.posexplode_outer("o.ops").alias("op_ord", "x")).where("op_ord is not null")
     trailing = F.when((F.col("op_ord") == F.col("k") - 1) & (F.col("stopped_at") < F.col("n")), F.col("stopped_at"))
     return rows.select(*keys, "op_ord", "x.*", trailing.alias("trailing_at"))
