@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 4_000
 #: A language counts in a document from this share of the words on.
 SHARE = 0.18
+#: Below this confidence a sentence may be overruled by its neighbours.
+UNSURE = 0.6
 HASH_BITS = 17
 _REMEMBERED = 300_000
 
@@ -104,6 +107,7 @@ def _features(word: str) -> np.ndarray:
     return np.array(sorted({zlib.crc32(g.encode("utf-8", "replace")) >> (32 - HASH_BITS) for g in grams}), np.int64)
 
 
+@lru_cache(100_000)
 def plain_letters(word: str) -> str:
     """The word as careless typists write it, without accents."""
     for a, b in (("ß", "ss"), ("ø", "o"), ("æ", "ae"), ("ł", "l")):
@@ -161,59 +165,83 @@ def fit(texts: list[list[str]], labels: list[str], epochs: int = 30) -> Machines
     return Machines(full)
 
 
+class _Codes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 class Judge:
-    """Languages of sentences and documents."""
+    """Languages of sentences and documents, many at a time."""
 
     def __init__(self, machines: Machines):
         self.machines = machines
-        self.known: dict[str, np.ndarray] = {}
-
-    def _word(self, word: str) -> np.ndarray:
-        v = self.known.get(word)
-        if v is None:
-            if len(self.known) > _REMEMBERED:
-                self.known.clear()
-            v = self.known[word] = self.machines.weights[_features(word)].mean(0)
-        return v
+        self._reset()
+
+    def _reset(self) -> None:
+        self.codes = _Codes()
+        self.vectors = np.empty((0, self.machines.weights.shape[1]), np.float32)
+
+    def _scores(self, found: list[list[str]]) -> np.ndarray:
+        """The mean score of each sentence's words, a column for each machine."""
+        if len(self.codes) > _REMEMBERED:
+            self._reset()
+        code_of = self.codes.__getitem__
+        flat = np.array([code_of(w) for s in found for w in s], np.int64)
+        fresh = list(self.codes)[len(self.vectors) :]
+        if fresh:
+            self.vectors = np.concatenate([self.vectors, *[self.machines.weights[_features(w)].mean(0, keepdims=True) for w in fresh]])
+        size = np.array([len(s) for s in found])
+        return np.add.reduceat(self.vectors[flat], np.cumsum(size) - size) / size[:, None]
+
+    def many(self, found: list[list[str]]) -> list[tuple[str, float]]:
+        """(language, confidence) of each sentence: the family of the highest margin, then the language that
+        wins most against its relatives, of several the one that wins most clearly."""
+        if not found:
+            return []
+        v = self._scores(found)
+        k = len(FAMILIES)
+        family = v[:, :k].argmax(1)
+        two = np.partition(v[:, :k], k - 2, axis=1)[:, k - 2 :]
+        confidence = 1 / (1 + np.exp(-2 * (two[:, 1] - two[:, 0])))
+        langs = np.empty(len(found), object)
+        for f, members in enumerate(FAMILIES.values()):
+            rows = np.flatnonzero(family == f)
+            wins, least = np.zeros((len(rows), len(members))), np.full((len(rows), len(members)), 9.0)
+            for i in _OF_FAMILY[f]:
+                margin = v[rows, k + i]
+                for m, won in ((members.index(_PAIRS[i][0]), margin >= 0), (members.index(_PAIRS[i][1]), margin < 0)):
+                    wins[won, m] += 1
+                    least[won, m] = np.minimum(least[won, m], np.abs(margin[won]))
+            best = (wins * 100 + np.minimum(least, 9)).argmax(1)
+            langs[rows] = np.array(members, object)[best]
+            confidence[rows] /= 1 + np.exp(-2 * least[np.arange(len(rows)), best])
+        return list(zip(langs.tolist(), confidence.tolist(), strict=True))
 
     def sentence(self, words: list[str]) -> tuple[str, float]:
-        """(language, confidence): the family of the highest margin, then the language that wins most against its relatives."""
-        return _decide(sum(map(self._word, words)) / len(words))
+        return self.many([words])[0]
+
+    def documents(self, texts: list[list[list[str]]]) -> list[list[tuple[str, float, int]]]:
+        """(language, confidence, number of words) of each sentence of each document."""
+        said = iter(self.many([s for found in texts for s in found]))
+        return [_agreed([(*next(said), len(s)) for s in found]) for found in texts]
 
     def document(self, found: list[list[str]]) -> list[tuple[str, float, int]]:
-        """(language, confidence, number of words) of each sentence. One of few words that is unsure takes the
-        language of most words of the document, if that is the other candidate in its neighbourhood."""
-        scored = [(*self.sentence(s), len(s)) for s in found]
-        words: dict[str, float] = {}
-        for lang, confidence, n in scored:
-            words[lang] = words.get(lang, 0) + n * confidence
-        if len(words) < 2:
-            return scored
-        main = max(words, key=lambda x: (words[x], x))
-        out = []
-        for i, (lang, confidence, n) in enumerate(scored):
-            beside = {scored[j][0] for j in (i - 1, i + 1) if 0 <= j < len(scored)}
-            if lang != main and n < 5 and (confidence < 0.75 or n < 3) and lang not in beside:
-                lang, confidence = main, 0.5
-            out.append((lang, confidence, n))
-        return out
-
-
-def _decide(v: np.ndarray) -> tuple[str, float]:
-    k = len(FAMILIES)
-    family = int(v[:k].argmax())
-    rest = np.delete(v[:k], family).max()
-    confidence = 1 / (1 + np.exp(-2 * (v[family] - rest)))
-    members = list(FAMILIES.values())[family]
-    wins = {m: [0, 9.0] for m in members}
-    for i in _OF_FAMILY[family]:
-        a, b = _PAIRS[i]
-        margin = float(v[k + i])
-        winner = a if margin >= 0 else b
-        wins[winner][0] += 1
-        wins[winner][1] = min(wins[winner][1], abs(margin))
-    lang = max(members, key=lambda m: (wins[m][0], wins[m][1]))
-    return lang, float(confidence / (1 + np.exp(-2 * wins[lang][1])))
+        return self.documents([found])[0]
+
+
+def _agreed(scored: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """The sentences of a document; an unsure one that no neighbour agrees with takes the language of the
+    surer neighbour."""
+    out = []
+    for i, (lang, confidence, n) in enumerate(scored):
+        beside = [scored[j] for j in (i - 1, i + 1) if 0 <= j < len(scored)]
+        if beside and lang not in {x[0] for x in beside} and (confidence < UNSURE or n < 3 and confidence < 0.75):
+            best = max(beside, key=lambda x: (x[1], x[0]))
+            if best[1] > confidence:
+                lang = best[0]
+        out.append((lang, confidence, n))
+    return out
 
 
 def train(rows: list[tuple[str, str]]) -> Machines:
@@ -227,11 +255,11 @@ def train(rows: list[tuple[str, str]]) -> Machines:
                     labels.append(lang)
     if not texts:
         texts, labels = [["a"]], [LANGUAGES[0]]
-    judge = Judge(fit(texts, labels, epochs=15))
-    kept = [i for i, s in enumerate(texts) if judge.sentence(s)[0] == labels[i]] or list(range(len(texts)))
+    said = Judge(fit(texts, labels, epochs=12)).many(texts)
+    kept = [i for i, (lang, _) in enumerate(said) if lang == labels[i]] or list(range(len(texts)))
     texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
     bare = [(t, x) for s, x in zip(texts, labels, strict=True) if (t := [plain_letters(w) for w in s]) != s]
-    return Judge(fit(texts + [t for t, _ in bare], labels + [x for _, x in bare])).machines
+    return fit(texts + [t for t, _ in bare], labels + [x for _, x in bare])
 
 
 SPANS = "spans array<struct<lang:string,confidence:double,n_words:int>>"
@@ -253,9 +281,9 @@ def judge_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
         judge = Judge(shared.value)
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
+            for found in judge.documents([sentences(t) if t else [] for t in b.column(1).to_pylist()]):
                 spans: list[dict] = []
-                for lang, confidence, n in judge.document(sentences(t)) if t else []:
+                for lang, confidence, n in found:
                     if spans and spans[-1]["lang"] == lang:
                         last = spans[-1]
                         last["confidence"] = (last["confidence"] * last["n_words"] + confidence * n) / (last["n_words"] + n)
