@@ -35,9 +35,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: lineage ends here."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared checkpoint folder and read back: lineage ends here.
+
+    Constraints are not propagated meanwhile: a checkpoint keeps those of its plan, and one about a
+    column that the plan dropped makes a later union fail (``key not found`` in rewriteConstraints).
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    setting = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def has_rows(df: DataFrame) -> bool:
