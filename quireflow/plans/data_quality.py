@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.operators import changefeed, hierarchy, orphans, timestamps
@@ -15,18 +15,19 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
     return orphans.object_references(table(spark, d, "xref_blocks"), table(spark, d, "page_resources"))
 
 
-_MONTH = F.date_format("at", "yyyy-MM").alias("ref_month")
+def _month() -> Column:
+    return F.date_format("at", "yyyy-MM").alias("ref_month")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     lost = orphans.orphan_references(_references(spark, d), table(spark, d, "objects"), ["path", "obj", "gen"])
-    return lost.select("ref_table", "ref_id", "slot", _MONTH).distinct()
+    return lost.select("ref_table", "ref_id", "slot", _month()).distinct()
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     refs = _references(spark, d)
     lost = orphans.orphan_references(refs, table(spark, d, "objects"), ["path", "obj", "gen"])
-    return orphans.orphan_report(refs.select("*", _MONTH), lost.select("*", _MONTH), ["ref_table", "ref_month"])
+    return orphans.orphan_report(refs.select("*", _month()), lost.select("*", _month()), ["ref_table", "ref_month"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
