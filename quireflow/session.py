@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,20 @@ from pyspark.sql import types as T
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+_HOME = str(Path(__file__).resolve().parents[1])
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, whatever their working directory."""
+    settings = spark.sparkContext.environment
+    known = settings.get("PYTHONPATH", "").split(os.pathsep)
+    if _HOME not in known:
+        settings["PYTHONPATH"] = os.pathsep.join([_HOME, *filter(None, known)])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` of ``folder`` (a file or a directory of parts)."""
+    let_workers_import(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
