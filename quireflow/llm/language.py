@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents looked at to train, chosen by hash of the key.
 SAMPLE_ROWS = 4_000
+#: Longer documents are left out of the sample (not of the result), which bounds what the driver collects.
+SAMPLE_CHARS = 20_000
 #: A language counts in a document from this share of the words on.
 SHARE = 0.18
 #: Below this confidence a sentence may be overruled by its neighbours.
@@ -272,7 +274,7 @@ def judge_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
     links, code) have no passages. Repeated rows and null keys are kept; other columns are not read.
     """
     slim = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), label_code(F.col(f"`{label}`").cast("string")).alias("label"))
-    sample = slim.where("label is not null and text is not null").orderBy(F.xxhash64("key"), F.xxhash64("text")).select("text", "label").limit(sample_rows).collect()
+    sample = slim.where(F.col("label").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("key"), F.xxhash64("text")).select("text", "label").limit(sample_rows).collect()
     shared = documents.sparkSession.sparkContext.broadcast(train([(r[0], r[1]) for r in sample]))
     kind = dict(slim.dtypes)["key"]
     span = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("n_words", pa.int32())]))
