@@ -50,7 +50,7 @@ def _closure(n: int, first: np.ndarray, many: np.ndarray, kids: np.ndarray) -> t
 
 
 def _solve(t: pa.Table) -> pa.Table:
-    """The hierarchy of whole spaces; rows sorted by path, obj."""
+    """The hierarchy of whole spaces; rows sorted by path, obj, so that codes of paths ascend."""
     path = t.column("path").combine_chunks()
     code = path.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     obj = t.column("obj").to_numpy().astype(np.int64)
@@ -71,7 +71,6 @@ def _solve(t: pa.Table) -> pa.Table:
     key["c"], key["o"] = code, obj
     want = np.empty(len(parent), key.dtype)
     want["c"], want["o"] = code[parent], k_obj
-    order = np.lexsort((obj, code))
     uniq, inverse = np.unique(np.concatenate([key, want]), return_inverse=True)
     row_of = np.full(len(uniq), -1)
     row_of[inverse[:n]] = np.arange(n)
@@ -117,19 +116,10 @@ def _solve(t: pa.Table) -> pa.Table:
         plain = level[~odd[code[level]]]
         np.add.at(below_n, up[plain], below_n[plain] + 1)
     for c in np.flatnonzero(odd):
-        rows = order[np.searchsorted(code[order], c) : np.searchsorted(code[order], c, "right")]
-        place = np.full(n, -1) if len(rows) < n else None
-        local = np.sort(rows)
-        base = local[0] if local[-1] - local[0] + 1 == len(local) else None
-        if base is not None:
-            f, m = first[local], many[local]
-            lo, hi = f[0], f[-1] + m[-1]
-            below_n[local], cycle[local] = _closure(len(local), f - lo, m, e_child[lo:hi] - base)
-        else:
-            place = np.full(n, -1)
-            place[local] = np.arange(len(local))
-            owner, at = _expand(first[local], many[local])
-            below_n[local], cycle[local] = _closure(len(local), np.cumsum(many[local]) - many[local], many[local], place[e_child[at]])
+        # the rows of a space are next to each other, and so are its edges
+        lo, hi = np.searchsorted(code, c), np.searchsorted(code, c, "right")
+        begin, end = first[lo], first[hi - 1] + many[hi - 1]
+        below_n[lo:hi], cycle[lo:hi] = _closure(hi - lo, first[lo:hi] - begin, many[lo:hi], e_child[begin:end] - lo)
     lost = depth < 0
     root[lost], inherited[lost] = -1, -1
     return pa.table(
