@@ -5,7 +5,8 @@ longest first and back and forth, to windows of a few dozen containers, so every
 the same lengths. In a window, Karmarkar-Karp multiway differencing keeps partial partitions, each a
 vector of container sums; the two with the largest spread are merged with opposing imbalances, the
 largest sums of one onto the smallest of the other, until one partition with nearly equal sums is
-left. Where sums exceed the capacity and moving or swapping single items does not settle it, the
+left. The smallest items, a fifth of the content, are kept out of this and fill up the containers, each
+where it fits best. Where sums exceed the capacity and moving or swapping single items does not settle it, the
 window gets one container more and starts again.
 
 An item longer than the capacity fills containers of its own; what remains of it is an item.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 BUCKET_ITEMS = 16_384
 WINDOW = 96
+#: Share of the content, in the smallest items, that fills up what differencing has laid out.
+FILLERS = 0.2
 #: Container numbers of a bucket start at its number times this.
 _STRIDE = 1 << 32
 
@@ -123,11 +126,24 @@ def _settle(sizes: np.ndarray, where: np.ndarray, k: int, capacity: int) -> bool
 def pack_window(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Containers of items none of which exceeds the capacity; their number rises until all sums fit.
 
-    Sums that miss the capacity by little are first settled by moves and swaps of single items.
+    Differencing lays out the larger items; the smallest go where the least room is left that holds them.
+    Sums that still miss the capacity are first settled by moves and swaps.
     """
+    order = np.argsort(-sizes, kind="stable")
+    small = np.cumsum(sizes[order][::-1])[::-1] <= FILLERS * sizes.sum()
+    body, fillers = order[~small], order[small]
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
-        where = differencing(sizes, k)
+        where = np.empty(len(sizes), np.int64)
+        where[body] = differencing(sizes[body], k)
+        load = np.bincount(where[body], weights=sizes[body], minlength=k).astype(np.int64)
+        for i in fillers:
+            room = capacity - load - sizes[i]
+            c = int(np.where(room >= 0, room, capacity + 1).argmin())
+            if room[c] < 0:
+                c = int(room.argmax())
+            where[i] = c
+            load[c] += sizes[i]
         if _settle(sizes, where, k, capacity):
             return where
         k += max(1, k // 64)
