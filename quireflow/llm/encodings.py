@@ -6,6 +6,9 @@ are (class clean) and synthetically garbled by every chain. A record's words sha
 one whose words, each either clean or garbled by it, are most likely. The chain is inverted, and a
 word counts as garbled only where the inversion decodes strictly and changes it.
 
+The sample teaches the classifier only. Whether an inversion is proved is decided by counts over the
+whole input: of its words, of their trigrams, of the records each chain garbled.
+
 Words recur, so their scores and inversions are kept by a worker and a record costs look-ups.
 """
 
@@ -14,15 +17,18 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.session import cut
+
 #: Records looked at to train; the sample is by hash of the key, so it is the same on every run.
 SAMPLE_ROWS = 16_000
 #: Longer records are left out of the sample (not of the search), which bounds what the driver collects.
@@ -32,6 +38,8 @@ HASH_BITS = 16
 TRIED, SLACK = 12, 12.0
 #: How often a garbled word may occur against what its chain's rate lets expect; the gain in mean log frequency that proves an unknown one.
 TOLERANCE, MARGIN = 10.0, 3.5
+#: How often a word may occur whose original is not known, in SAMPLE_ROWS records.
+RARE = 3
 #: The share of records garbled by a chain, before any was seen.
 RATE = 0.002
 ROUNDS = 3
@@ -50,6 +58,7 @@ CHAINS: list[tuple[str, str, int]] = [
 ]
 
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_ODD = r"[^\x20-\x7e]"
 _BOM = re.compile("þÿ|ÿþ")
 
 
@@ -138,13 +147,19 @@ def _form(word: str) -> str:
 class Model:
     """What the sample taught. Classes: log probabilities, one row a class, class 0 being clean, one
     column a bucket (13 MB whatever the input). Words and trigrams of characters: their counts as
-    stored, bounded by the sample. Rates: the share of records garbled by each chain."""
+    stored, bounded by the sample; they serve training only. Rates: the share of records garbled by each chain.
+    Unit: what counts as one occurrence, as the limits are set for SAMPLE_ROWS records and grow with more."""
 
     weights: np.ndarray
     prior: np.ndarray
     words: dict[str, int]
     trigrams: dict[str, int]
     rates: np.ndarray
+    unit: float = 1.0
+
+    def for_corpus(self, rates: np.ndarray, unit: float) -> Model:
+        """The classifier with other rates and unit, and without the sample's counts."""
+        return replace(self, prior=np.log(np.r_[1 - rates.sum(), rates]), words={}, trigrams={}, rates=rates, unit=unit)
 
     def fluency(self, word: str) -> float:
         """Mean log frequency of the word's trigrams, as stored in the sample."""
@@ -188,6 +203,11 @@ def _certain(word: str) -> bool:
     return any(ch == "�" or "\x80" <= ch <= "\x9f" or ch == "\0" for ch in word)
 
 
+def _rates(found: np.ndarray, records: int) -> np.ndarray:
+    """The rate of each chain from the records found of it (index 0 is no chain)."""
+    return (found[1:] + 1) / (records + 1000)
+
+
 def train(texts: list[str]) -> Model:
     """A model from records that are mostly correct, in a few rounds.
 
@@ -215,7 +235,7 @@ def train(texts: list[str]) -> Model:
             if k := finder.chain(r):
                 found[k] += 1
                 garbled.update(w for w in r if finder.garbled(w, k))
-        rates = (found[1:] + 1) / (len(records) + 1000)
+        rates = _rates(found, len(records))
     return trainer.fit(garbled, rates)
 
 
@@ -254,25 +274,30 @@ class Finder:
     def proof(self, word: str, k: int) -> int:
         """2 where the inversion is proved, 1 where it is plausible beside proved words, else 0.
 
-        Proved: the restored word is in the sample, so often that the chain's rate accounts for the
+        Proved: the restored word is in the input, so often that the chain's rate accounts for the
         times the stored one is there; or it is far more fluent, and the stored one no more frequent.
         """
         key = (word, k)
         if key not in self.proofs:
-            u = self.undo(word, k)
+            counted = self.evidence(word, k)
             level = 0
-            if u is not None:
+            if counted is not None:
                 m = self.model
-                better = m.fluency(u[0]) - m.fluency(word)
-                restored, stored = m.words.get(u[0], 0), m.words.get(word, 0)
+                stored, restored, better = counted
                 often = TOLERANCE * (3 if CHAINS[k - 1][0] == "utf-8" else 1)  # its sequences alone are rare by chance
-                if restored > stored and restored * m.rates[k - 1] * often >= stored - 1 or better > MARGIN and stored <= max(3, restored):
+                if restored > stored and restored * m.rates[k - 1] * often >= stored - m.unit or better > MARGIN and stored <= max(RARE * m.unit, restored):
                     level = 2
-                elif restored and restored >= stored or not restored and stored <= 3 and better > 0:
+                elif restored and restored >= stored or restored < m.unit and stored <= RARE * m.unit and better > 0:
                     level = 1
             self.proofs[key] = level
         return self.proofs[key]
 
+    def evidence(self, word: str, k: int) -> tuple[int, int, float] | None:
+        """How often the stored and the restored word occur, and the gain in fluency; None without an inversion."""
+        u = self.undo(word, k)
+        m = self.model
+        return u and (m.words.get(word, 0), m.words.get(u[0], 0), m.fluency(u[0]) - m.fluency(word))
+
     def garbled(self, word: str, k: int) -> bool:
         """Whether a word of a record garbled by chain k was garbled by it."""
         s = self._score(word)
@@ -344,12 +369,76 @@ class Finder:
         return bad, name, None if lost or restored == text else restored
 
 
+class CountedFinder(Finder):
+    """Takes the evidence from counts over the whole input, which come with each record."""
+
+    def judge(self, text: str, hits: list[dict] | None) -> tuple[np.ndarray, str, str | None] | None:
+        """``look`` with the record's evidence: per word a list of chain, stored, restored and better."""
+        self.counted = {(h["form"], c["k"]): (c["stored"], c["restored"], c["better"]) for h in hits or () for c in h["chains"]}
+        self.proofs.clear()
+        self.suspects.clear()
+        return self.look(text)
+
+    def evidence(self, word: str, k: int) -> tuple[int, int, float] | None:
+        return self.counted.get((word, k))
+
+
 def sample_texts(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
     """Texts with characters besides printable ASCII, at most ``rows`` of them, chosen by hash of the key."""
-    odd = df.where(F.col(text).rlike(r"[^\x20-\x7e]") & (F.length(text) <= SAMPLE_CHARS)).orderBy(F.xxhash64(key), F.xxhash64(text)).select(text).limit(rows)
+    odd = df.where(F.col(text).rlike(_ODD) & (F.length(text) <= SAMPLE_CHARS)).orderBy(F.xxhash64(key), F.xxhash64(text)).select(text).limit(rows)
     return [r[0] for r in odd.collect()]
 
 
+def word_counts(strings: DataFrame) -> DataFrame:
+    """form, n: every word of ``text``, digits as one, and how often it occurs."""
+    return strings.select(F.explode(F.split("text", " ")).alias("w")).groupBy(F.regexp_replace("w", "[0-9]", "0").alias("form")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _trigrams_of(words: DataFrame, word: str, times: str) -> DataFrame:
+    """word, trigram, times: a row for each trigram of each word; with an empty ``word`` summed over the words of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: dict[tuple[str, str], int] = {}
+            for form, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = f" {form} "
+                for i in range(len(w) - 2):
+                    key = (form if word else "", w[i : i + 3])
+                    counts[key] = counts.get(key, 0) + n
+            yield pa.record_batch([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["word", "trigram", "times"])
+
+    return words.select(word or "form", times).mapInArrow(run, "word string, trigram string, times bigint")
+
+
+def evidence(counts: DataFrame, model: Broadcast[Model], unit: float) -> DataFrame:
+    """form, k, stored, restored, better: what the whole input says of each word and chain that could be proved.
+
+    Left out are only those no rate could prove: stored neither rarely nor at most as often as restored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(model.value)
+        for b in batches:
+            out: list[tuple] = []
+            for form, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = finder._score(form)
+                out += [(form, n, int(k), finder.undo(form, int(k))[0]) for k in np.flatnonzero(s[1:] > s[0] - SLACK) + 1]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.int64(), pa.int32(), pa.string()], strict=True)], ["form", "stored", "k", "back"])
+
+    tried = counts.where(F.col("form").rlike(_ODD)).mapInArrow(run, "form string, stored bigint, k int, back string")
+    known = counts.select(F.col("form").alias("back"), F.col("n").alias("restored"))
+    tried = cut(tried.join(known, "back", "left").fillna(0, ["restored"]).where((F.col("restored") >= F.col("stored")) | (F.col("stored") <= RARE * unit)))
+    trigrams = _trigrams_of(counts, "", "n").groupBy("trigram").agg(F.sum("times").alias("n"))
+    words = tried.select(F.explode(F.array("form", "back")).alias("word")).distinct().withColumn("one", F.lit(1))
+    scored = _trigrams_of(words, "word", "one").join(trigrams, "trigram", "left")
+    mean = F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(0)) + 0.1 * unit)) / F.sum("times")
+    fluency = cut(scored.groupBy("word").agg(mean.alias("fluency")))
+    of = lambda word, name: fluency.select(F.col("word").alias(word), F.col("fluency").alias(name))
+    better = F.round(F.col("there") - F.col("here"), 9).alias("better")
+    return tried.join(of("form", "here"), "form").join(of("back", "there"), "back").select("form", "k", "stored", "restored", better)
+
+
 FOUND = "text_object_id bigint, field_name string, item_no int, chain string, stored string, restored string"
 
 
@@ -366,18 +455,35 @@ def find_garbled(text_objects: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Dat
     whole = F.array_join(F.filter("items", lambda x: x.isNotNull()), "")
     texts = pieces.select("text_object_id", F.coalesce("text_buffer", whole).alias("t"))
     model = train(sample_texts(texts, "text_object_id", "t", sample_rows))
-    shared = spark.sparkContext.broadcast(model)
-    odd = r"[^\x20-\x7e]"
-    slim = pieces.where(F.col("text_buffer").rlike(odd) | F.array_join(F.filter("items", lambda x: x.isNotNull()), "").rlike(odd))
+    both = [(F.lit("text_buffer"), F.col("text_buffer"), F.array("text_buffer")), (F.lit("buffer"), whole, F.col("items"))]
+    fields = F.array(*[F.struct(f.alias("field_name"), t.alias("text"), i.alias("items")) for f, t, i in both])
+    strings = pieces.select("text_object_id", F.explode(fields).alias("s")).select("text_object_id", "s.*").where(F.col("text").rlike(_ODD)).withColumn("h", F.xxhash64("text"))
+    records = strings.count()
+    unit = max(1.0, records / SAMPLE_ROWS)
+    first = spark.sparkContext.broadcast(model.for_corpus(model.rates, unit))
+    counted = evidence(cut(word_counts(strings)), first, unit)
+    # a proved word alone makes a record suspect; its other words' evidence comes along
+    able = (F.col("restored") > F.col("stored")) | ((F.col("better") > MARGIN) & (F.col("stored") <= F.greatest(F.lit(RARE * unit), "restored")))
+    per = counted.groupBy("form").agg(F.collect_list(F.struct("k", "stored", "restored", "better")).alias("chains"), F.max(able).alias("able"))
+    words = strings.select("h", F.explode(F.array_distinct(F.transform(F.split("text", " "), lambda w: F.regexp_replace(w, "[0-9]", "0")))).alias("form"))
+    # texts whose hashes collide only get each other's evidence besides their own
+    hits = words.where(F.col("form").rlike(_ODD)).join(per, "form").groupBy("h").agg(F.collect_set(F.struct("form", "chains")).alias("hits"), F.max("able").alias("able")).where("able").drop("able")
+    slim = strings.select("text_object_id", "field_name", "items", "h", F.col("text").rlike(r"[\x00\x{80}-\x{9f}\x{fffd}]").alias("damaged"))
+    judged = cut(slim.join(hits, "h", "left").where("damaged or hits is not null").select("text_object_id", "field_name", "items", "hits"))
+    seen = np.zeros(len(CHAINS) + 1)
+    for r in judged.mapInArrow(_chains(first), "k int").groupBy("k").count().collect():
+        seen[r[0]] = r[1]
+    shared = spark.sparkContext.broadcast(model.for_corpus(_rates(seen, records), unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value)
+        finder = CountedFinder(shared.value)
         for b in batches:
             out: list[tuple] = []
-            for key, plain, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if plain and (seen := finder.look(plain)):
-                    out.append((key, "text_buffer", 0, seen[1], plain, seen[2]))
-                if items and (seen := finder.look("".join(x for x in items if x))):
+            for key, field, items, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if seen := finder.judge("".join(x for x in items if x), hits):
+                    if field == "text_buffer":
+                        out.append((key, field, 0, seen[1], items[0], seen[2]))
+                        continue
                     at = 0
                     for i, x in enumerate(items):
                         if x:
@@ -388,7 +494,22 @@ def find_garbled(text_objects: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Dat
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["text_object_id", "field_name", "item_no", "chain", "stored", "restored"])
 
-    return slim.mapInArrow(run, FOUND)
+    return judged.mapInArrow(run, FOUND)
+
+
+def _chains(model: Broadcast[Model]):
+    """The number of each record's chain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = CountedFinder(model.value)
+        for b in batches:
+            out = []
+            for items, hits in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                finder.judge("", hits)
+                out.append(finder.chain([_form(w) for w in "".join(x for x in items if x).split(" ") if is_odd(w)]))
+            yield pa.record_batch([pa.array(out, pa.int32())], ["k"])
+
+    return run
 
 
 def finder_restore(finder: Finder, item: str, chain: str) -> str | None:

@@ -97,3 +97,16 @@ def test_frames(found):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "text_object_id bigint, text_buffer string, buffer array<struct<txt:string,shift:float>>")
     assert e.find_garbled(df).count() == 0
+
+
+def test_words_outside_the_sample_are_counted(spark, planted):
+    """Membership rests on counts over all records: the sample here holds none of these words."""
+    chain = ("utf-8", "cp1252", 1)
+    word = "xüqzéwk"
+    rows = [(i, t) for i, (t, _, _) in enumerate(planted)]
+    # not in the sample, being longer than it takes
+    filler = "plain " * 1000
+    rows += [(20_000 + i, filler + word) for i in range(400)] + [(30_000 + i, filler + e.garble(word, chain)) for i in range(5)]
+    df = spark.createDataFrame(rows, "text_object_id bigint, text_buffer string").selectExpr("*", "cast(null as array<struct<txt:string,shift:float>>) as buffer")
+    got = {r.text_object_id: r.restored for r in e.find_garbled(df).where("text_object_id >= 20000").collect()}
+    assert got == {30_000 + i: filler + word for i in range(5)}
