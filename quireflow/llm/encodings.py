@@ -194,6 +194,11 @@ class _Trainer:
         return Model(weights, np.log(np.r_[1 - rates.sum(), rates]), self.forms, self.trigrams, rates)
 
 
+def _had(restored: str, stored: str) -> str | None:
+    """The restored text, None where characters are lost."""
+    return None if "�" in restored or restored == stored else restored
+
+
 def is_odd(word: str) -> bool:
     return not (word.isascii() and word.isprintable())
 
@@ -324,55 +329,59 @@ class Finder:
                 best, chosen = sum(proofs), int(k)
         return chosen
 
-    def look(self, text: str) -> tuple[np.ndarray, str, str | None] | None:
-        """(garbled or not of each character, chain, restored text or None where it is lost); None for a correct text."""
+    def look(self, text: str) -> tuple[np.ndarray, str, str | None, list[str] | None] | None:
+        """(garbled or not of each character, chain, restored text or None where it is lost, for each character what is
+        restored from it: a sequence's character at its first, nothing at the others); None for a correct text."""
         bom = _BOM.search(text)
         if bom and "\0" in text[bom.end() :]:
             bad = np.zeros(len(text), bool)
             bad[bom.start() :] = True
             order = "utf-16-be" if bom[0] == "þÿ" else "utf-16-le"
             data = bytes(_WRITE["cp1252"].get(ch, ord(ch) & 255) for ch in text[bom.end() :])
+            name = f"{order} read as latin-1"
             try:
-                back = text[: bom.start()] + data.decode(order)
+                tail = data.decode(order)
             except UnicodeDecodeError:
-                back = None
-            return bad, f"{order} read as latin-1", back
+                return bad, name, None, None
+            marks = [*text[: bom.start()], *[""] * (len(text) - bom.start())]
+            i = bom.end()
+            for ch in tail:
+                marks[i] = ch
+                i += 4 if ch > "\uffff" else 2
+            return bad, name, "".join(marks), marks
         words = text.split(" ")
         odd = [w for w in words if is_odd(w)]
         if not odd:
             return None
         k = self.chain([_form(w) for w in odd])
         bad = np.zeros(len(text), bool)
-        at, back, lost = 0, [], False
+        at, marks = 0, list(text)
         for w in words:
-            new = w
             if is_odd(w):
                 if k:
                     if self.garbled(_form(w), k):
                         u = invert(w, CHAINS[k - 1])
-                        new = u[0]
                         i = at
                         for ch, n in zip(u[0], u[1], strict=True):
                             if n > 1 or text[i] != ch:
                                 bad[i : i + n] = True
+                                marks[i : i + n] = [ch, *[""] * (n - 1)]
                             i += n
                 for i, ch in enumerate(w):
                     if ch == "�" or "\x80" <= ch <= "\x9f" or ch == "\0":
                         bad[at + i] = True
-                lost |= "�" in new
             at += len(w) + 1
-            back.append(new)
         if not bad.any():
             return None
         name = f"{CHAINS[k - 1][0]} read as {CHAINS[k - 1][1]}" + " twice" * (CHAINS[k - 1][2] > 1) if k else "lost"
-        restored = " ".join(back)
-        return bad, name, None if lost or restored == text else restored
+        restored = "".join(marks)
+        return bad, name, _had(restored, text), marks
 
 
 class CountedFinder(Finder):
     """Takes the evidence from counts over the whole input, which come with each record."""
 
-    def judge(self, text: str, hits: list[dict] | None) -> tuple[np.ndarray, str, str | None] | None:
+    def judge(self, text: str, hits: list[dict] | None) -> tuple[np.ndarray, str, str | None, list[str] | None] | None:
         """``look`` with the record's evidence: per word a list of chain, stored, restored and better."""
         self.counted = {(h["form"], c["k"]): (c["stored"], c["restored"], c["better"]) for h in hits or () for c in h["chains"]}
         self.proofs.clear()
@@ -446,8 +455,8 @@ def find_garbled(text_objects: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Dat
     """One row for each garbled string of text_buffer and buffer: key, field, item, chain, stored and restored text.
 
     Needs text_object_id, text_buffer, buffer; other columns are ignored. The items of a buffer are
-    judged together, so a sequence divided by a cut is found in both; of these the first gets the
-    restored character. ``restored`` is null where characters are lost for good. Null, empty and plain
+    judged together, so a sequence divided by a cut is found in both; of these the item with its
+    first character gets the restored one. ``restored`` is null where characters of the item are lost for good. Null, empty and plain
     ASCII strings are never garbled, null keys are kept. Rows may repeat; an empty table gives none.
     """
     spark = text_objects.sparkSession
@@ -488,7 +497,7 @@ def find_garbled(text_objects: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Dat
                     for i, x in enumerate(items):
                         if x:
                             if seen[0][at : at + len(x)].any():
-                                out.append((key, "buffer", i, seen[1], x, None if seen[2] is None else finder_restore(finder, x, seen[1])))
+                                out.append((key, "buffer", i, seen[1], x, seen[3] and _had("".join(seen[3][at : at + len(x)]), x)))
                             at += len(x)
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
@@ -510,12 +519,3 @@ def _chains(model: Broadcast[Model]):
             yield pa.record_batch([pa.array(out, pa.int32())], ["k"])
 
     return run
-
-
-def finder_restore(finder: Finder, item: str, chain: str) -> str | None:
-    """An item by itself under its record's chain; None where a cut divides a sequence."""
-    for k, (written, read, times) in enumerate(CHAINS, 1):
-        if chain == f"{written} read as {read}" + " twice" * (times > 1):
-            out = [w if not (is_odd(w) and finder.garbled(_form(w), k)) or (u := invert(w, (written, read, times))) is None else u[0] for w in item.split(" ")]
-            return " ".join(out)
-    return None

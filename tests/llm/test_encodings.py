@@ -110,3 +110,15 @@ def test_words_outside_the_sample_are_counted(spark, planted):
     df = spark.createDataFrame(rows, "text_object_id bigint, text_buffer string").selectExpr("*", "cast(null as array<struct<txt:string,shift:float>>) as buffer")
     got = {r.text_object_id: r.restored for r in e.find_garbled(df).where("text_object_id >= 20000").collect()}
     assert got == {30_000 + i: filler + word for i in range(5)}
+
+
+def test_cut_items_are_restored(found):
+    got = {r.item_no: r.restored for r in found if r.text_object_id == 10_001}
+    assert got == {0: "fü", 2: "r Größe schön"}
+
+
+def test_restoration_by_character(planted):
+    finder = e.Finder(e.train([r[0] for r in planted[:500]]))
+    text = "x þÿ" + "".join(chr(b) for b in "H😀i".encode("utf-16-be"))
+    seen = finder.look(text)
+    assert seen[2] == "x H😀i" and seen[3] == ["x", " ", "", "", "H", "", "😀", "", "", "", "i", ""]
