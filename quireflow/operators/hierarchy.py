@@ -1,211 +1,104 @@
 """Parent-child links to full hierarchies: paths, depths, roots, descendants, cycles.
 
-Method: level-wise frontier joins. From the roots, the frontier of each level joins the edges and
-extends path, depth, root and inherited value of the nodes it reaches first; ancestor pairs, grown
-level by level, give the nodes below each node; a pair of a node with itself is a cycle, and nodes
-no level reaches hang under no root.
-
-Every join is on the tree's ``space`` (one file), so spaces are shuffled once and the levels of all
-spaces of a task run there, as array operations, without a Spark job per level. That holds for
-spaces of up to ``local_cap`` nodes, whose memory is bounded by it. Larger spaces are exact too:
-they take the same joins as DataFrames, a level a round, each cut by a checkpoint.
+Method: level-wise frontier joins. From the roots, the frontier joins the links and extends path,
+depth, root and inherited value of what it reaches. A round takes many levels at once: beside the
+ways down from the roots it keeps those of exactly 2^r steps between any two nodes, and one join with
+the latter extends both, so round r ends with all nodes less than 2^(r+1) levels deep and a tree of
+n levels takes log2(n) rounds. Ways that would repeat a node are dropped, which ends rings.
+
+Ancestor pairs, the nodes of each way with its end, give the nodes below each node. Links that are
+on no way from a root (a second parent, the link that closes a ring, links between unreached nodes)
+are few: the pairs they add are closed by joins with themselves; a node paired with itself is on a cycle.
+
+Every join is on the space and a node (path, obj), so a large space is spread like any other rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.session import cut, has_rows
-
-OUT = "path string, obj bigint, root_obj bigint, depth_no int, tree_path string, on_cycle int, n_below int, res_obj bigint"
-LOCAL_CAP = 4096
-_BLOCK = 40_000
-
-
-def _expand(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For slices (start, count): the owner of every element, and every element's place."""
-    owner = np.repeat(np.arange(len(start)), count)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + start[owner]
-
-
-def _closure(n: int, first: np.ndarray, many: np.ndarray, kids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes below, lies on a cycle) of each of n nodes: ancestor pairs grown level by level."""
-    seen = np.zeros((n, n), bool)
-    anc, at = np.arange(n), np.arange(n)
-    while len(anc):
-        owner, place = _expand(first[at], many[at])
-        pair = np.unique(anc[owner] * n + kids[place])
-        anc, at = pair // n, pair % n
-        fresh = ~seen[anc, at]
-        anc, at = anc[fresh], at[fresh]
-        seen[anc, at] = True
-    cycle = seen.diagonal().copy()
-    return seen.sum(1) - cycle, cycle
-
-
-def _solve(t: pa.Table) -> pa.Table:
-    """The hierarchy of whole spaces; rows sorted by path, obj, so that codes of paths ascend."""
-    path = t.column("path").combine_chunks()
-    code = path.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    obj = t.column("obj").to_numpy().astype(np.int64)
-    gen = t.column("gen").to_numpy().astype(np.int64)
-    res = t.column("res").fill_null(-1).to_numpy().astype(np.int64)
-    own = ~t.column("res").combine_chunks().is_null().to_numpy(zero_copy_only=False)
-    n = len(obj)
-    kids = t.column("kids").combine_chunks()
-    length = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(kids), 0)).astype(np.int64)
-    flat = kids.flatten()
-    k_obj = flat.field("obj").to_numpy(zero_copy_only=False)
-    k_gen = flat.field("gen").to_numpy(zero_copy_only=False)
-    # frontier joins need children as row numbers: match (space, obj, gen) by sorted search
-    parent = np.repeat(np.arange(n), length)
-    named = ~(np.isnan(k_obj.astype(float)) | np.isnan(k_gen.astype(float)))
-    parent, k_obj, k_gen = parent[named], k_obj[named].astype(np.int64), k_gen[named].astype(np.int64)
-    key = np.empty(n, [("c", np.int64), ("o", np.int64)])
-    key["c"], key["o"] = code, obj
-    want = np.empty(len(parent), key.dtype)
-    want["c"], want["o"] = code[parent], k_obj
-    uniq, inverse = np.unique(np.concatenate([key, want]), return_inverse=True)
-    row_of = np.full(len(uniq), -1)
-    row_of[inverse[:n]] = np.arange(n)
-    child = row_of[inverse[n:]]
-    ok = child >= 0
-    ok[ok] &= gen[child[ok]] == k_gen[ok]
-    edge = np.unique(parent[ok] * max(n, 1) + child[ok])
-    e_parent, e_child = edge // max(n, 1), edge % max(n, 1)
-    many = np.bincount(e_parent, minlength=n)
-    first = np.cumsum(many) - many
-    parents = np.bincount(e_child, minlength=n)
-
-    depth = np.full(n, -1)
-    up = np.full(n, -1)
-    root = np.full(n, -1)
-    inherited = np.where(own, res, -1)
-    tree = [""] * n
-    frontier = np.flatnonzero(parents == 0)
-    depth[frontier], root[frontier] = 0, obj[frontier]
-    for i in frontier:
-        tree[i] = str(obj[i])
-    levels = []
-    while len(frontier):
-        levels.append(frontier)
-        owner, place = _expand(first[frontier], many[frontier])
-        above, below = frontier[owner], e_child[place]
-        fresh = depth[below] < 0
-        above, below = above[fresh], below[fresh]
-        pick = np.lexsort((obj[above], below))
-        below, at = np.unique(below[pick], return_index=True)
-        above = above[pick][at]
-        depth[below], up[below], root[below] = len(levels), above, root[above]
-        inherited[below] = np.where(own[below], res[below], inherited[above])
-        for a, b in zip(above, below, strict=True):
-            tree[b] = f"{tree[a]}/{obj[b]}"
-        frontier = below
-
-    below_n, cycle = np.zeros(n, np.int64), np.zeros(n, bool)
-    odd = np.zeros(code.max(initial=-1) + 1, bool)
-    odd[code[(parents > 1) | (depth < 0)]] = True
-    # where every node has one way from a root, the pairs of a level are summed upwards
-    for level in reversed(levels[1:]):
-        plain = level[~odd[code[level]]]
-        np.add.at(below_n, up[plain], below_n[plain] + 1)
-    for c in np.flatnonzero(odd):
-        # the rows of a space are next to each other, and so are its edges
-        lo, hi = np.searchsorted(code, c), np.searchsorted(code, c, "right")
-        begin, end = first[lo], first[hi - 1] + many[hi - 1]
-        below_n[lo:hi], cycle[lo:hi] = _closure(hi - lo, first[lo:hi] - begin, many[lo:hi], e_child[begin:end] - lo)
-    lost = depth < 0
-    root[lost], inherited[lost] = -1, -1
-    return pa.table(
-        [path, pa.array(obj), pa.array(root, pa.int64()), pa.array(depth, pa.int32()), pa.array(tree, pa.string()), pa.array(cycle.astype(np.int32)), pa.array(below_n, pa.int32()), pa.array(inherited, pa.int64())],
-        names=["path", "obj", "root_obj", "depth_no", "tree_path", "on_cycle", "n_below", "res_obj"],
-    )
+from quireflow.session import cut, forget, has_rows
 
+_NODE = ["path", "obj"]
 
-def _first_rows(t: pa.Table) -> pa.Table:
-    """One row for each (path, obj); the rows come sorted by these."""
-    path, obj = t.column("path").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False), t.column("obj").to_numpy()
-    new = np.ones(len(obj), bool)
-    new[1:] = (path[1:] != path[:-1]) | (obj[1:] != obj[:-1])
-    return t.filter(pa.array(new))
-
-
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole spaces at a time: rows come sorted by path; the last space waits for the next batch."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-
-    def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if t.num_rows:
-            yield from _solve(_first_rows(t.combine_chunks())).to_batches(max_chunksize=10_000)
-
-    for b in batches:
-        held.append(b)
-        count += b.num_rows
-        if count >= _BLOCK:
-            t = pa.Table.from_batches(held)
-            path = t.column("path").to_pylist()
-            stop = len(path)
-            while stop and path[stop - 1] == path[-1]:
-                stop -= 1
-            yield from solved(t.slice(0, stop))
-            held, count = t.slice(stop).to_batches(), t.num_rows - stop
-    if held:
-        yield from solved(pa.Table.from_batches(held))
-
-
-def _by_joins(nodes: DataFrame) -> DataFrame:
-    """The same result by DataFrame joins, a level a round: for spaces of any size."""
-    cols = ["path", "obj", "root_obj", "depth_no", "tree_path", "res_obj"]
-    latest = nodes.groupBy("path", "obj").agg(F.max_by(F.struct("gen", "kids", "res"), "rank").alias("x")).select("path", "obj", "x.*")
-    nodes = cut(latest)
-    wanted = nodes.select("path", F.col("obj").alias("up"), F.explode("kids").alias("k")).select("path", "up", F.col("k.obj").alias("obj"), F.col("k.gen").alias("gen")).dropna()
-    edges = cut(wanted.join(nodes.select("path", "obj", "gen"), ["path", "obj", "gen"], "left_semi").select("path", "up", "obj").distinct())
-
-    roots = nodes.join(edges, ["path", "obj"], "left_anti")
-    frontier = cut(roots.select("path", "obj", F.col("obj").alias("root_obj"), F.lit(0).alias("depth_no"), F.col("obj").cast("string").alias("tree_path"), F.coalesce("res", F.lit(-1)).alias("res_obj")))
-    levels = [frontier]
-    reached = frontier.select("path", "obj")
-    while has_rows(frontier):
-        f = frontier.withColumnRenamed("obj", "up")
-        step = f.join(edges, ["path", "up"]).join(reached, ["path", "obj"], "left_anti")
-        step = step.groupBy("path", "obj").agg(F.min_by(F.struct("root_obj", "depth_no", "tree_path", "res_obj"), "up").alias("x"))
-        step = step.join(nodes.select("path", "obj", "res"), ["path", "obj"]).select(
-            "path", "obj", "x.root_obj", (F.col("x.depth_no") + 1).alias("depth_no"), F.concat_ws("/", "x.tree_path", F.col("obj").cast("string")).alias("tree_path"), F.coalesce("res", "x.res_obj").alias("res_obj")
-        )
-        frontier = cut(step)
-        levels.append(frontier)
-        reached = cut(reached.unionByName(frontier.select("path", "obj")))
-    found = levels[0].select(*cols)
-    for level in levels[1:]:
-        found = found.unionByName(level.select(*cols))
-
-    pairs = cut(edges.select("path", F.col("up").alias("anc"), "obj"))
-    all_pairs = pairs
-    while has_rows(pairs):
-        pairs = cut(pairs.withColumnRenamed("obj", "up").join(edges, ["path", "up"]).select("path", "anc", "obj").distinct().join(all_pairs, ["path", "anc", "obj"], "left_anti"))
-        all_pairs = cut(all_pairs.unionByName(pairs))
-    below = all_pairs.groupBy("path", F.col("anc").alias("obj")).agg(F.count_if(F.col("anc") != F.col("obj")).cast("int").alias("n_below"), F.max((F.col("anc") == F.col("obj")).cast("int")).alias("on_cycle"))
-    out = nodes.select("path", "obj").join(found, ["path", "obj"], "left").join(below, ["path", "obj"], "left")
-    return out.select(
-        "path",
-        "obj",
-        F.coalesce("root_obj", F.lit(-1)).alias("root_obj"),
-        F.coalesce("depth_no", F.lit(-1)).alias("depth_no"),
-        F.coalesce("tree_path", F.lit("")).alias("tree_path"),
-        F.coalesce("on_cycle", F.lit(0)).alias("on_cycle"),
-        F.coalesce("n_below", F.lit(0)).alias("n_below"),
-        F.coalesce("res_obj", F.lit(-1)).alias("res_obj"),
-    )
 
+def _best(way: str = "way") -> Column:
+    """Orders ways to one node: the shortest first, then the one over the smallest parent."""
+    return F.struct(F.size(way).alias("n"), F.reverse(way).alias("r"))
 
-def hierarchy(page_nodes: DataFrame, local_cap: int = LOCAL_CAP) -> DataFrame:
+
+def _nodes(page_nodes: DataFrame) -> DataFrame:
+    """path, obj, gen, kids, res: one row for each node, the one recorded last."""
+    slim = page_nodes.select(
+        "path", F.col("obj").cast("bigint").alias("obj"), F.coalesce(F.col("gen").cast("bigint"), F.lit(0)).alias("gen"),
+        F.transform("kids", lambda k: F.struct(k["obj"].cast("bigint").alias("obj"), k["gen"].cast("bigint").alias("gen"))).alias("kids"),
+        F.col("resources_ref.obj").cast("bigint").alias("res"), F.coalesce(F.col("recorded_at").cast("string"), F.lit("")).alias("at"),
+    ).dropna(subset=_NODE)
+    rank = F.struct("at", F.xxhash64("gen", "kids", "res"))
+    return slim.groupBy(*_NODE).agg(F.max_by(F.struct("gen", "kids", "res"), rank).alias("x")).select(*_NODE, "x.*")
+
+
+def _ways(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """path, obj, way, res: of each node that a root reaches, the nodes from the root to it and the nearest own res."""
+    linked = edges.join(nodes.select(*_NODE, "res"), _NODE)
+    steps = cut(linked.select("path", "up", "obj", F.array("obj").alias("way"), "res"))
+    roots = nodes.join(edges.select(*_NODE).distinct(), _NODE, "left_anti")
+    done = [cut(roots.select("path", "obj", F.array("obj").alias("way"), "res"))]
+    while has_rows(steps):
+        left = steps.select("path", "up", "obj", "way", "res")
+        for part in done:
+            left = left.unionByName(part.withColumn("up", F.lit(None).cast("bigint")))
+        l, r = left.alias("l"), steps.alias("r")
+        met = l.join(r, [F.col("l.path") == F.col("r.path"), F.col("l.obj") == F.col("r.up")])
+        way = F.concat("l.way", "r.way")
+        met = met.select("l.path", "l.up", "r.obj", way.alias("way"), F.coalesce("r.res", "l.res").alias("res"))
+        # a way starts behind its node up, except from a root
+        fresh = (F.size(F.array_distinct("way")) == F.size("way")) & ~F.coalesce(F.array_contains("way", F.col("up")), F.lit(False))
+        longer = met.where(fresh).groupBy("path", "up", "obj").agg(F.min_by(F.struct("way", "res"), _best()).alias("x")).select("path", "up", "obj", "x.*")
+        both = cut(longer)
+        forget(steps)
+        done.append(both.where("up is null").drop("up"))
+        steps = both.where("up is not null")
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*_NODE).agg(F.min_by(F.struct("way", "res"), _best()).alias("x")).select(*_NODE, "x.*")
+
+
+def _odd_pairs(odd: DataFrame, ways: DataFrame) -> DataFrame:
+    """path, anc, obj: the nodes that nodes reach over at least one odd link (up to obj), the last step being one."""
+    above = odd.join(ways.select("path", F.col("obj").alias("up"), "way"), ["path", "up"], "left")
+    first = cut(above.select("path", F.explode(F.coalesce("way", F.array("up"))).alias("anc"), "obj").distinct())
+    # further steps: an odd link leaves what lies below the end of the one before, which first has as pairs
+    pairs, n = first, first.count()
+    while True:
+        l, r = pairs.alias("l"), pairs.alias("r")
+        further = l.join(r, [F.col("l.path") == F.col("r.path"), F.col("l.obj") == F.col("r.anc")]).select("l.path", "l.anc", "r.obj")
+        more = cut(pairs.unionByName(further).distinct())
+        forget(pairs)
+        pairs, before, n = more, n, more.count()
+        if n == before:
+            return pairs
+
+
+def _below(ways: DataFrame, odd: DataFrame) -> DataFrame:
+    """path, obj, n_below, on_cycle of the nodes that have others below or lie on a cycle."""
+    down = ways.select("path", F.explode(F.slice("way", F.lit(1), F.size("way") - 1)).alias("anc"), "obj")
+    plain = down.groupBy("path", F.col("anc").alias("obj")).agg(F.count(F.lit(1)).cast("int").alias("n_below"), F.lit(0).alias("on_cycle"))
+    if not has_rows(odd):
+        return plain
+    jumps = _odd_pairs(odd, ways)
+    ends = jumps.select("path", F.col("obj").alias("anc")).distinct()
+    reach = down.join(ends, ["path", "anc"], "left_semi").select("path", F.col("anc").alias("end"), "obj")
+    over = jumps.withColumnRenamed("obj", "end").join(reach, ["path", "end"]).select("path", "anc", "obj")
+    starts = jumps.select("path", "anc").distinct()
+    every = down.join(starts, ["path", "anc"], "left_semi").unionByName(jumps).unionByName(over).distinct()
+    counted = every.groupBy("path", F.col("anc").alias("obj")).agg(F.count_if(F.col("anc") != F.col("obj")).cast("int").alias("n_below"), F.max((F.col("anc") == F.col("obj")).cast("int")).alias("on_cycle"))
+    return plain.join(starts.withColumnRenamed("anc", "obj"), _NODE, "left_anti").unionByName(counted)
+
+
+def hierarchy(page_nodes: DataFrame) -> DataFrame:
     """One row for each (path, obj): root, depth, path, cycle flag, number of nodes below, inherited resource.
 
     Needs path, obj, gen, kids, resources_ref, recorded_at; other columns are ignored. Rows with a
@@ -214,17 +107,19 @@ def hierarchy(page_nodes: DataFrame, local_cap: int = LOCAL_CAP) -> DataFrame:
     over several ways takes the shortest, then the one over the smallest parent. A node no root
     reaches has root_obj -1, depth_no -1, tree_path '' and res_obj -1. An empty table gives no rows.
     """
-    slim = page_nodes.select(
-        "path", F.col("obj").cast("bigint").alias("obj"), F.coalesce(F.col("gen").cast("bigint"), F.lit(0)).alias("gen"),
-        F.transform("kids", lambda k: F.struct(k["obj"].cast("bigint").alias("obj"), k["gen"].cast("bigint").alias("gen"))).alias("kids"),
-        F.col("resources_ref.obj").cast("bigint").alias("res"), F.col("recorded_at").alias("_rec"),
-    ).dropna(subset=["path", "obj"])
-    rank = F.struct(F.coalesce(F.col("_rec").cast("string"), F.lit("")).alias("a"), F.xxhash64("gen", "kids", "res").alias("b"))
-    slim = slim.withColumn("rank", rank).drop("_rec")
-    large = slim.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_cap).select("path")
-    small, rest = slim, None
-    if has_rows(large):
-        large = cut(large)
-        small, rest = slim.join(large, "path", "left_anti"), slim.join(large, "path", "left_semi")
-    solved = small.repartition("path").sortWithinPartitions("path", "obj", F.desc("rank")).drop("rank").mapInArrow(_in_blocks, OUT)
-    return solved if rest is None else solved.unionByName(_by_joins(rest))
+    nodes = cut(_nodes(page_nodes))
+    wanted = nodes.select("path", F.col("obj").alias("up"), F.explode("kids").alias("k")).select("path", "up", "k.obj", "k.gen").dropna()
+    edges = cut(wanted.join(nodes.select(*_NODE, "gen"), [*_NODE, "gen"], "left_semi").select("path", "up", "obj").distinct())
+    ways = cut(_ways(nodes, edges))
+    taken = ways.where("size(way) > 1").select("path", F.element_at("way", -2).alias("up"), "obj")
+    odd = cut(edges.join(taken, ["path", "up", "obj"], "left_anti"))
+    out = nodes.select(*_NODE).join(ways, _NODE, "left").join(_below(ways, odd), _NODE, "left")
+    return out.select(
+        *_NODE,
+        F.coalesce(F.try_element_at("way", F.lit(1)), F.lit(-1)).alias("root_obj"),
+        F.coalesce(F.size("way") - 1, F.lit(-1)).alias("depth_no"),
+        F.coalesce(F.array_join(F.transform("way", lambda x: x.cast("string")), "/"), F.lit("")).alias("tree_path"),
+        F.coalesce("on_cycle", F.lit(0)).alias("on_cycle"),
+        F.coalesce("n_below", F.lit(0)).alias("n_below"),
+        F.coalesce("res", F.lit(-1)).alias("res_obj"),
+    )

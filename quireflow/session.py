@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,25 +49,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+_cutting: list[str] = []
+_lock = threading.Lock()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: lineage ends here.
+    """``df`` written to the shared checkpoint folder and read back: lineage ends here, partitioning stays.
 
     Constraints are not propagated meanwhile: a checkpoint keeps those of its plan, and one about a
     column that the plan dropped makes a later union fail (``key not found`` in rewriteConstraints).
+    Cuts may run at the same time: the setting returns when the last of them ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    setting = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
+    with _lock:
+        _cutting.append(_cutting[0] if _cutting else spark.conf.get(_CONSTRAINTS))
+        spark.conf.set(_CONSTRAINTS, "false")
     try:
         return df.checkpoint(eager=True)
     finally:
-        spark.conf.set(setting, before)
+        with _lock:
+            before = _cutting.pop()
+            if not _cutting:
+                spark.conf.set(_CONSTRAINTS, before)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files behind results of :func:`cut` which nothing reads any more."""
+    for df in tables:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.nodeName() == "Scan ExistingRDD" else None
+        if file is not None and file.isDefined():
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+            at = jvm.org.apache.hadoop.fs.Path(file.get())
+            at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
 
 
 def has_rows(df: DataFrame) -> bool:
-    return bool(df.limit(1).take(1))
+    return bool(df.select(F.lit(1)).take(1))
 
 
 def like_columns(df: DataFrame, schema: T.StructType) -> DataFrame:

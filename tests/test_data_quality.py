@@ -86,11 +86,10 @@ def brute_hierarchy(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("cap", [4096, 0])
-def test_hierarchy_against_brute_force(spark, cap):
+def test_hierarchy_against_brute_force(spark):
     rows = forest(random.Random(3), 14)
     df = spark.createDataFrame(rows + rows[:20] + [(None, 1, 0, None, None, T0, 0, ""), ("p", None, 0, None, None, T0, 0, "")], NODES)
-    assert sorted(tuple(r) for r in hierarchy.hierarchy(df, cap).collect()) == brute_hierarchy(rows)
+    assert sorted(tuple(r) for r in hierarchy.hierarchy(df).collect()) == brute_hierarchy(rows)
 
 
 def test_hierarchy_sizes_and_edges(spark):
@@ -102,6 +101,22 @@ def test_hierarchy_sizes_and_edges(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], NODES)).count() == 0
 
 
+def test_hierarchy_takes_very_deep_trees(spark):
+    n = 5000
+    chain = spark.range(n).selectExpr("'deep' as path", "id as obj", "0 as gen", "array(struct(id + 1 as obj, 0 as gen)) as kids", "cast(null as struct<obj:bigint,gen:int>) as resources_ref", "timestamp_ntz '2020-01-01 00:00:00' as recorded_at")
+    got = hierarchy.hierarchy(chain).agg(F.max("depth_no"), F.max("n_below"), F.sum("n_below"), F.max("on_cycle"), F.max(F.length("tree_path"))).first()
+    assert tuple(got) == (n - 1, n - 1, n * (n - 1) // 2, 0, len("/".join(map(str, range(n)))))
+
+
+def test_hierarchy_joins_and_has_no_python(spark):
+    # two rings that share a node, a tree below them, and a second parent
+    rows = [("p", 1, 0, [(2, 0), (4, 0)], None, T0, 0, ""), ("p", 2, 0, [(3, 0)], None, T0, 0, ""), ("p", 3, 0, [(1, 0), (4, 0)], None, T0, 0, ""), ("p", 4, 0, [(1, 0), (5, 0)], None, T0, 0, ""), ("p", 5, 0, None, None, T0, 0, ""), ("p", 9, 0, [(5, 0), (2, 0)], (7, 0), T0, 0, "")]
+    got = hierarchy.hierarchy(spark.createDataFrame(rows, NODES))
+    assert sorted(tuple(r) for r in got.collect()) == brute_hierarchy(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "MapIn" not in plan
+
+
 # -- change feeds ----------------------------------------------------------------------------------
 
 BLOCKS = "block_id bigint, path string, start_pos bigint, prev bigint, xrefs array<struct<obj:bigint,gen:int,kind:string,byte_pos:bigint,stream_id:bigint,idx:bigint>>, recorded_at timestamp_ntz, ord int, s string"

@@ -5,8 +5,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from quireflow.operators import textstate
+from quireflow.operators import hierarchy, textstate
 from quireflow.plans.writing import customer_file
+from quireflow.session import table
 from quireflow.sources.pdf import PAGE, Corpus
 
 DATA = "/root/testdata/sf0.001"
@@ -46,6 +47,6 @@ def test_timestamps_are_parsed_once(spark):
 
 
 def test_columns_are_pruned(spark):
-    text = plan(entry.queries()["p3_found"](spark, DATA))
+    text = plan(hierarchy._nodes(table(spark, DATA, "page_nodes")))
     schema = re.search(r"ReadSchema: (\S+)", text)[1]
     assert "media_box" not in schema and "rotate" not in schema and "received_at" not in schema

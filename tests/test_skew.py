@@ -24,7 +24,7 @@ def test_hot_file_of_nodes(spark):
     hot = spark.range(6000).select(F.lit("hot").alias("path"), F.col("id").alias("obj"), F.lit(0).alias("gen"), F.expr("array(named_struct('obj', id * 2 + 1, 'gen', 0), named_struct('obj', id * 2 + 2, 'gen', 0))").alias("kids"))
     cold = spark.range(3000).select(F.concat(F.lit("c"), (F.col("id") % 500).cast("string")).alias("path"), F.col("id").alias("obj"), F.lit(0).alias("gen"), F.lit(None).cast(f"array<{ref}>").alias("kids"))
     nodes = hot.unionByName(cold).withColumns({"resources_ref": F.lit(None).cast(ref), "recorded_at": F.lit(T0 + timedelta(0)).cast("timestamp_ntz")})
-    got = hierarchy.hierarchy(nodes)  # the hot file is beyond the bound of a task
+    got = hierarchy.hierarchy(nodes)
     assert got.count() == 9000
     top = got.where("path = 'hot' and obj = 0").first()
     assert (top.n_below, top.depth_no, top.root_obj) == (5999, 0, 0)
