@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,30 +51,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
-_cutting: list[str] = []
+_CONSTRAINTS, _ADAPTIVE = "spark.sql.constraintPropagation.enabled", "spark.sql.adaptive.enabled"
+_off: dict[str, list[str]] = {}
 _lock = threading.Lock()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: lineage ends here, partitioning stays.
+@contextmanager
+def _without(spark: SparkSession, settings: list[str]) -> Iterator[None]:
+    """Turns settings off for a while. Such whiles may overlap: a setting returns when the last of them ends."""
+    with _lock:
+        for s in settings:
+            held = _off.setdefault(s, [])
+            held.append(held[0] if held else spark.conf.get(s))
+            spark.conf.set(s, "false")
+    try:
+        yield
+    finally:
+        with _lock:
+            for s in settings:
+                before = _off[s].pop()
+                if not _off[s]:
+                    spark.conf.set(s, before)
+
+
+def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: lineage ends here.
+
+    With ``keep_layout`` the result is known to be partitioned and sorted as ``df`` was, so joins on
+    these keys move nothing; adaptive execution, which forgets it, is off meanwhile.
 
     Constraints are not propagated meanwhile: a checkpoint keeps those of its plan, and one about a
     column that the plan dropped makes a later union fail (``key not found`` in rewriteConstraints).
-    Cuts may run at the same time: the setting returns when the last of them ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    with _lock:
-        _cutting.append(_cutting[0] if _cutting else spark.conf.get(_CONSTRAINTS))
-        spark.conf.set(_CONSTRAINTS, "false")
-    try:
+    with _without(spark, [_CONSTRAINTS, _ADAPTIVE] if keep_layout else [_CONSTRAINTS]):
         return df.checkpoint(eager=True)
-    finally:
-        with _lock:
-            before = _cutting.pop()
-            if not _cutting:
-                spark.conf.set(_CONSTRAINTS, before)
 
 
 def forget(*tables: DataFrame) -> None:
