@@ -32,7 +32,6 @@ def missing_keys(keys: DataFrame, parents: DataFrame, key: list[str], at: str, v
     month = lambda c: F.date_trunc("month", F.col(c)).cast("timestamp_ntz")
     ended = (
         own.where("_to > _from")
-        .distinct()
         .withColumn("_month", F.explode(F.sequence(month("_from"), month("_to"), F.expr("interval 1 month"))))
         .withColumn("_month", F.col("_month").cast("timestamp_ntz"))
     )
@@ -43,6 +42,13 @@ def missing_keys(keys: DataFrame, parents: DataFrame, key: list[str], at: str, v
     return rest.join(e, cond, "left_anti").drop("_qf_month")
 
 
+def _lost(refs: DataFrame, parents: DataFrame, key: list[str], at: str, valid_from: str, valid_to: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(real references, distinct keys and times without a parent, the columns that join the two)."""
+    real = refs.dropna(subset=key).withColumn("_qf_at", F.coalesce(_moment(F.col(at)), F.expr(NEVER)))
+    keys = real.select(*key, "_qf_at").distinct()
+    return real, missing_keys(keys, parents, key, "_qf_at", valid_from, valid_to), [*key, "_qf_at"]
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], at: str = "at", valid_from: str = "recorded_at", valid_to: str = "removed_at") -> DataFrame:
     """The rows of ``refs`` whose key names no parent valid at their time.
 
@@ -50,23 +56,22 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], at: s
     reference with a null key column is none and is left out; a null time is before everything,
     so such a reference is always an orphan. Repeated rows stay repeated.
     """
-    real = refs.dropna(subset=key).withColumn("_qf_at", F.coalesce(_moment(F.col(at)), F.expr(NEVER)))
-    keys = real.select(*key, "_qf_at").distinct()
-    lost = missing_keys(keys, parents, key, "_qf_at", valid_from, valid_to)
-    return real.join(lost, [*key, "_qf_at"], "left_semi").select(*[F.col(f"`{c}`") for c in refs.columns])
+    real, lost, by = _lost(refs, parents, key, at, valid_from, valid_to)
+    return real.join(lost, by, "left_semi").select(*[F.col(f"`{c}`") for c in refs.columns])
 
 
-def orphan_report(refs: DataFrame, orphans: DataFrame, by: list[str]) -> DataFrame:
-    """Per group of ``by``: references, orphans among them. Groups without orphans have 0."""
-    n = refs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_refs"))
-    m = orphans.groupBy(*by).agg(F.count(F.lit(1)).alias("n_orphans"))
-    a, b = n.alias("a"), m.alias("b")
-    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    return a.join(b, cond, "left").select(*[F.col(f"a.{c}") for c in by], "a.n_refs", F.coalesce("b.n_orphans", F.lit(0).cast("bigint")).alias("n_orphans"))
+def orphan_report(refs: DataFrame, parents: DataFrame, key: list[str], by: list[str], at: str = "at", valid_from: str = "recorded_at", valid_to: str = "removed_at") -> DataFrame:
+    """Per group of ``by``: references, orphans among them, in one pass. Groups without orphans have 0.
+
+    References, nulls and repeated rows are as for :func:`orphan_references`.
+    """
+    real, lost, on = _lost(refs, parents, key, at, valid_from, valid_to)
+    marked = real.join(lost.withColumn("_qf_lost", F.lit(True)), on, "left")
+    return marked.groupBy(*[F.col(f"`{c}`") for c in by]).agg(F.count(F.lit(1)).alias("n_refs"), F.count("_qf_lost").alias("n_orphans"))
 
 
 def object_references(xref_blocks: DataFrame, page_resources: DataFrame) -> DataFrame:
-    """Every non-null reference to an object: ref_table, ref_id, slot, path, obj, gen, at; distinct."""
+    """Every non-null reference to an object: ref_table, ref_id, slot, path, obj, gen, at; as often as its row is there."""
     blocks = xref_blocks.select("block_id", "path", "root", "xrefs", F.col("recorded_at").alias("at"))
     entry = (
         blocks.select("block_id", "path", "at", F.posexplode("xrefs").alias("pos", "x"))
@@ -85,4 +90,4 @@ def object_references(xref_blocks: DataFrame, page_resources: DataFrame) -> Data
     font = page_resources.select("resource_id", "path", F.col("recorded_at").alias("at"), F.explode("font").alias("slot", "f")).select(
         F.lit("page_resources.font").alias("ref_table"), F.col("resource_id").alias("ref_id"), "slot", "path", F.col("f.obj").alias("obj"), F.col("f.gen").alias("gen"), "at"
     )
-    return entry.unionByName(root).unionByName(font).dropna(subset=["path", "obj", "gen"]).distinct()
+    return entry.unionByName(root).unionByName(font).dropna(subset=["path", "obj", "gen"])

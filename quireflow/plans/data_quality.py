@@ -25,9 +25,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    refs = _references(spark, d)
-    lost = orphans.orphan_references(refs, table(spark, d, "objects"), ["path", "obj", "gen"])
-    return orphans.orphan_report(refs.select("*", _month()), lost.select("*", _month()), ["ref_table", "ref_month"])
+    refs = _references(spark, d).distinct().select("*", _month())
+    return orphans.orphan_report(refs, table(spark, d, "objects"), ["path", "obj", "gen"], ["ref_table", "ref_month"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

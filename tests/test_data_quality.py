@@ -36,8 +36,8 @@ def test_orphans_against_brute_force(spark):
     none = orphans.orphan_references(df, spark.createDataFrame([], PARENTS), ["path", "obj", "gen"])
     assert none.count() == df.dropna(subset=["path", "obj", "gen"]).count()
     assert orphans.orphan_references(df.limit(0), spark.createDataFrame(parents, PARENTS), ["path", "obj", "gen"]).count() == 0
-    report = {r.path: (r.n_refs, r.n_orphans) for r in orphans.orphan_report(df, got, ["path"]).collect()}
-    assert report[None][1] == 0 and sum(v[1] for v in report.values()) == len(want)
+    report = {r.path: (r.n_refs, r.n_orphans) for r in orphans.orphan_report(df, spark.createDataFrame(parents, PARENTS), ["path", "obj", "gen"], ["path"]).collect()}
+    assert None not in report and sum(v[1] for v in report.values()) == len(want)
 
 
 # -- hierarchies -----------------------------------------------------------------------------------
