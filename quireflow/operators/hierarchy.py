@@ -39,31 +39,36 @@ def _nodes(page_nodes: DataFrame) -> DataFrame:
     return slim.groupBy(*_NODE).agg(F.max_by(F.struct("gen", "kids", "res"), rank).alias("x")).select(*_NODE, "x.*")
 
 
+def _shortest(ways: DataFrame, key: list[str]) -> DataFrame:
+    """One way for each ``key``: only ways through a node of several parents (joint) can have others beside them."""
+    best = ways.where("joint").groupBy(*key).agg(F.min_by(F.struct("way", "res", "joint"), _best()).alias("x")).select(*key, "x.*")
+    return ways.where("not joint").select(*key, "way", "res", "joint").unionByName(best)
+
+
 def _ways(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """path, obj, way, res: of each node that a root reaches, the nodes from the root to it and the nearest own res."""
-    linked = edges.join(nodes.select(*_NODE, "res"), _NODE)
-    steps = cut(linked.select("path", "up", "obj", F.array("obj").alias("way"), "res"))
-    roots = nodes.join(edges.select(*_NODE).distinct(), _NODE, "left_anti")
-    done = [cut(roots.select("path", "obj", F.array("obj").alias("way"), "res"))]
+    above = edges.groupBy(*_NODE).agg(F.min("up").alias("up"), F.count(F.lit(1)).alias("parents"))
+    known = cut(nodes.select(*_NODE, "res").join(above, _NODE, "left").select("*", F.array("obj").alias("way"), (F.coalesce("parents", F.lit(0)) > 1).alias("joint")))
+    more = edges.join(known.where("joint").select(*_NODE, "way", "res", "joint"), _NODE).where("up is not null")
+    cols = ["path", "up", "obj", "way", "res", "joint"]
+    steps = known.where("parents = 1").select(*cols).unionByName(more.select(*cols))
+    done = [known.where("parents is null").select(*cols[:1], *cols[2:])]
     while has_rows(steps):
-        left = steps.select("path", "up", "obj", "way", "res")
+        left = steps
         for part in done:
             left = left.unionByName(part.withColumn("up", F.lit(None).cast("bigint")))
         l, r = left.alias("l"), steps.alias("r")
         met = l.join(r, [F.col("l.path") == F.col("r.path"), F.col("l.obj") == F.col("r.up")])
-        way = F.concat("l.way", "r.way")
-        met = met.select("l.path", "l.up", "r.obj", way.alias("way"), F.coalesce("r.res", "l.res").alias("res"))
+        met = met.select("l.path", "l.up", "r.obj", F.concat("l.way", "r.way").alias("way"), F.coalesce("r.res", "l.res").alias("res"), (F.col("l.joint") | F.col("r.joint")).alias("joint"))
         # a way starts behind its node up, except from a root
-        fresh = (F.size(F.array_distinct("way")) == F.size("way")) & ~F.coalesce(F.array_contains("way", F.col("up")), F.lit(False))
-        longer = met.where(fresh).groupBy("path", "up", "obj").agg(F.min_by(F.struct("way", "res"), _best()).alias("x")).select("path", "up", "obj", "x.*")
-        both = cut(longer)
-        forget(steps)
-        done.append(both.where("up is null").drop("up"))
-        steps = both.where("up is not null")
+        simple = (F.size(F.array_distinct("way")) == F.size("way")) & ~F.coalesce(F.array_contains("way", F.col("up")), F.lit(False))
+        both = cut(met.where(simple))
+        done.append(_shortest(both.where("up is null"), _NODE))
+        steps = _shortest(both.where("up is not null"), ["path", "up", "obj"])
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
-    return every.groupBy(*_NODE).agg(F.min_by(F.struct("way", "res"), _best()).alias("x")).select(*_NODE, "x.*")
+    return _shortest(every, _NODE).drop("joint")
 
 
 def _odd_pairs(odd: DataFrame, ways: DataFrame) -> DataFrame:

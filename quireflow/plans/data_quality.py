@@ -40,10 +40,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def _dated(spark: SparkSession, d: str) -> DataFrame:
     """page_props with the archive of the file, its zone and its order of day and month."""
     files = table(spark, d, "pdf_files").dropna(subset=["path"]).groupBy("path").agg(F.max("archive_key").alias("archive_key"))
-    archives = table(spark, d, "archives").select("archive_key", "tz", "day_first").dropDuplicates(["archive_key"])
+    archives = table(spark, d, "archives").groupBy("archive_key").agg(F.max_by(F.struct("tz", "day_first"), F.struct("title", "tz", "day_first")).alias("a")).select("archive_key", "a.tz", "a.day_first")
     props = table(spark, d, "page_props").select("prop_id", "path", "last_modified", "date_offset", "received_at")
-    # archives is a fixed table of 90 rows
-    return props.join(files, "path", "left").join(F.broadcast(archives), "archive_key", "left")
+    return props.join(files, "path", "left").join(archives, "archive_key", "left")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,6 +104,14 @@ def has_rows(df: DataFrame) -> bool:
     return bool(df.select(F.lit(1)).take(1))
 
 
+def few(df: DataFrame, most: int = 10_000) -> list[Row]:
+    """The rows of a table that must be small; a larger one is refused instead of sent to the driver."""
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"a table of at most {most} rows is wanted")
+    return rows
+
+
 def like_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` projected to ``schema`` by name; columns that clash or are surplus are left behind."""
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
