@@ -1,17 +1,16 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
 Texts are split by the tokenizer's pattern; the distinct pieces of a batch are encoded together.
-Pieces of similar length share a padded matrix of token ids beside the matrix of their pairs'
-ranks. Each round merges the leftmost pair of minimum rank in every row, found by one hashed lookup
-of the two pairs that changed, and rows without a mergeable pair leave the matrix (compaction).
-
-Very long pieces (a run of symbols may be the whole text) take another round: all occurrences of
-the minimum pair of the row at once, left to right. That gives the same ids, as a pair that contains
-a new token always has a higher rank than the merge that made it, which is verified on loading.
+Pieces of similar length, however long, share a padded matrix of token ids beside the matrix of their
+pairs' ranks. Each round merges the leftmost pair of minimum rank in every row; the two pairs that
+changed are looked up by hash. The matrices stand still: a token's neighbours are kept beside it and
+the least rank of each block of columns is kept too, so a round costs a row about the square root of its
+width. Rows without a mergeable pair leave the matrix (compaction).
 """
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -29,7 +28,8 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _NONE = np.int32(2**30)
-_LONG = 256
+#: Cells of a matrix; bounds memory only.
+_CELLS = 1 << 19
 #: Distinct pieces a worker remembers before it starts anew; only speed depends on it.
 _REMEMBERED = 400_000
 
@@ -44,14 +44,11 @@ def _byte_letters() -> list[str]:
 
 
 class Merges:
-    """The merges of a tokenizer as arrays: small enough to broadcast (about 2 MB), bounded by the vocabulary."""
+    """The merges of a tokenizer as arrays: small enough to broadcast (under 10 MB), bounded by the vocabulary."""
 
-    def __init__(self, byte_ids: np.ndarray, left: np.ndarray, right: np.ndarray, made: np.ndarray):
+    def __init__(self, byte_ids: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray, made: np.ndarray):
+        """``rank`` of each pair, ``made`` the token that a rank makes."""
         self.byte_ids, self.made = byte_ids.astype(np.int32), made.astype(np.int32)
-        born = np.full(int(max(made.max(), byte_ids.max())) + 1, -1)
-        born[made] = np.arange(len(made))
-        if (born[left] >= np.arange(len(made))).any() or (born[right] >= np.arange(len(made))).any():
-            raise ValueError("a merge comes before the merges that make its parts")
         keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
         self.bits = int(len(keys) * 4 - 1).bit_length()
         self.keys = np.full(1 << self.bits, np.uint64(2**64 - 1))
@@ -63,17 +60,32 @@ class Merges:
             won = np.zeros(len(todo), bool)
             won[np.unique(at, return_index=True)[1]] = True
             put = free & won
-            self.keys[at[put]], self.ranks[at[put]] = keys[todo[put]], todo[put]
+            self.keys[at[put]], self.ranks[at[put]] = keys[todo[put]], rank[todo[put]]
             todo, at = todo[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
             self.probes += 1
 
     @classmethod
     def load(cls, path: str | Path) -> Merges:
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        """From a tokenizer file of byte-level BPE, JSON or ranks (``.tiktoken``); other kinds are refused."""
+        if str(path).endswith(".tiktoken"):
+            return cls._of_ranks(path)
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
+        model, split = file["model"], file.get("pre_tokenizer") or {}
+        plain = file.get("normalizer") is None and not any(model.get(k) for k in ("ignore_merges", "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
+        if model.get("type") != "BPE" or not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path} is no byte-level BPE without normalisation")
         vocabulary = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         ids = lambda words: np.array([vocabulary[w] for w in words], np.int64)
-        return cls(ids(_byte_letters()), ids(a for a, _ in pairs), ids(b for _, b in pairs), ids(a + b for a, b in pairs))
+        return cls(ids(_byte_letters()), ids(a for a, _ in pairs), ids(b for _, b in pairs), np.arange(len(pairs)), ids(a + b for a, b in pairs))
+
+    @classmethod
+    def _of_ranks(cls, path: str | Path) -> Merges:
+        """Any two tokens whose bytes together are a token may merge; that token's rank is its id."""
+        ids = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
+        triples = [(ids[w[:i]], ids[w[i:]], rank) for w, rank in ids.items() for i in range(1, len(w)) if w[:i] in ids and w[i:] in ids]
+        left, right, rank = np.array(triples, np.int64).T
+        return cls(np.array([ids[bytes([b])] for b in range(256)]), left, right, rank, np.arange(max(ids.values()) + 1))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -96,77 +108,63 @@ class Merges:
             todo, at = todo[more], (at[more] + 1) & ((1 << self.bits) - 1)
         return out.reshape(shape)
 
-    def _rows(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of similar length, none longer than _LONG."""
+    def _rows(self, pieces: list[bytes], bits: int) -> list[np.ndarray]:
+        """Ids of pieces, none longer than 2^bits."""
+        n, block = len(pieces), 1 << (bits + 1) // 2
         length = np.array([len(p) for p in pieces])
-        width = int(length.max())
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        width = -(-(int(length.max()) + 1) // block) * block
+        blocks = width // block
         cols = np.arange(width)
-        ids = np.full((len(pieces), width), -1, np.int32)
-        ids[cols < length[:, None]] = self.byte_ids[flat]
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
-        owner = np.arange(len(pieces))
-        ranks = np.full((len(pieces), width), _NONE, np.int32)
-        if width > 1:
-            ranks[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
-        while len(owner):
-            at = ranks.argmin(1)
-            best = ranks[np.arange(len(owner)), at]
-            done = best == _NONE
-            if done.any():
-                for i in np.flatnonzero(done):
-                    out[owner[i]] = ids[i, : length[i]].copy()
-                keep = ~done
-                owner, length, at, best = owner[keep], length[keep], at[keep], best[keep]
-                if not len(owner):
+        inside = cols < length[:, None]
+        ids = np.full((n, width), -1, np.int32)
+        ids[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        ranks = np.full((n, width), _NONE, np.int32)
+        ranks[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
+        # flat places: row * width + column; a row's last column is never a token and stands for its end
+        ids, ranks = ids.ravel(), ranks.ravel()
+        right = np.arange(1, n * width + 1)
+        left = np.arange(-1, n * width - 1)
+        least = ranks.reshape(n * blocks, block).min(1).reshape(n, blocks)
+        spread = np.arange(block)
+        rows = np.arange(n)
+        while len(rows):
+            nearest = least[rows].argmin(1)
+            start = rows * width + nearest * block
+            keep = least[rows, nearest] != _NONE
+            if not keep.all():
+                rows, start = rows[keep], start[keep]
+                if not len(rows):
                     break
-                width = int(length.max())
-                ids, ranks, cols = ids[keep, :width], ranks[keep, :width], np.arange(width)
-            rows = np.arange(len(owner))
-            take = np.minimum(cols + (cols > at[:, None]), width - 1)
-            ids = np.take_along_axis(ids, take, 1)
-            ranks = np.take_along_axis(ranks, take, 1)
-            length = length - 1
-            ids[rows, length], ranks[rows, length] = -1, _NONE
-            ids[rows, at] = self.made[best]
-            after = np.where(at + 1 < length, ids[rows, np.minimum(at + 1, width - 1)], -1)
-            before = np.where(at > 0, ids[rows, np.maximum(at - 1, 0)], -1)
-            pair = self.rank(np.concatenate([ids[rows, at], before]), np.concatenate([after, ids[rows, at]]))
-            ranks[rows, at] = pair[: len(rows)]
-            has = at > 0
-            ranks[rows[has], at[has] - 1] = pair[len(rows) :][has]
-        return out
-
-    def _long(self, piece: bytes) -> np.ndarray:
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        while len(ids) > 1:
-            ranks = self.rank(ids[:-1], ids[1:])
-            best = ranks.min()
-            if best == _NONE:
-                break
-            at = np.flatnonzero(ranks == best)
-            # of a run of overlapping occurrences every second one counts, from its left end
-            run = np.cumsum(np.r_[True, np.diff(at) > 1])
-            first = at[np.r_[True, np.diff(at) > 1]][run - 1]
-            at = at[(at - first) % 2 == 0]
-            ids = ids.copy()
-            ids[at] = self.made[best]
-            ids = np.delete(ids, at + 1)
-        return ids
+            at = start + ranks[start[:, None] + spread].argmin(1)
+            gone = right[at]
+            after = right[gone]
+            ids[at] = self.made[ranks[at]]
+            ids[gone], ranks[gone] = -1, _NONE
+            right[at], left[after] = after, at
+            first = at == rows * width
+            before = np.where(first, at, left[at])
+            pair = self.rank(np.concatenate([ids[at], np.where(first, -1, ids[before])]), np.concatenate([ids[after], ids[at]]))
+            ranks[before[~first]] = pair[len(rows) :][~first]
+            ranks[at] = pair[: len(rows)]
+            for place in (at, gone, before):
+                changed = (place - rows * width) // block
+                least[rows, changed] = ranks[(rows * width + changed * block)[:, None] + spread].min(1)
+        ids = ids.reshape(n, width)
+        kept = ids >= 0
+        return np.split(ids[kept], np.cumsum(kept.sum(1))[:-1])
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of every piece, in the order given."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
-            if len(p) > _LONG:
-                out[i] = self._long(p)
-            elif p:
+            if p:
                 buckets.setdefault((len(p) - 1).bit_length(), []).append(i)
-        for members in buckets.values():
-            for k in range(0, len(members), 4096):
-                some = members[k : k + 4096]
-                for i, ids in zip(some, self._rows([pieces[i] for i in some]), strict=True):
+        for bits, members in buckets.items():
+            many = max(1, _CELLS >> bits)
+            for k in range(0, len(members), many):
+                some = members[k : k + many]
+                for i, ids in zip(some, self._rows([pieces[i] for i in some], bits), strict=True):
                     out[i] = ids
         return out
 
@@ -235,7 +233,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = f"{TOKENI
 
     Strings that look like special tokens are ordinary text. Null and empty texts give an empty
     list (0 tokens). Rows with a null key and repeated rows are kept. Columns besides the two are not
-    read. The tokenizer file is read by the driver only.
+    read. The tokenizer file is read by the driver only; one that is no byte-level BPE is refused.
     """
     shared = df.sparkSession.sparkContext.broadcast(Merges.load(tokenizer))
     kind = dict(df.dtypes)[key]

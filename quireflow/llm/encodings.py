@@ -2,12 +2,13 @@
 
 A chain is the encoding the bytes were written in and the one they were read in. A multinomial
 classifier over hashed byte bigrams is trained on words of a bounded sample of the records, as they
-are (class clean) and synthetically garbled by every chain. A record's words share one chain: the
-one whose words, each either clean or garbled by it, are most likely. The chain is inverted, and a
-word counts as garbled only where the inversion decodes strictly and changes it.
+are (class clean) and synthetically garbled by every chain. It decides each record: its words share
+one chain, so a record's class is that whose words, each either clean or garbled by the chain, are
+most likely; where that is class clean, the record is done. The chain is then inverted, and a word
+counts as garbled only where the inversion decodes strictly and changes it.
 
-The sample teaches the classifier only. Whether an inversion is proved is decided by counts over the
-whole input: of its words, of their trigrams, of the records each chain garbled.
+An exact check follows, as rare correct characters look like garbled ones: the restored word must be
+in the input often enough, or be far more likely text. The counts are those of the whole input.
 
 Words recur, so their scores and inversions are kept by a worker and a record costs look-ups.
 """
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quireflow.session import cut
@@ -34,15 +35,16 @@ SAMPLE_ROWS = 16_000
 #: Longer records are left out of the sample (not of the search), which bounds what the driver collects.
 SAMPLE_CHARS = 5_000
 HASH_BITS = 16
-#: The likeliest chains of a record whose inversion is checked, and how far behind clean they may be in log probability.
-TRIED, SLACK = 12, 12.0
-#: How often a garbled word may occur against what its chain's rate lets expect; the gain in mean log frequency that proves an unknown one.
-TOLERANCE, MARGIN = 10.0, 3.5
+#: How far behind clean a word of a garbled record may be in log probability.
+SLACK = 12.0
+#: How often a garbled word may occur against what its chain's rate lets expect; the gain in mean log probability that proves an unknown one.
+TOLERANCE, MARGIN = 10.0, 2.5
 #: How often a word may occur whose original is not known, in SAMPLE_ROWS records.
 RARE = 3
 #: The share of records garbled by a chain, before any was seen.
 RATE = 0.002
 ROUNDS = 3
+CAPITALS, CAPITAL_WORDS = 0.05, 1000
 #: Words a worker remembers before it starts anew; only speed depends on it.
 _REMEMBERED = 200_000
 
@@ -57,6 +59,9 @@ CHAINS: list[tuple[str, str, int]] = [
     ("cp1252", "cp1251", 1), ("cp1252", "cp1250", 1), ("cp1252", "latin-1", 1), ("cp1252", "koi8-r", 1), ("cp1252", "iso8859-15", 1), ("iso8859-15", "cp1252", 1), ("iso8859-15", "latin-1", 1),
 ]
 
+#: The shares of its words that may be garbled in a garbled record, equally likely.
+SHARES = (0.05, 0.5, 0.98)
+
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _ODD = r"[^\x20-\x7e]"
 _BOM = re.compile("þÿ|ÿþ")
@@ -146,32 +151,39 @@ def _form(word: str) -> str:
 @dataclass
 class Model:
     """What the sample taught. Classes: log probabilities, one row a class, class 0 being clean, one
-    column a bucket (13 MB whatever the input). Words and trigrams of characters: their counts as
-    stored, bounded by the sample; they serve training only. Rates: the share of records garbled by each chain.
+    column a bucket (13 MB whatever the input). Words: their counts as stored, bounded by the sample;
+    they serve training only. Rates: the share of records garbled by each chain, which is its prior.
     Unit: what counts as one occurrence, as the limits are set for SAMPLE_ROWS records and grow with more."""
 
     weights: np.ndarray
-    prior: np.ndarray
     words: dict[str, int]
-    trigrams: dict[str, int]
     rates: np.ndarray
     unit: float = 1.0
 
     def for_corpus(self, rates: np.ndarray, unit: float) -> Model:
         """The classifier with other rates and unit, and without the sample's counts."""
-        return replace(self, prior=np.log(np.r_[1 - rates.sum(), rates]), words={}, trigrams={}, rates=rates, unit=unit)
+        return replace(self, words={}, rates=rates, unit=unit)
+
+    def prior(self) -> np.ndarray:
+        """How much likelier each chain is than clean before a record is seen, in log probability."""
+        return np.log(self.rates) - log(1 - self.rates.sum())
 
-    def fluency(self, word: str) -> float:
-        """Mean log frequency of the word's trigrams, as stored in the sample."""
-        w = f" {word} "
-        return sum(log(self.trigrams.get(w[i : i + 3], 0) + 0.1) for i in range(len(w) - 2)) / max(1, len(w) - 2)
+    def likelihood(self, word: str) -> float:
+        """Mean log probability of the word's bigrams in class clean, in capitals or not."""
+        return max(float(self.weights[0, _hashes(w)].mean()) for w in {word, word.lower()})
 
 
 class _Trainer:
-    """Fits models on the same words with other weights: the words' garbled forms are hashed once."""
+    """Fits models on the same words with other weights: the words' garbled forms are hashed once.
 
-    def __init__(self, odd: list[str], forms: dict[str, int]):
-        self.odd, self.forms = odd, forms
+    The most frequent words are there in capitals too, as few texts are written in them, with the weight CAPITALS."""
+
+    def __init__(self, words: list[str], forms: dict[str, int]):
+        self.words, self.forms = words, forms
+        often = sorted(range(len(words)), key=lambda i: (-forms[words[i]], words[i]))[:CAPITAL_WORDS]
+        capitals = [(i, u) for i in often if (u := words[i].upper()) != words[i]]
+        self.of = np.r_[np.arange(len(words)), np.array([i for i, _ in capitals], int)]
+        odd = words + [u for _, u in capitals]
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         for chain in [None, *CHAINS]:
             owner, hashed = [], []
@@ -181,17 +193,13 @@ class _Trainer:
                     hashed.append(_hashes(bad))
                     owner.append(np.full(len(hashed[-1]), i))
             self.parts.append((np.concatenate([*owner, np.empty(0, int)]), np.concatenate([*hashed, np.empty(0, np.uint32)])))
-        self.trigrams: dict[str, int] = {}
-        for form, n in forms.items():
-            w = f" {form} "
-            for i in range(len(w) - 2):
-                self.trigrams[w[i : i + 3]] = self.trigrams.get(w[i : i + 3], 0) + n
 
     def fit(self, garbled: set[str], rates: np.ndarray) -> Model:
-        n = np.array([0 if w in garbled else self.forms[w] for w in self.odd], float)
+        n = np.array([0 if w in garbled else self.forms[w] for w in self.words], float)
+        n = np.r_[n, n[self.of[len(n) :]] * CAPITALS]
         counts = np.array([np.bincount(h, n[o], 1 << HASH_BITS) for o, h in self.parts]) + 0.02
         weights = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
-        return Model(weights, np.log(np.r_[1 - rates.sum(), rates]), self.forms, self.trigrams, rates)
+        return Model(weights, self.forms, rates)
 
 
 def _had(restored: str, stored: str) -> str | None:
@@ -248,28 +256,53 @@ class Finder:
     """Finds the garbled words of records."""
 
     def __init__(self, model: Model, inverted: dict[tuple[str, int], tuple[str, list[int]] | None] | None = None):
-        self.model = model
+        self.model, self.prior = model, model.prior()
         self.inverted = {} if inverted is None else inverted
         self.proofs: dict[tuple[str, int], int] = {}
         self.known: dict[str, np.ndarray] = {}
-        self.suspects: dict[str, bool] = {}
+        self.leads: dict[str, np.ndarray | None] = {}
+        self.gains: dict[tuple[str, int], float | None] = {}
+        self.likelihoods: dict[str, float] = {}
 
     def _score(self, word: str) -> np.ndarray:
+        """Log probability of the word in each class."""
         s = self.known.get(word)
         if s is None:
             if len(self.known) > _REMEMBERED:
                 self.known.clear()
                 self.inverted.clear()
                 self.proofs.clear()
-                self.suspects.clear()
-            s = self.model.weights[:, _hashes(word)].sum(1)
-            for k in np.flatnonzero(s[1:] > s[0] - SLACK) + 1:
-                # a chain that does not decode strictly, or changes nothing, cannot have made the word
-                if self.undo(word, int(k)) is None:
-                    s[k] = -np.inf
-            self.known[word] = s
+                self.leads.clear()
+                self.gains.clear()
+                self.likelihoods.clear()
+            s = self.known[word] = self.model.weights[:, _hashes(word)].sum(1)
         return s
 
+    def lead(self, word: str) -> np.ndarray | None:
+        """How much likelier the word is garbled by each chain than clean, in log probability; None where no chain is."""
+        if word not in self.leads:
+            s = self._score(word)
+            more = s[1:] - s[0]
+            for k in np.flatnonzero(more > 0):
+                # a chain that does not decode strictly, or changes nothing, cannot have made the word
+                if self.undo(word, int(k) + 1) is None:
+                    more[k] = -np.inf
+            self.leads[word] = more if (more > 0).any() else None
+        return self.leads[word]
+
+    def chains(self, words: list[str]) -> list[int]:
+        """The chains by which a record of these odd words is likelier to be garbled than to be clean, the likeliest
+        first; none for a record of class clean."""
+        leads = [x for w in words if (x := self.lead(w)) is not None]
+        if not leads:
+            return []
+        d = np.array(leads)
+        clean = len(words) - len(leads)
+        each = [np.logaddexp(d + log(q), log(1 - q)).sum(0) + clean * log(1 - q) for q in SHARES]
+        odds = np.logaddexp.reduce(each) - log(len(SHARES)) + self.prior
+        order = np.argsort(-odds)
+        return [int(k) + 1 for k in order[: int((odds > 0).sum())]]
+
     def undo(self, word: str, k: int) -> tuple[str, list[int]] | None:
         key = (word, k)
         if key not in self.inverted:
@@ -277,10 +310,10 @@ class Finder:
         return self.inverted[key]
 
     def proof(self, word: str, k: int) -> int:
-        """2 where the inversion is proved, 1 where it is plausible beside proved words, else 0.
+        """3 or 2 where the inversion is proved, 1 where it is plausible beside proved words, else 0.
 
         Proved: the restored word is in the input, so often that the chain's rate accounts for the
-        times the stored one is there; or it is far more fluent, and the stored one no more frequent.
+        times the stored one is there (3); or it is far likelier text, and the stored one no more frequent (2).
         """
         key = (word, k)
         if key not in self.proofs:
@@ -290,43 +323,50 @@ class Finder:
                 m = self.model
                 stored, restored, better = counted
                 often = TOLERANCE * (3 if CHAINS[k - 1][0] == "utf-8" else 1)  # its sequences alone are rare by chance
-                if restored > stored and restored * m.rates[k - 1] * often >= stored - m.unit or better > MARGIN and stored <= max(RARE * m.unit, restored):
+                if restored > stored and restored * m.rates[k - 1] * often >= stored - m.unit:
+                    level = 3
+                elif better > MARGIN and stored <= max(RARE * m.unit, restored):
                     level = 2
                 elif restored and restored >= stored or restored < m.unit and stored <= RARE * m.unit and better > 0:
                     level = 1
             self.proofs[key] = level
         return self.proofs[key]
 
+    def gain(self, word: str, k: int) -> float | None:
+        """How much likelier text the word is without the chain, in mean log probability; None where it is not near."""
+        key = (word, k)
+        if key not in self.gains:
+            u = self.undo(word, k) if self.near(word, k) else None
+            self.gains[key] = u and round(self._likelihood(u[0]) - self._likelihood(word), 6)
+        return self.gains[key]
+
+    def _likelihood(self, word: str) -> float:
+        if word not in self.likelihoods:
+            self.likelihoods[word] = self.model.likelihood(word)
+        return self.likelihoods[word]
+
     def evidence(self, word: str, k: int) -> tuple[int, int, float] | None:
-        """How often the stored and the restored word occur, and the gain in fluency; None without an inversion."""
-        u = self.undo(word, k)
-        m = self.model
-        return u and (m.words.get(word, 0), m.words.get(u[0], 0), m.fluency(u[0]) - m.fluency(word))
+        """How often the stored and the restored word occur, and the gain; None where the word is not near."""
+        gain = self.gain(word, k)
+        return None if gain is None else (self.model.words.get(word, 0), self.model.words.get(self.undo(word, k)[0], 0), gain)
 
-    def garbled(self, word: str, k: int) -> bool:
-        """Whether a word of a record garbled by chain k was garbled by it."""
+    def near(self, word: str, k: int) -> bool:
+        """Whether a word of a record garbled by chain k may have been garbled by it."""
         s = self._score(word)
-        return s[k] > s[0] - SLACK and self.proof(word, k) > 0
+        return bool(s[k] > s[0] - SLACK) and self.undo(word, k) is not None
 
-    def suspect(self, word: str) -> bool:
-        """Whether some chain is proved for the word by itself: where none is, its record needs no closer look."""
-        if word not in self.suspects:
-            s = self._score(word)
-            self.suspects[word] = any(self.proof(word, int(k)) == 2 for k in np.flatnonzero(s[1:] > s[0] - SLACK) + 1)
-        return self.suspects[word]
+    def garbled(self, word: str, k: int) -> bool:
+        """Whether a word of a record garbled by chain k was garbled by it."""
+        return self.near(word, k) and self.proof(word, k) > 0
 
     def chain(self, words: list[str]) -> int:
-        """The chain (its number, 0 for none) of a record with these odd words: of the likeliest, the one
-        whose inversion proves most words garbled."""
-        if not any(map(self.suspect, words)):
-            return 0
-        s = np.array([self._score(w) for w in words])
-        mixed = np.logaddexp(s[:, 1:] - 0.7, s[:, :1] - 0.7).sum(0) + self.model.prior[1:]
+        """The chain (its number, 0 for none) of a record with these odd words: of those the classifier puts
+        before clean, the one whose inversion proves most words garbled."""
         best, chosen = 0, 0
-        for k in np.argsort(-mixed)[:TRIED] + 1:
+        for k in self.chains(words):
             proofs = [self.proof(w, k) for w in words if self.garbled(w, k)]
-            if 2 in proofs and sum(proofs) > best:
-                best, chosen = sum(proofs), int(k)
+            if max(proofs, default=0) > 1 and sum(proofs) > best:
+                best, chosen = sum(proofs), k
         return chosen
 
     def look(self, text: str) -> tuple[np.ndarray, str, str | None, list[str] | None] | None:
@@ -385,7 +425,6 @@ class CountedFinder(Finder):
         """``look`` with the record's evidence: per word a list of chain, stored, restored and better."""
         self.counted = {(h["form"], c["k"]): (c["stored"], c["restored"], c["better"]) for h in hits or () for c in h["chains"]}
         self.proofs.clear()
-        self.suspects.clear()
         return self.look(text)
 
     def evidence(self, word: str, k: int) -> tuple[int, int, float] | None:
@@ -393,9 +432,14 @@ class CountedFinder(Finder):
 
 
 def sample_texts(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """Texts with characters besides printable ASCII, at most ``rows`` of them, chosen by hash of the key."""
-    odd = df.where(F.col(text).rlike(_ODD) & (F.length(text) <= SAMPLE_CHARS)).orderBy(F.xxhash64(key), F.xxhash64(text)).select(text).limit(rows)
-    return [r[0] for r in odd.collect()]
+    """Texts with characters besides printable ASCII, at most ``rows`` of them, chosen by hash of key and text.
+
+    The threshold of the hash lets twice ``rows`` pass of all rows, so a task sends its share of that
+    and not its own best ``rows``. Counting the rows reads no column of a columnar table.
+    """
+    share = max(1, df.count() // (2 * rows))
+    picked = df.where((F.pmod(F.xxhash64(key, text), F.lit(share)) == 0) & F.col(text).rlike(_ODD) & (F.length(text) <= SAMPLE_CHARS))
+    return [r[0] for r in picked.select(text).limit(rows).collect()]
 
 
 def word_counts(strings: DataFrame) -> DataFrame:
@@ -403,52 +447,31 @@ def word_counts(strings: DataFrame) -> DataFrame:
     return strings.select(F.explode(F.split("text", " ")).alias("w")).groupBy(F.regexp_replace("w", "[0-9]", "0").alias("form")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _trigrams_of(words: DataFrame, word: str, times: str) -> DataFrame:
-    """word, trigram, times: a row for each trigram of each word; with an empty ``word`` summed over the words of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts: dict[tuple[str, str], int] = {}
-            for form, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = f" {form} "
-                for i in range(len(w) - 2):
-                    key = (form if word else "", w[i : i + 3])
-                    counts[key] = counts.get(key, 0) + n
-            yield pa.record_batch([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["word", "trigram", "times"])
-
-    return words.select(word or "form", times).mapInArrow(run, "word string, trigram string, times bigint")
-
+FOUND = "text_object_id bigint, field_name string, item_no int, chain string, stored string, restored string"
 
-def evidence(counts: DataFrame, model: Broadcast[Model], unit: float) -> DataFrame:
-    """form, k, stored, restored, better: what the whole input says of each word and chain that could be proved.
 
-    Left out are only those no rate could prove: stored neither rarely nor at most as often as restored.
-    """
+def _classify(model: Broadcast[Model]):
+    """Records (key, field, items, text, damaged) to those that are not clean: their chains, and the words each may have garbled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(model.value)
         for b in batches:
-            out: list[tuple] = []
-            for form, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = finder._score(form)
-                out += [(form, n, int(k), finder.undo(form, int(k))[0]) for k in np.flatnonzero(s[1:] > s[0] - SLACK) + 1]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.int64(), pa.int32(), pa.string()], strict=True)], ["form", "stored", "k", "back"])
-
-    tried = counts.where(F.col("form").rlike(_ODD)).mapInArrow(run, "form string, stored bigint, k int, back string")
-    known = counts.select(F.col("form").alias("back"), F.col("n").alias("restored"))
-    tried = cut(tried.join(known, "back", "left").fillna(0, ["restored"]).where((F.col("restored") >= F.col("stored")) | (F.col("stored") <= RARE * unit)))
-    trigrams = _trigrams_of(counts, "", "n").groupBy("trigram").agg(F.sum("times").alias("n"))
-    words = tried.select(F.explode(F.array("form", "back")).alias("word")).distinct().withColumn("one", F.lit(1))
-    scored = _trigrams_of(words, "word", "one").join(trigrams, "trigram", "left")
-    mean = F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(0)) + 0.1 * unit)) / F.sum("times")
-    fluency = cut(scored.groupBy("word").agg(mean.alias("fluency")))
-    of = lambda word, name: fluency.select(F.col("word").alias(word), F.col("fluency").alias(name))
-    better = F.round(F.col("there") - F.col("here"), 9).alias("better")
-    return tried.join(of("form", "here"), "form").join(of("back", "there"), "back").select("form", "k", "stored", "restored", better)
+            rows, chains, words = [], [], []
+            for i, (text, damaged) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                odd = [_form(w) for w in text.split(" ") if is_odd(w)]
+                ks = finder.chains(odd)
+                if ks or damaged:
+                    rows.append(i)
+                    chains.append(ks)
+                    words.append([{"form": w, "k": k, "back": finder.undo(w, k)[0], "better": g} for k in ks for w in dict.fromkeys(odd) if (g := finder.gain(w, k)) is not None])
+            kept = b.take(pa.array(rows, pa.int64()))
+            word = pa.list_(pa.struct([("form", pa.string()), ("k", pa.int32()), ("back", pa.string()), ("better", pa.float64())]))
+            yield pa.record_batch([*kept.columns[:3], pa.array(chains, pa.list_(pa.int32())), pa.array(words, word)], ["text_object_id", "field_name", "items", "ks", "words"])
 
+    return run
 
-FOUND = "text_object_id bigint, field_name string, item_no int, chain string, stored string, restored string"
+
+_SUSPECTS = "text_object_id bigint, field_name string, items array<string>, ks array<int>, words array<struct<form:string,k:int,back:string,better:double>>"
 
 
 def find_garbled(text_objects: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -465,30 +488,37 @@ def find_garbled(text_objects: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Dat
     texts = pieces.select("text_object_id", F.coalesce("text_buffer", whole).alias("t"))
     model = train(sample_texts(texts, "text_object_id", "t", sample_rows))
     both = [(F.lit("text_buffer"), F.col("text_buffer"), F.array("text_buffer")), (F.lit("buffer"), whole, F.col("items"))]
-    fields = F.array(*[F.struct(f.alias("field_name"), t.alias("text"), i.alias("items")) for f, t, i in both])
-    strings = pieces.select("text_object_id", F.explode(fields).alias("s")).select("text_object_id", "s.*").where(F.col("text").rlike(_ODD)).withColumn("h", F.xxhash64("text"))
-    records = strings.count()
+    fields = F.array(*[F.struct(f.alias("field_name"), i.alias("items"), t.alias("text")) for f, t, i in both])
+    strings = pieces.select("text_object_id", F.explode(fields).alias("s")).select("text_object_id", "s.*").where(F.col("text").rlike(_ODD))
+    seen = Observation()
+    taught = spark.sparkContext.broadcast(model.for_corpus(model.rates, 1.0))
+    damaged = F.col("text").rlike(r"[\x00\x{80}-\x{9f}\x{fffd}]").alias("damaged")
+    suspects = cut(strings.select("*", damaged).observe(seen, F.count(F.lit(1)).alias("n")).mapInArrow(_classify(taught), _SUSPECTS))
+    records = seen.get["n"]
     unit = max(1.0, records / SAMPLE_ROWS)
-    first = spark.sparkContext.broadcast(model.for_corpus(model.rates, unit))
-    counted = evidence(cut(word_counts(strings)), first, unit)
-    # a proved word alone makes a record suspect; its other words' evidence comes along
-    able = (F.col("restored") > F.col("stored")) | ((F.col("better") > MARGIN) & (F.col("stored") <= F.greatest(F.lit(RARE * unit), "restored")))
-    per = counted.groupBy("form").agg(F.collect_list(F.struct("k", "stored", "restored", "better")).alias("chains"), F.max(able).alias("able"))
-    words = strings.select("h", F.explode(F.array_distinct(F.transform(F.split("text", " "), lambda w: F.regexp_replace(w, "[0-9]", "0")))).alias("form"))
-    # texts whose hashes collide only get each other's evidence besides their own
-    hits = words.where(F.col("form").rlike(_ODD)).join(per, "form").groupBy("h").agg(F.collect_set(F.struct("form", "chains")).alias("hits"), F.max("able").alias("able")).where("able").drop("able")
-    slim = strings.select("text_object_id", "field_name", "items", "h", F.col("text").rlike(r"[\x00\x{80}-\x{9f}\x{fffd}]").alias("damaged"))
-    judged = cut(slim.join(hits, "h", "left").where("damaged or hits is not null").select("text_object_id", "field_name", "items", "hits"))
-    seen = np.zeros(len(CHAINS) + 1)
-    for r in judged.mapInArrow(_chains(first), "k int").groupBy("k").count().collect():
-        seen[r[0]] = r[1]
-    shared = spark.sparkContext.broadcast(model.for_corpus(_rates(seen, records), unit))
+    # the check: how often the stored and the restored words are in the whole input
+    pairs = suspects.select(F.explode("words").alias("w")).select("w.*").distinct()
+    wanted = pairs.select(F.explode(F.array("form", "back")).alias("form")).distinct()
+    counts = word_counts(strings).join(wanted, "form", "left_semi")
+    of = lambda word, n: counts.select(F.col("form").alias(word), F.col("n").alias(n))
+    counted = pairs.join(of("form", "stored"), "form").join(of("back", "restored"), "back", "left").fillna(0, ["restored"])
+    per = counted.groupBy("form").agg(F.collect_list(F.struct("k", "stored", "restored", "better")).alias("chains"))
+    # each record gets the evidence of its words; records of the same words are asked for once
+    forms = F.array_distinct(F.transform("words", lambda w: w["form"]))
+    marked = suspects.select("text_object_id", "field_name", "items", "ks", forms.alias("forms")).withColumn("h", F.xxhash64("forms"))
+    asked = marked.where(F.size("forms") > 0).select("h", "forms").distinct().select("h", F.explode("forms").alias("form"))
+    hits = asked.join(per, "form").groupBy("h").agg(F.collect_set(F.struct("form", "chains")).alias("hits"))
+    judged = cut(marked.join(hits, "h", "left").select("text_object_id", "field_name", "items", "ks", "hits"))
+    found = np.zeros(len(CHAINS) + 1)
+    for r in judged.mapInArrow(_chains(spark.sparkContext.broadcast(model.for_corpus(model.rates, unit))), "k int").groupBy("k").count().collect():
+        found[r[0]] = r[1]  # a row for each chain
+    shared = spark.sparkContext.broadcast(model.for_corpus(_rates(found, records), unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = CountedFinder(shared.value)
         for b in batches:
             out: list[tuple] = []
-            for key, field, items, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, field, items, _, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if seen := finder.judge("".join(x for x in items if x), hits):
                     if field == "text_buffer":
                         out.append((key, field, 0, seen[1], items[0], seen[2]))
@@ -513,7 +543,7 @@ def _chains(model: Broadcast[Model]):
         finder = CountedFinder(model.value)
         for b in batches:
             out = []
-            for items, hits in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for items, hits in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 finder.judge("", hits)
                 out.append(finder.chain([_form(w) for w in "".join(x for x in items if x).split(" ") if is_odd(w)]))
             yield pa.record_batch([pa.array(out, pa.int32())], ["k"])

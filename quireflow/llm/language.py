@@ -59,14 +59,16 @@ _FENCED = re.compile(r"^[> \t]*(~~~|```).*?(?:^[> \t]*\1[ \t]*$|\Z)", re.M | re.
 _BLOCKS = re.compile(r"\[code[^\]]*\].*?(?:\[/code\]|\Z)|<(pre|code)\b[^>]*>.*?(?:</\1>|\Z)|\[(url|img)[^\]]*\].*?\[/\2\]", re.I | re.S)
 _HEADER_TAG = re.compile(r"<b>[^<\n]{1,80}:</b>", re.I)
 _BREAK = re.compile(r"</?(?:br|p|div|blockquote|li|tr)\b[^<>]*>|\[/?quote[^\]]*\]", re.I)
-_TAG = re.compile(r"</?[a-z][^<>]{0,200}>|\[/?[a-z*]+(?:=[^\]\n]{0,200})?\]|<\|[a-z_]+\|>", re.I)
+_TAG = re.compile(r"</?[a-z][^<>]*>|\[/?[a-z*]+(?:=[^\[\]\n]*)?\]|<\|[a-z_]+\|>", re.I)
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+|@\w+|\([A-Z]\w+ \d+\)")
 _QUOTED = re.compile(r"^(?:[ \t]{0,3}>)+ ?")
 _RULE = re.compile(r"^(?:--|_{4,}|—)$")
 _STAMP = re.compile(r"^[A-Z]{2}: ")
 _STOP = re.compile(r"(?<=[.!?…])[\s ]+|[\n]+")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ӿ"
-_WORD = re.compile(f"[{_LETTERS}]+(?:['’][{_LETTERS}]+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_FOREIGN = re.compile("[^A-Za-zÀ-ÖØ-öø-ɏЀ-ӿ'’]")
+#: What stands for every language that is none of LANGUAGES by its letters.
+OTHER = "und"
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -94,6 +96,9 @@ def sentences(text: str) -> list[list[str]]:
             continue
         for s in _STOP.split(_STAMP.sub("", _LINK.sub(" ", body))):
             words = [w.lower() for w in _WORD.findall(s)]
+            known = [w for w in words if not _FOREIGN.search(w)]
+            # a few foreign letters in a sentence are symbols; a sentence that is mostly foreign stays whole
+            words = known if 2 * len(known) >= len(words) else words
             if any(len(w) > 1 for w in words):  # else a symbol or a unit
                 out.append(words)
     return out
@@ -104,7 +109,7 @@ def sentences(text: str) -> list[list[str]]:
 
 def _features(word: str) -> np.ndarray:
     """Buckets of the word and of its character n-grams of one to four places."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     grams = {word} | {w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)}
     return np.array(sorted({zlib.crc32(g.encode("utf-8", "replace")) >> (32 - HASH_BITS) for g in grams}), np.int64)
 
@@ -198,7 +203,8 @@ class Judge:
 
     def many(self, found: list[list[str]]) -> list[tuple[str, float]]:
         """(language, confidence) of each sentence: the family of the highest margin, then the language that
-        wins most against its relatives, of several the one that wins most clearly."""
+        wins most against its relatives, of several the one that wins most clearly. Sentences mostly of
+        letters that no language here has are OTHER, as sure as the share of such words."""
         if not found:
             return []
         v = self._scores(found)
@@ -218,6 +224,10 @@ class Judge:
             best = (wins * 100 + np.minimum(least, 9)).argmax(1)
             langs[rows] = np.array(members, object)[best]
             confidence[rows] /= 1 + np.exp(-2 * least[np.arange(len(rows)), best])
+        for i, words in enumerate(found):
+            foreign = sum(1 for w in words if _FOREIGN.search(w))
+            if 2 * foreign > len(words):
+                langs[i], confidence[i] = OTHER, UNSURE * foreign / len(words)
         return list(zip(langs.tolist(), confidence.tolist(), strict=True))
 
     def sentence(self, words: list[str]) -> tuple[str, float]:
@@ -238,7 +248,7 @@ def _agreed(scored: list[tuple[str, float, int]]) -> list[tuple[str, float, int]
     out = []
     for i, (lang, confidence, n) in enumerate(scored):
         beside = [scored[j] for j in (i - 1, i + 1) if 0 <= j < len(scored)]
-        if beside and lang not in {x[0] for x in beside} and (confidence < UNSURE or n < 3 and confidence < 0.75):
+        if beside and lang != OTHER and lang not in {x[0] for x in beside} and (confidence < UNSURE or n < 3 and confidence < 0.75):
             best = max(beside, key=lambda x: (x[1], x[0]))
             if best[1] > confidence:
                 lang = best[0]
@@ -270,11 +280,14 @@ SPANS = "spans array<struct<lang:string,confidence:double,n_words:int>>"
 def judge_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(key, label, spans): the code of the label or null, and the language of each passage in order.
 
-    Adjacent sentences of one language are one passage. Texts without a word (null, blank, symbols,
-    links, code) have no passages. Repeated rows and null keys are kept; other columns are not read.
+    Adjacent sentences of one language are one passage. Sentences in other scripts than the languages'
+    are passages in OTHER, of low confidence. Texts without a word (null, blank, symbols, links, code) have no passages. Repeated rows and null keys are kept; other columns are not read.
     """
     slim = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), label_code(F.col(f"`{label}`").cast("string")).alias("label"))
-    sample = slim.where(F.col("label").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("key"), F.xxhash64("text")).select("text", "label").limit(sample_rows).collect()
+    # the threshold of the hash lets three times sample_rows pass of all rows, so a task sends its share of that; counting reads no column
+    share = max(1, documents.count() // (3 * sample_rows))
+    picked = slim.where((F.pmod(F.xxhash64("key", "text"), F.lit(share)) == 0) & F.col("label").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    sample = picked.select("text", "label").limit(sample_rows).collect()
     shared = documents.sparkSession.sparkContext.broadcast(train([(r[0], r[1]) for r in sample]))
     kind = dict(slim.dtypes)["key"]
     span = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("n_words", pa.int32())]))
@@ -314,6 +327,6 @@ def mislabelled(judged: DataFrame, key: str = "doc_id", share: float = SHARE) ->
     total = F.aggregate("spans", F.lit(0), lambda a, x: a + x["n_words"])
     langs = F.array_distinct(F.transform("spans", lambda x: x["lang"]))
     count = lambda lang: F.aggregate(F.filter("spans", lambda x: x["lang"] == lang), F.lit(0), lambda a, x: a + x["n_words"])
-    kept = judged.select(key, "label", F.filter(langs, lambda lang: count(lang) >= total * share).alias("langs"))
+    kept = judged.select(key, "label", F.filter(langs, lambda lang: (lang != OTHER) & (count(lang) >= total * share)).alias("langs"))
     case = (F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label"))
     return kept.where((F.size("langs") > 0) & case).select(key, F.explode("langs").alias("lang"))

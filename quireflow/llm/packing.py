@@ -5,9 +5,9 @@ longest first and back and forth, to windows of a few dozen containers, so every
 the same lengths. In a window, Karmarkar-Karp multiway differencing keeps partial partitions, each a
 vector of container sums; the two with the largest spread are merged with opposing imbalances, the
 largest sums of one onto the smallest of the other, until one partition with nearly equal sums is
-left. The smallest items, a fifth of the content, are kept out of this and fill up the containers, each
-where it fits best. Where sums exceed the capacity and moving or swapping single items does not settle it, the
-window gets one container more and starts again.
+left. Where sums then exceed the capacity they are repaired: the smallest items are taken back and go where
+they fit best, items are moved or swapped, or those of two containers divided anew. Where that fails, the
+window gets another container and starts again.
 
 An item longer than the capacity fills containers of its own; what remains of it is an item.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 BUCKET_ITEMS = 16_384
 WINDOW = 96
-#: Share of the content, in the smallest items, that fills up what differencing has laid out.
-FILLERS = 0.2
+#: Share of the content, in the smallest items, that a repair takes back; most items of two containers that are divided anew.
+TAKEN_BACK, RESPLIT = 0.2, 12
 #: Container numbers of a bucket start at its number times this.
 _STRIDE = 1 << 32
 
@@ -67,7 +67,7 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-_MASKS = {m: (np.arange(1 << m)[:, None] >> np.arange(m)) & 1 for m in range(1, 13)}
+_MASKS = {m: (np.arange(1 << m)[:, None] >> np.arange(m)) & 1 for m in range(1, RESPLIT + 1)}
 
 
 def _resplit(sizes: np.ndarray, where: np.ndarray, load: np.ndarray, c: int, capacity: int) -> bool:
@@ -77,7 +77,7 @@ def _resplit(sizes: np.ndarray, where: np.ndarray, load: np.ndarray, c: int, cap
         if load[c] + load[d] > 2 * capacity:
             return False
         both = np.concatenate([mine, np.flatnonzero(where == d)])
-        if len(both) > 12:
+        if len(both) > RESPLIT:
             continue
         sums = _MASKS[len(both)] @ sizes[both]
         fits = np.where((sums <= capacity) & (sums >= load[c] + load[d] - capacity), sums, -1)
@@ -89,6 +89,19 @@ def _resplit(sizes: np.ndarray, where: np.ndarray, load: np.ndarray, c: int, cap
     return False
 
 
+def _refill(sizes: np.ndarray, where: np.ndarray, k: int, capacity: int) -> None:
+    """Take back the smallest items, a part of the content, and put each where the least room is left that holds it."""
+    order = np.argsort(-sizes, kind="stable")
+    small = order[np.cumsum(sizes[order][::-1])[::-1] <= TAKEN_BACK * sizes.sum()]
+    load = np.bincount(where, weights=sizes, minlength=k).astype(np.int64)
+    np.subtract.at(load, where[small], sizes[small])
+    for i in small:
+        room = capacity - load - sizes[i]
+        c = int(np.where(room >= 0, room, capacity + 1).argmin())
+        where[i] = c if room[c] >= 0 else int(room.argmax())
+        load[where[i]] += sizes[i]
+
+
 def _settle(sizes: np.ndarray, where: np.ndarray, k: int, capacity: int) -> bool:
     """Take what is over the capacity out of ``where``; False if that fails.
 
@@ -98,7 +111,7 @@ def _settle(sizes: np.ndarray, where: np.ndarray, k: int, capacity: int) -> bool
     load = np.bincount(where, weights=sizes, minlength=k).astype(np.int64)
     n = len(sizes)
     other = np.concatenate([sizes, np.zeros(k, np.int64)])  # a swap with an item of size 0 is a move
-    for _ in range(4 * k):
+    while True:  # each step lowers what is over in all, so this ends
         c = int(load.argmax())
         over = int(load[c]) - capacity
         if over <= 0:
@@ -120,36 +133,27 @@ def _settle(sizes: np.ndarray, where: np.ndarray, k: int, capacity: int) -> bool
             where[j] = c
         load[c] -= moved
         load[to] += moved
-    return False
 
 
-def pack_window(sizes: np.ndarray, capacity: int) -> np.ndarray:
+def pack_window(sizes: np.ndarray, capacity: int, repair: bool = True) -> np.ndarray:
     """Containers of items none of which exceeds the capacity; their number rises until all sums fit.
 
-    Differencing lays out the larger items; the smallest go where the least room is left that holds them.
-    Sums that still miss the capacity are first settled by moves and swaps.
+    Differencing lays out all items. Unless ``repair`` is off, sums that miss the capacity are settled
+    before a container is added.
     """
-    order = np.argsort(-sizes, kind="stable")
-    small = np.cumsum(sizes[order][::-1])[::-1] <= FILLERS * sizes.sum()
-    body, fillers = order[~small], order[small]
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
-        where = np.empty(len(sizes), np.int64)
-        where[body] = differencing(sizes[body], k)
-        load = np.bincount(where[body], weights=sizes[body], minlength=k).astype(np.int64)
-        for i in fillers:
-            room = capacity - load - sizes[i]
-            c = int(np.where(room >= 0, room, capacity + 1).argmin())
-            if room[c] < 0:
-                c = int(room.argmax())
-            where[i] = c
-            load[c] += sizes[i]
-        if _settle(sizes, where, k, capacity):
+        where = differencing(sizes, k)
+        fits = np.bincount(where, weights=sizes, minlength=k).max() <= capacity
+        if not fits and repair:
+            _refill(sizes, where, k, capacity)
+            fits = _settle(sizes, where, k, capacity)
+        if fits:
             return where
         k += max(1, k // 64)
 
 
-def pack(sizes: np.ndarray, capacity: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pack(sizes: np.ndarray, capacity: int, window: int = WINDOW, repair: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(item, container, first, end) of every piece: item is a row number, first and end its token range."""
     whole = sizes // capacity
     whole[sizes == capacity] = 0
@@ -170,7 +174,7 @@ def pack(sizes: np.ndarray, capacity: int, window: int = WINDOW) -> tuple[np.nda
         own = left[dealt == w]
         if not len(own):
             continue
-        where = pack_window(rest[own], capacity)
+        where = pack_window(rest[own], capacity, repair)
         used, where = np.unique(where, return_inverse=True)
         start = whole[own] * capacity
         parts.append((own, at + where, start, start + rest[own]))

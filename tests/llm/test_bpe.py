@@ -1,14 +1,16 @@
 """Ids against the tokenizers library, which reads the same public file."""
 
+import base64
 import random
 
 import numpy as np
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quireflow.llm.bpe import TOKENIZERS, Encoder, Merges, encode_corpus
+from quireflow.llm.bpe import PATTERN, TOKENIZERS, Encoder, Merges, encode_corpus
 
 FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
@@ -45,16 +47,18 @@ def test_any_text(encoder, theirs, texts):
     assert ids(encoder, texts) == theirs(texts)
 
 
-def test_long_way_equals_short_way(encoder):
-    rng = random.Random(2)
-    for _ in range(60):
-        piece = "".join(rng.choice("aab-eths") for _ in range(rng.randint(2, 200))).encode()
-        assert encoder.merges._long(piece).tolist() == encoder.merges._rows([piece])[0].tolist()
+def test_ranks_file_of_another_tokenizer():
+    file = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(file, "rb"))}
+    theirs = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = ["naïve Übergröße żółć съешь ещё", "日本語テキスト" * 50, "=" * 700, *["".join(rng.choice("aеéiöż日 -\n") for _ in range(rng.randint(1, 400))) for _ in range(100)]]
+    assert ids(Encoder(Merges.load(file)), texts) == [theirs.encode_ordinary(t) for t in texts]
 
 
-def test_misordered_merges_are_refused():
+def test_other_kinds_of_tokenizer_are_refused():
     with pytest.raises(ValueError):
-        Merges(np.arange(256), np.array([300, 1]), np.array([1, 2]), np.array([301, 300]))
+        Merges.load(f"{TOKENIZERS}/word_bpe_49k.json")
 
 
 def test_frames(spark, theirs):

@@ -122,3 +122,37 @@ def test_restoration_by_character(planted):
     text = "x þÿ" + "".join(chr(b) for b in "H😀i".encode("utf-16-be"))
     seen = finder.look(text)
     assert seen[2] == "x H😀i" and seen[3] == ["x", " ", "", "", "H", "", "😀", "", "", "", "i", ""]
+
+
+def test_the_classifier_decides(planted):
+    """With weights that say nothing no record is garbled to the classifier, whatever the counts would prove."""
+    model = e.train([r[0] for r in planted])
+    model.weights = model.weights * 0
+    blind = e.Finder(model)
+    assert not any(blind.chains([e._form(w) for w in t.split(" ") if e.is_odd(w)]) for t, _, _ in planted)
+    assert sum(blind.look(bad) is not None for bad, chain, _ in planted if chain and not any(map(e._certain, bad))) == 0
+
+
+def test_classifier_without_the_check(planted):
+    finder = e.Finder(e.train([r[0] for r in planted]))
+    said = {t: bool(finder.chains([e._form(w) for w in t.split(" ") if e.is_odd(w)])) for t, _, _ in planted}
+    garbled = [t for t, chain, _ in planted if chain]
+    assert sum(said[t] for t in garbled) / len(garbled) > 0.95
+    assert sum(said[t] for t, chain, _ in planted if not chain) / sum(1 for r in planted if not r[1]) < 0.02
+
+
+def test_items_of_a_restored_buffer_add_up(spark, planted):
+    """Cut anywhere, also inside a sequence and inside UTF-16 read byte by byte."""
+    rng = random.Random(8)
+    rows, want = [(i, t, None) for i, (t, _, _) in enumerate(planted)], {}
+    texts = [(bad, t) for bad, chain, t in planted if chain and chain[0] == "utf-8"][:60] + [("þÿ" + "".join(f"\0{ch}" for ch in t), t) for t in ("Hello", "four words of text")]
+    for i, (bad, t) in enumerate(texts, 50_000):
+        spots = sorted(rng.sample(range(1, len(bad)), 2))
+        rows.append((i, None, [(x, None) for x in (bad[: spots[0]], bad[spots[0] : spots[1]], bad[spots[1] :])]))
+        want[i] = t
+    df = spark.createDataFrame(rows, "text_object_id bigint, text_buffer string, buffer array<struct<txt:string,shift:float>>")
+    got: dict = {}
+    for r in e.find_garbled(df).where("text_object_id >= 50000").collect():
+        got.setdefault(r.text_object_id, {})[r.item_no] = r.restored
+    built = {i: "".join(got[i].get(n) if n in got[i] else x[0] for n, x in enumerate(row[2])) for i, row in ((r[0], r) for r in rows if r[0] >= 50_000) if i in got and all(v is not None for v in got[i].values())}
+    assert len(built) >= 58 and all(built[i] == want[i] for i in built)
