@@ -13,6 +13,10 @@ from quireflow.functions.lexer import Name, SyntaxProblem
 KNOWN = ("ASCIIHexDecode", "ASCII85Decode", "LZWDecode", "FlateDecode", "RunLengthDecode", "CCITTFaxDecode", "JBIG2Decode", "DCTDecode", "JPXDecode", "Crypt")
 
 
+#: Most bytes that one filter may inflate data to; beyond it the stream is an error, not a full worker.
+INFLATED = 1 << 28
+
+
 def unpredict(data: bytes, predictor: int, columns: int = 1, colors: int = 1, bits: int = 8) -> bytes:
     """Undo a row predictor: 1 none, 10 to 15 by row (each row names its own: none, left, up, average, Paeth)."""
     if predictor < 2:
@@ -47,26 +51,40 @@ def _paeth(left: int, up: int, corner: int) -> int:
     return min((left, up, corner), key=lambda x: abs(want - x))
 
 
-def _flate(data: bytes, parms: dict[bytes, object]) -> bytes:
+def _inflate(data: bytes, most: int) -> bytes:
+    if not data:
+        return b""
+    unpack = zlib.decompressobj()
     try:
-        plain = zlib.decompress(data) if data else b""
+        plain = unpack.decompress(data, most)
     except zlib.error as e:
         raise SyntaxProblem(f"FlateDecode: {e}") from e
+    if not unpack.eof:
+        raise SyntaxProblem(f"FlateDecode: more than {most} bytes" if len(plain) == most else "FlateDecode: incomplete data")
+    return plain
+
+
+def _flate(data: bytes, parms: dict[bytes, object]) -> bytes:
+    plain = _inflate(data, INFLATED)
     number = lambda k, d: v if isinstance(v := parms.get(k), int) else d
     return unpredict(plain, number(b"Predictor", 1), number(b"Columns", 1), number(b"Colors", 1), number(b"BitsPerComponent", 8))
 
 
+Decoder = Callable[[bytes, dict[bytes, object]], bytes]
 DECODERS: dict[str, Callable[[bytes, dict[bytes, object]], bytes]] = {"FlateDecode": _flate}
 
 
-def decode(data: bytes, filters: object, parms: object = None) -> bytes:
-    """``data`` through a filter or a list of filters, left to right; an unknown or unsupported one raises."""
+def decode(data: bytes, filters: object, parms: object = None, more: dict[str, Decoder] | None = None) -> bytes:
+    """``data`` through a filter or a list of filters, left to right; an unknown or unsupported one raises.
+
+    ``more`` holds further decoders by filter name, which go before the built-in ones."""
     chain = [] if filters is None else filters if isinstance(filters, list) else [filters]
     settings = parms if isinstance(parms, list) else [parms] * len(chain)
     for i, f in enumerate(chain):
         name = f.decode("latin-1") if isinstance(f, Name) else str(f)
-        if name not in DECODERS:
+        decoder = (more or {}).get(name) or DECODERS.get(name)
+        if decoder is None:
             raise SyntaxProblem(f"unsupported filter {name}" if name in KNOWN else f"unknown filter {name}")
         own = settings[i] if i < len(settings) else None
-        data = DECODERS[name](data, own if isinstance(own, dict) else {})
+        data = decoder(data, own if isinstance(own, dict) else {})
     return data

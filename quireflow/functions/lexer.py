@@ -113,49 +113,81 @@ def number(token: bytes) -> int | float:
     return float(token) if b"." in token else int(token)
 
 
-def value(data: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
-    """(value, place behind) of the next object; a keyword that is none raises."""
-    if depth > 200:
-        raise SyntaxProblem("nested too deep")
-    at = skip(data, at)
-    m = _TOKEN.match(data, at)
-    if m is None:
-        raise SyntaxProblem("no value")
-    kind = m.lastgroup
-    if kind == "num":
-        r = _REF.match(data, at)
-        if r:
-            return Ref(int(r[1]), int(r[2])), r.end()
-        return number(m[0]), m.end()
-    if kind == "name":
-        return name_value(m[0]), m.end()
-    if kind == "lit":
-        return literal_string(data, at)
-    if kind == "hex":
-        return hex_string(data, at)
-    if kind == "arr":
-        items, at = [], m.end()
-        while True:
-            at = skip(data, at)
-            if data[at : at + 1] == b"]":
-                return items, at + 1
-            v, at = value(data, at, depth + 1)
-            items.append(v)
-    if kind == "dict":
-        out: dict[bytes, object] = {}
-        at = m.end()
-        while True:
-            at = skip(data, at)
-            if data[at : at + 2] == b">>":
-                return out, at + 2
-            k = _TOKEN.match(data, at)
-            if k is None or k.lastgroup != "name":
-                raise SyntaxProblem("a key is no name")
-            out[name_value(k[0])], at = value(data, k.end(), depth + 1)
-    word = m[0]
-    if kind == "word" and word in (b"true", b"false", b"null"):
-        return {b"true": True, b"false": False, b"null": None}[word], m.end()
-    raise SyntaxProblem(f"no value: {word[:20]!r}")
+_WORDS = {b"true": True, b"false": False, b"null": None}
+
+
+def value(data: bytes, at: int = 0) -> tuple[object, int]:
+    """(value, place behind) of the next object, nested as deep as it is; a keyword that is none raises."""
+    opened: list[list | dict] = []
+    keys: list[bytes | None] = []
+    while True:
+        at = skip(data, at)
+        inside = opened[-1] if opened else None
+        if inside is not None and data.startswith(b"]" if isinstance(inside, list) else b">>", at):
+            at += 1 if isinstance(inside, list) else 2
+            v: object = opened.pop()
+            keys.pop()
+        else:
+            m = _TOKEN.match(data, at)
+            if m is None:
+                raise SyntaxProblem("no value")
+            kind = m.lastgroup
+            if isinstance(inside, dict) and keys[-1] is None:
+                if kind != "name":
+                    raise SyntaxProblem("a key is no name")
+                keys[-1] = name_value(m[0])
+                at = m.end()
+                continue
+            if kind in ("arr", "dict"):
+                opened.append([] if kind == "arr" else {})
+                keys.append(None)
+                at = m.end()
+                continue
+            if kind == "num":
+                r = _REF.match(data, at)
+                v, at = (Ref(int(r[1]), int(r[2])), r.end()) if r else (number(m[0]), m.end())
+            elif kind == "name":
+                v, at = name_value(m[0]), m.end()
+            elif kind == "lit":
+                v, at = literal_string(data, at)
+            elif kind == "hex":
+                v, at = hex_string(data, at)
+            elif kind == "word" and m[0] in _WORDS:
+                v, at = _WORDS[m[0]], m.end()
+            else:
+                raise SyntaxProblem(f"no value: {m[0][:20]!r}")
+        if not opened:
+            return v, at
+        if isinstance(opened[-1], list):
+            opened[-1].append(v)
+        else:
+            opened[-1][keys[-1]] = v  # type: ignore[index]
+            keys[-1] = None
+
+
+_PLAIN_NAME = re.compile(rb"[^!$&'*-.0-;=?-Z^-z|~]")
+_IN_LITERAL = re.compile(rb"[()\\\r]")
+
+
+def syntax(v: object) -> bytes:
+    """The syntax of a value: what :func:`value` reads back as the same."""
+    if isinstance(v, Name):
+        return b"/" + _PLAIN_NAME.sub(lambda m: b"#%02X" % m[0][0], v)
+    if isinstance(v, bytes):
+        return b"(" + _IN_LITERAL.sub(lambda m: b"\\r" if m[0] == b"\r" else b"\\" + m[0], v) + b")"
+    if v is None or isinstance(v, bool):
+        return {None: b"null", True: b"true", False: b"false"}[v]
+    if isinstance(v, Ref):
+        return b"%d %d R" % v
+    if isinstance(v, int):
+        return b"%d" % v
+    if isinstance(v, float):
+        return f"{v:.17f}".rstrip("0").encode()
+    if isinstance(v, list):
+        return b"[" + b" ".join(map(syntax, v)) + b"]"
+    if isinstance(v, dict):
+        return b"<<" + b" ".join(syntax(Name(k)) + b" " + syntax(x) for k, x in v.items()) + b">>"
+    raise TypeError(f"no value: {type(v)}")
 
 
 def extent(data: bytes, at: int) -> tuple[int, int]:
@@ -259,9 +291,9 @@ class Operation(NamedTuple):
     error: str | None
 
 
-def _operation(token: bytes, operands: list[object], raw: bytes) -> Operation:
+def _operation(token: bytes, operands: list[object], raw: bytes, more: dict[bytes, tuple[str, str]] | None = None) -> Operation:
     op = token.decode("latin-1")
-    known = OPERATORS.get(token)
+    known = OPERATORS.get(token) or (more.get(token) if more else None)
     if known is None:
         return Operation(op, "unimplemented", None, None, None, None, raw, None)
     category, wanted = known
@@ -285,10 +317,10 @@ def _operation(token: bytes, operands: list[object], raw: bytes) -> Operation:
     return Operation(op, category, nums or None, name, text, items, raw, None if fits else "operands do not fit")
 
 
-def operations(data: bytes) -> tuple[list[Operation], int]:
+def operations(data: bytes, more: dict[bytes, tuple[str, str]] | None = None) -> tuple[list[Operation], int]:
     """(operators in order, place where reading stopped). Everything was read if that is the end of the data.
 
-    Comments count as white space; an inline image is one operator, its bytes are not read as operators.
+    ``more`` holds further operators with their category and operands, as OPERATORS does. Comments count as white space; an inline image is one operator, its bytes are not read as operators.
     """
     out: list[Operation] = []
     operands: list[object] = []
@@ -309,7 +341,7 @@ def operations(data: bytes) -> tuple[list[Operation], int]:
                 at = _image(data, at)
                 out.append(Operation("BI", "unimplemented", None, None, None, None, data[begin:at], None))
             else:
-                out.append(_operation(m[0], operands, data[begin:at]))
+                out.append(_operation(m[0], operands, data[begin:at], more))
             operands = []
             at = begin = skip(data, at)
             continue

@@ -1,7 +1,8 @@
 """Column expressions that parse single values.
 
-Built-in expressions wherever they can say it; Arrow-batched functions only for strings with
-escapes, dictionaries and UTF-16. All take BINARY and give NULL for bytes that are no such value.
+Built-in expressions wherever they can say it; Python functions, which get Arrow batches and run once a
+value, only for strings with escapes, dictionaries and UTF-16. All take BINARY and give NULL for bytes
+that are no such value.
 """
 
 from __future__ import annotations
@@ -79,9 +80,15 @@ def number_kind(c: Column) -> Column:
     return F.when(s.rlike(r"^[+-]?(\d+\.\d*|\.\d+)$"), "real").when(s.rlike(r"^[+-]?\d+$"), "integer")
 
 
-def optional(parsed: Column) -> Column:
-    """A value or null: what did not parse is null already."""
-    return parsed
+def _malformed(c: Column, parsed: Column) -> Column:
+    """True for a value that is there and not null, but of another kind."""
+    return c.isNotNull() & ~is_null(c) & parsed.isNull()
+
+
+def optional(c: Column, parse: Callable[[Column], Column]) -> Column:
+    """struct<value, error>: the value, or null for ``null`` and for nothing; ``error`` tells what is neither."""
+    v = parse(c)
+    return F.struct(v.alias("value"), F.when(_malformed(c, v), F.lit("no value of this kind")).alias("error"))
 
 
 def number_array(c: Column, size: int | None = None, kind: str = "float") -> Column:
@@ -102,6 +109,39 @@ def number_tuple(c: Column, size: int, kind: str = "float") -> Column:
     return F.when(whole, F.struct(*[F.try_element_at(out, F.lit(i)).alias(f"_{i}") for i in range(1, size + 1)]))
 
 
+@_quiet
+def _items(b: bytes | None) -> list[bytes] | None:
+    if b is None:
+        return None
+    out, at = [], lexer.skip(b, 0)
+    while at < len(b):
+        begin, end = lexer.extent(b, at)
+        at = lexer.skip(b, end)
+        if at == end < len(b):
+            return None  # items need white space between them
+        out.append(b[begin:end])
+    return out
+
+
+def tuple_of(c: Column, parsers: list[Callable[[Column], Column]]) -> Column:
+    """Values of any kinds, one behind the other with white space between, as a struct with fields _1, _2, …
+
+    Null unless there are as many as ``parsers`` and each is of its kind; one parser makes a tuple of one."""
+    items = _arrow(_items, "array<binary>")(c)
+    parts = [p(F.try_element_at(items, F.lit(i))) for i, p in enumerate(parsers, 1)]
+    whole = F.size(items) == len(parts)
+    for x in parts:
+        whole = whole & x.isNotNull()
+    return F.when(whole, F.struct(*[x.alias(f"_{i}") for i, x in enumerate(parts, 1)]))
+
+
+def first_of(c: Column, variants: dict[str, Callable[[Column], Column]]) -> Column:
+    """The first variant that parses: struct<variant, one field for each variant>, null if none does."""
+    parsed = {n: p(c) for n, p in variants.items()}
+    which = F.coalesce(*[F.when(v.isNotNull(), F.lit(n)) for n, v in parsed.items()])
+    return F.when(which.isNotNull(), F.struct(which.alias("variant"), *[F.when(which == n, v).alias(n) for n, v in parsed.items()]))
+
+
 def maybe_array(c: Column) -> Column:
     """A scalar or an array of scalars without nesting, as an array of slices."""
     s = _trimmed(c)
@@ -134,11 +174,6 @@ def _utf16(b: bytes | None) -> str | None:
     return None if b is None else b[2 : len(b) - len(b) % 2].decode("utf-16-be", "replace")
 
 
-@_quiet
-def _lossy(b: bytes | None) -> str | None:
-    return None if b is None else b.decode("utf-8", "replace")
-
-
 def literal_string(c: Column) -> Column:
     """The bytes of a string in parentheses."""
     return _arrow(_literal, "binary")(c)
@@ -158,7 +193,8 @@ def string(c: Column) -> Column:
 
 def text(c: Column) -> Column:
     """String bytes as text: UTF-16 behind the mark FE FF (lone surrogates become U+FFFD), else Latin-1."""
-    return F.when(F.startswith(F.hex(c), F.lit("FEFF")), _arrow(_utf16, "string")(c)).otherwise(latin(c))
+    wide = F.startswith(F.hex(F.substring(c, 1, 2)), F.lit("FEFF"))
+    return F.when(wide, _arrow(_utf16, "string")(F.when(wide, c))).otherwise(latin(c))
 
 
 def name(c: Column) -> Column:
@@ -170,7 +206,7 @@ def name(c: Column) -> Column:
 
 def name_text(c: Column) -> Column:
     """Name bytes as text, U+FFFD for what is no UTF-8."""
-    return _arrow(_lossy, "string")(c)
+    return F.make_valid_utf8(c.cast("string"))
 
 
 def comment(c: Column) -> Column:
@@ -256,6 +292,13 @@ def ref_or_direct(c: Column) -> Column:
     return F.struct(r.alias("ref"), F.when(r.isNull(), c).alias("direct"))
 
 
+def without_references(c: Column, parse: Callable[[Column], Column]) -> Column:
+    """struct<value, error> where no objects are at hand: a reference can't be followed and is an error."""
+    v = parse(c)
+    error = F.when(reference(c).isNotNull(), F.lit("a reference without objects")).when(_malformed(c, v), F.lit("no value of this kind"))
+    return F.struct(v.alias("value"), error.alias("error"))
+
+
 @_quiet
 def _dictionary(b: bytes | None) -> dict[str, bytes] | None:
     return None if b is None else {k.decode("latin-1"): v for k, v in lexer.raw_dictionary(b)[0].items()}
@@ -321,19 +364,21 @@ def nodes(c: Column) -> Column:
     return _arrow(_nodes, NODES)(c)
 
 
-@_quiet
-def _decode(b: bytes | None, filters: list[str] | None) -> bytes | None:
-    return None if b is None else codecs.decode(b, [lexer.Name(f.encode("latin-1")) for f in filters or []])
+def decoded(c: Column, filters: Column, more: dict[str, codecs.Decoder] | None = None) -> Column:
+    """Stream bytes through an array of filter names; null where a filter fails or is unsupported.
+
+    ``more`` holds further decoders by filter name; they travel to the workers with the function."""
 
+    @_quiet
+    def run(b: bytes | None, names: list[str] | None) -> bytes | None:
+        return None if b is None else codecs.decode(b, [lexer.Name(f.encode("latin-1")) for f in names or []], None, more)
 
-def decoded(c: Column, filters: Column) -> Column:
-    """Stream bytes through an array of filter names; null where a filter fails or is unsupported."""
-    return _arrow(_decode, "binary")(c, filters)
+    return F.udf(run, "binary", useArrow=True)(c, filters)
 
 
-def filter_problem(f: Column) -> Column:
+def filter_problem(f: Column, more: dict[str, codecs.Decoder] | None = None) -> Column:
     """Why a filter name can't be used; null if it can."""
-    return F.when(f.isin(*codecs.DECODERS), F.lit(None)).when(f.isin(*codecs.KNOWN), F.concat(F.lit("unsupported filter "), f)).otherwise(F.concat(F.lit("unknown filter "), f))
+    return F.when(f.isin(*codecs.DECODERS, *(more or {})), F.lit(None)).when(f.isin(*codecs.KNOWN), F.concat(F.lit("unsupported filter "), f)).otherwise(F.concat(F.lit("unknown filter "), f))
 
 
 @_quiet
@@ -412,7 +457,8 @@ def operations(c: Column) -> Column:
 @dataclass(frozen=True)
 class FieldSpec:
     """A field of a dictionary: its name, its parser, its key (by default the name in Pascal case), a
-    default for a missing or null value, and a conversion applied behind the parser."""
+    default for a missing or null value (a value, or a column computed from others), a conversion applied
+    behind the parser, and whether a reference is followed."""
 
     name: str
     parse: Callable[[Column], Column]
@@ -420,27 +466,45 @@ class FieldSpec:
     default: object = None
     convert: Callable[[Column], Column] | None = None
     required: bool = False
+    follow: bool = False
 
     @property
     def source(self) -> str:
         return self.key or "".join(p.capitalize() for p in self.name.split("_"))
 
 
-def project(df: DataFrame, dictionary_column: str, specs: list[FieldSpec | list[FieldSpec]]) -> DataFrame:
-    """``df`` with a column for each field of a dictionary map, and ``missing``: the required keys it lacks.
+def project(df: DataFrame, dictionary_column: str, specs: list[FieldSpec | list[FieldSpec]], objects: DataFrame | None = None, key: list[str] | None = None, value: str = "raw") -> DataFrame:
+    """``df`` with a column for each field of a dictionary map, ``missing``: the required keys it lacks, and
+    ``malformed``: the keys whose value is of another kind, which no default replaces.
 
     A nested list is flattened: its fields come from the same dictionary. Columns of ``df`` that have a
-    field's name are replaced.
+    field's name are replaced. A field to ``follow`` may be a reference, whose ``value`` is joined from
+    ``objects`` (obj, gen and the ``key`` columns, unique); one that leads nowhere is null.
     """
     flat = [s for x in specs for s in (x if isinstance(x, list) else [x])]
     m = F.col(dictionary_column)
+    slices: dict[str, Column] = {s.name: F.try_element_at(m, F.lit(s.source)) for s in flat}
+    for i, s in enumerate(s for s in flat if s.follow):
+        if objects is None:
+            raise ValueError(f"{s.name} follows references, which needs objects")
+        names = [f"_qf{i}_{k}" for k in ("obj", "gen", "value", *(key or []))]
+        o = objects.select(*[F.col(k).alias(n) for k, n in zip(["obj", "gen", value, *(key or [])], names, strict=True)])
+        ref = reference(slices[s.name])
+        same = [ref["obj"] == F.col(names[0]), ref["gen"] == F.col(names[1]), *[F.col(k) == F.col(n) for k, n in zip(key or [], names[3:], strict=True)]]
+        df = df.join(o, same, "left")
+        slices[s.name] = F.when(ref.isNotNull(), F.col(names[2])).otherwise(slices[s.name])
     out: dict[str, Column] = {}
+    bad = []
     for s in flat:
-        v = s.parse(F.try_element_at(m, F.lit(s.source)))
+        raw, v = slices[s.name], s.parse(slices[s.name])
+        wrong = _malformed(raw, v)
+        bad.append(F.when(wrong, F.lit(s.source)))
         v = s.convert(v) if s.convert else v
-        out[s.name] = v if s.default is None else F.coalesce(v, F.lit(s.default))
+        default = s.default if isinstance(s.default, Column) else F.lit(s.default)
+        out[s.name] = v if s.default is None else F.when(raw.isNull() | is_null(raw), default).otherwise(v)
     lacking = F.array_compact(F.array(*[F.when(F.try_element_at(m, F.lit(s.source)).isNull(), F.lit(s.source)) for s in flat if s.required] or [F.lit(None).cast("string")]))
-    return df.withColumns(out | {"missing": lacking})
+    done = df.withColumns(out | {"missing": lacking, "malformed": F.array_compact(F.array(*bad))})
+    return done.drop(*[c for c in done.columns if c.startswith("_qf")])
 
 
 #: Parsers by the name of their kind.

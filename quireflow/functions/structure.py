@@ -157,20 +157,23 @@ def kind_of(v: object) -> str:
 class File:
     """One file's bytes and its current entries; resolves references inside the file."""
 
-    def __init__(self, data: bytes, entries: list[Entry]):
-        self.data = data
+    def __init__(self, data: bytes, entries: list[Entry], decoders: dict[str, codecs.Decoder] | None = None):
+        self.data, self.decoders = data, decoders
         self.at = {(e.obj, e.gen): e for e in entries if e.kind != "free"}
         self.streams: dict[int, dict[int, bytes]] = {}
 
-    def deref(self, v: object, depth: int = 0) -> object:
-        """``v``, or what it points to."""
-        if not isinstance(v, Ref) or depth > 20:
-            return v
-        e = self.at.get((v.obj, v.gen))
-        if e is None:
-            return None
-        raw = lexer.indirect(self.data, e.offset).raw if e.kind == "plain" else self.member(e)  # type: ignore[arg-type]
-        return self.deref(lexer.value(raw)[0], depth + 1)
+    def deref(self, v: object) -> object:
+        """``v``, or what it points to, over any number of references; a ring of them raises."""
+        seen: set[Ref] = set()
+        while isinstance(v, Ref):
+            if v in seen:
+                raise SyntaxProblem("a ring of references")
+            seen.add(v)
+            e = self.at.get((v.obj, v.gen))
+            if e is None:
+                return None
+            v, _ = lexer.value(lexer.indirect(self.data, e.offset).raw if e.kind == "plain" else self.member(e))  # type: ignore[arg-type]
+        return v
 
     def content(self, found: lexer.Indirect) -> bytes:
         """The decoded bytes of a stream; its length, filters and their settings may be references."""
@@ -179,7 +182,7 @@ class File:
         get = lambda k: self.deref(d.get(k))
         filters = get(b"Filter")
         filters = [self.deref(f) for f in filters] if isinstance(filters, list) else filters
-        return codecs.decode(lexer.stream_bytes(self.data, found.stream_at, get(b"Length")), filters, get(b"DecodeParms"))  # type: ignore[arg-type]
+        return codecs.decode(lexer.stream_bytes(self.data, found.stream_at, get(b"Length")), filters, get(b"DecodeParms"), self.decoders)  # type: ignore[arg-type]
 
     def members(self, stream_id: int) -> dict[int, bytes]:
         """The slices of an object stream by object number, those of the streams it extends included; decoded once."""
@@ -263,13 +266,13 @@ ROTATIONS = (0, 90, 180, 270)
 
 
 def current(parts: list[Section], oldest_wins: bool = False) -> list[Entry]:
-    """One entry for each object: that of the newest section which lists it, whatever its kind."""
-    chosen: dict[tuple[int, int], Entry] = {}
+    """One entry for each object: that of the newest section which lists its number, whatever kind and generation.
+
+    With ``oldest_wins`` one for each number and generation, that of the oldest section."""
+    chosen: dict[object, Entry] = {}
     for s in parts if oldest_wins else reversed(parts):
         for e in s.entries:
-            if e.kind == "free" and not oldest_wins:
-                chosen.pop((e.obj, e.gen - 1), None)
-            chosen[(e.obj, e.gen)] = e
+            chosen[(e.obj, e.gen) if oldest_wins else e.obj] = e
     return list(chosen.values())
 
 
@@ -336,6 +339,9 @@ def pages(file: File, root: Ref | None) -> list[dict]:
                 "media_box": _box(file, own.get(b"MediaBox")), "crop_box": _box(file, own.get(b"CropBox")), "rotate": rotate if rotate in ROTATIONS and not isinstance(rotate, bool) else None,
                 "user_unit": float(unit) if isinstance(unit, (int, float)) else 1.0, "resources": resources if isinstance(resources, Ref) else None,
                 "fonts": {k.decode("latin-1"): v for k, v in fonts.items() if isinstance(v, Ref)} if isinstance(fonts, dict) else {}, "contents": [c for c in contents if isinstance(c, Ref)],
+                "direct_resources": lexer.syntax(resources) if isinstance(resources, dict) else None,
+                "direct_fonts": {k.decode("latin-1"): lexer.syntax(v) for k, v in fonts.items() if isinstance(v, dict)} if isinstance(fonts, dict) else {},
+                "own": {k.decode("latin-1"): lexer.syntax(v) for k, v in d.items()},
             }
             if rotate is not None and row["rotate"] is None:
                 row["error"] = "unknown rotation"

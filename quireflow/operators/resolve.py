@@ -6,9 +6,13 @@ keeps its row with a null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireflow.functions import scalars
+
 
 def resolve(df: DataFrame, ref: Column, objects: DataFrame, value: str, out: str, key: list[str] | None = None) -> DataFrame:
     """``df`` with ``out``: the ``value`` of the row of ``objects`` that ``ref`` (struct obj, gen) names.
@@ -28,13 +32,41 @@ def resolve_or_direct(df: DataFrame, either: str, objects: DataFrame, value: str
     return r.withColumn(out, F.coalesce(F.col(f"{either}.direct"), F.col("_resolved"))).drop("_resolved")
 
 
-def resolve_items(df: DataFrame, keys: list[str], items: str, objects: DataFrame, value: str, out: str) -> DataFrame:
+def resolve_items(df: DataFrame, keys: list[str], items: str, objects: DataFrame, value: str, out: str, key: list[str] | None = None, size: int | None = None) -> DataFrame:
     """keys and ``out``: the values of an array of struct<ref, direct> in order, null where a reference leads
-    nowhere. A null array stays null, an empty one empty."""
+    nowhere. A null array stays null, an empty one empty; with ``size``, an array of another length is null.
+
+    ``key`` are those of ``keys`` that the objects share. Rows of ``df`` must be unique by ``keys``."""
     rows = df.select(*keys, F.posexplode_outer(items).alias("_pos", "_item"), F.col(items).isNull().alias("_none"))
-    done = resolve_or_direct(rows, "_item", objects, value, "_v")
+    done = resolve_or_direct(rows, "_item", objects, value, "_v", key)
     lists = done.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_v")))).alias("_l"), F.max("_none").alias("_none"))
-    return lists.select(*keys, F.when(~F.col("_none"), F.transform("_l", lambda x: x["_v"])).alias(out))
+    whole = ~F.col("_none") if size is None else ~F.col("_none") & (F.size("_l") == size)
+    return lists.select(*keys, F.when(whole, F.transform("_l", lambda x: x["_v"])).alias(out))
+
+
+def _either(items: Column) -> Column:
+    return F.transform(items, lambda x: scalars.ref_or_direct(x))
+
+
+def resolve_maybe_array(df: DataFrame, keys: list[str], written: str, objects: DataFrame, value: str, out: str, key: list[str] | None = None) -> DataFrame:
+    """keys and ``out``: a value or an array of values, each of which may be a reference, as an array of slices."""
+    c = F.col(written)
+    many = F.substring(scalars._trimmed(c), 1, 1) == "["
+    items = F.when(many, scalars.array(F.when(many, c))).otherwise(F.when(c.isNotNull(), F.array(c)))
+    return resolve_items(df.select(*keys, _either(items).alias("_items")), keys, "_items", objects, value, out, key)
+
+
+def resolve_tuple(df: DataFrame, keys: list[str], written: str, objects: DataFrame, value: str, out: str, parsers: list[Callable[[Column], Column]], key: list[str] | None = None) -> DataFrame:
+    """keys and ``out``: a struct _1, _2, … of an array's items, each a value of its own kind or a reference to one.
+
+    Null unless there are as many items as ``parsers`` and each is of its kind."""
+    items = df.select(*keys, _either(scalars.array(F.col(written))).alias("_items"))
+    found = resolve_items(items, keys, "_items", objects, value, "_found", key, len(parsers))
+    parts = [p(F.try_element_at("_found", F.lit(i))) for i, p in enumerate(parsers, 1)]
+    whole = F.col("_found").isNotNull()
+    for x in parts:
+        whole = whole & x.isNotNull()
+    return found.select(*keys, F.when(whole, F.struct(*[x.alias(f"_{i}") for i, x in enumerate(parts, 1)])).alias(out))
 
 
 def newest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

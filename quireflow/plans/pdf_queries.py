@@ -17,7 +17,7 @@ from quireflow.operators import resolve, textstate
 from quireflow.plans import writing
 from quireflow.plans.writing import raw
 from quireflow.session import table
-from quireflow.sources.pdf import Corpus, operators_of
+from quireflow.sources.pdf import PAGE_PROPERTIES, Corpus, operators_of
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -166,19 +166,6 @@ def page_properties(spark: SparkSession, d: str) -> DataFrame:
     return out.select("prop_id", scalars.latin(F.col("tabs")).alias("tabs"), "dur", F.try_element_at("m", F.lit("LastModified")).isNull().alias("undated")).distinct()
 
 
-#: The optional properties of a page that are its own, in order.
-PAGE_PROPERTIES: list[FieldSpec | list[FieldSpec]] = [
-    FieldSpec("last_modified", scalars.date),
-    *[FieldSpec(n, scalars.rectangle) for n in ("bleed_box", "trim_box", "art_box")],
-    *[FieldSpec(n, scalars.dictionary) for n in ("box_color_info", "group")],
-    FieldSpec("thumb", scalars.reference), FieldSpec("b", scalars.array), FieldSpec("dur", scalars.PARSERS["f64"]), FieldSpec("trans", scalars.dictionary), FieldSpec("annots", scalars.array),
-    FieldSpec("aa", scalars.dictionary, key="AA"), FieldSpec("metadata", scalars.reference), FieldSpec("piece_info", scalars.dictionary), FieldSpec("struct_parents", scalars.PARSERS["raw"]),
-    FieldSpec("id", scalars.file_id, key="ID"), FieldSpec("pz", scalars.PARSERS["f64"], key="PZ"), FieldSpec("separation_info", scalars.dictionary), FieldSpec("tabs", scalars.name),
-    FieldSpec("template_instantiated", scalars.name), FieldSpec("pres_steps", scalars.dictionary), FieldSpec("vp", scalars.array, key="VP"), FieldSpec("af", scalars.array, key="AF"),
-    FieldSpec("output_intents", scalars.array), FieldSpec("d_part", scalars.reference, key="DPart"),
-]
-
-
 # -- streams and cross-references ------------------------------------------------------------------
 
 
@@ -321,7 +308,7 @@ def text_positions(spark: SparkSession, d: str) -> DataFrame:
 @_query("""WITH t AS (SELECT DISTINCT text_object_id, text_buffer, buffer FROM text_objects)
     SELECT text_object_id, chr(10) || coalesce(text_buffer, '') || coalesce((SELECT string_agg(u.x.txt, '' ORDER BY u.pos) FROM (SELECT unnest(buffer) AS x, unnest(range(len(buffer))) AS pos) u), '') AS page_text FROM t""")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
-    return textstate.page_text(operators_of(_text_content(spark, d), ["text_object_id"], "content"), ["text_object_id"])
+    return textstate.page_text(operators_of(_text_content(spark, d), ["text_object_id"], "content"), ["text_object_id"]).drop("error")
 
 
 @_query("""WITH e AS (SELECT user_id, event_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, event_id % 4 AS k FROM events),
@@ -406,7 +393,7 @@ def pdf_text_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_FILES} SELECT path, page_ord, chr(10) || c_name || c_mktsegment || 'x' AS page_text FROM p")
 def pdf_page_text(spark: SparkSession, d: str) -> DataFrame:
-    return customer_corpus(spark, d).page_text()
+    return customer_corpus(spark, d).page_text().select("path", "page_ord", "page_text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,8 +1,10 @@
 """Whole files: revisions, rings, references to lengths, inheritance, damage."""
 
+import zlib
+
 import pytest
 
-from quireflow.functions import structure
+from quireflow.functions import codecs, structure
 from quireflow.plans.writing import customer_file
 from quireflow.sources.pdf import Corpus
 
@@ -63,8 +65,89 @@ def test_pages(corpus):
 def test_content_parts_are_separated_and_length_may_be_a_reference(corpus):
     got = Corpus(corpus).page_content().where("path = 'one' and page_ord = 0").first()
     assert bytes(got.content) == b"BT /F1 1 Tf (a) Tj\nET" and got.error is None
-    assert [r.text for r in Corpus(corpus).text_spans().where("path = 'one'").collect()] == ["a"]
-    assert Corpus(corpus).page_content(first=1, last=1).where("path = 'one'").count() == 0
+    spans = [(r.text, r.error) for r in Corpus(corpus).text_spans().where("path = 'one'").orderBy("page_ord").collect()]
+    # the second page is a ring, and one cannot be rotated
+    assert spans[0] == ("a", None) and spans[1] == (None, "the page tree is a ring") and len(spans) == 2
+    got = Corpus(corpus).page_content(first=1, last=1).where("path = 'one'").collect()
+    assert [(r.content, r.error) for r in got] == [(None, "the page tree is a ring")]
+
+
+BROKEN = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R 4 0 R 5 0 R]>>", 3: b"<</Type/Page/Contents 6 0 R>>", 4: b"<</Type/Page/Contents 7 0 R>>", 6: b"<</Filter/LZWDecode/Length 1>>stream\nx\nendstream", 7: stream(b"BT ET")}
+TABLES = ["xref_sections", "xref", "objects", "pages", "page_properties", "page_content", "operators", "text_spans", "page_text", "documents"]
+
+
+def test_damage_is_a_row_in_every_table(spark):
+    """A file without a catalog, a truncated one, nothing at all, and one whose first page cannot be decoded and whose last is missing."""
+    no_catalog, _ = plain_file({2: b"<<>>"})
+    whole, _ = plain_file(BROKEN)
+    files = spark.createDataFrame([("catalog", no_catalog), ("cut", whole[: len(whole) // 2]), ("none", None), ("broken", whole)], "path string, content binary")
+    tables = Corpus(files).tables()
+    for name in TABLES:
+        got = {}
+        for r in tables[name]().collect():
+            got.setdefault(r.path, []).append(r.error)
+        assert "startxref is missing" in got["cut"] and "no content" in got["none"], name
+        if name not in ("xref_sections", "xref", "objects"):
+            assert "the catalog is missing" in got["catalog"], name
+    for name in ("page_content", "operators", "text_spans"):
+        got = sorted((r.page_ord, r.error) for r in tables[name]().where("path = 'broken' and error is not null").collect())
+        assert got == [(0, "unsupported filter LZWDecode"), (2, "a kid is missing")], name
+    assert [r.op for r in tables["operators"]().where("path = 'broken' and op is not null").collect()] == ["BT", "ET"]
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_fail_fast_in_every_table(spark, name):
+    files = spark.createDataFrame([("none", b"nothing")], "path string, content binary")
+    with pytest.raises(Exception, match="startxref is missing"):
+        Corpus(files, fail_fast=True).tables()[name]().collect()
+    if name in ("page_content", "operators", "text_spans", "page_text"):
+        whole, _ = plain_file(BROKEN)
+        with pytest.raises(Exception, match="unsupported filter"):
+            Corpus(spark.createDataFrame([("broken", whole)], "path string, content binary"), fail_fast=True).tables()[name]().collect()
+
+
+def test_freed_objects_and_modes(spark):
+    """xref and objects agree: a newer section frees an object, whatever generation it names, and changes another."""
+    first, at = plain_file(TREE)
+    out = bytearray(first)
+    place = len(out)
+    out += b"3 0 obj\n(new)\nendobj\n"
+    start = len(out)
+    out += b"xref\n3 1\n%010d 00000 n \n5 1\n0000000000 00001 f \ntrailer\n<</Size 99/Root 1 0 R/Prev %d>>\nstartxref\n%d\n%%%%EOF\n" % (place, at, start)
+    files = spark.createDataFrame([("f", bytes(out))], "path string, content binary")
+    for mode, offset, freed in (("default", place, True), ("reference", None, False)):
+        corpus = Corpus(files, mode)
+        xref = {r.obj: r.offset for r in corpus.xref().collect()}
+        raw = {r.obj: bytes(r.raw) for r in corpus.objects().collect() if r.raw}
+        assert set(xref) == set(raw) and (5 not in xref) == freed
+        assert (xref[3] == offset and raw[3] == b"(new)") if mode == "default" else raw[3] == TREE[3]
+
+
+def test_direct_resources_and_fonts(spark):
+    tree = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R]>>", 3: b"<</Type/Page/Tabs/S/Resources<</Font<</F1<</Type/Font/Name/A#20B>>/F2 9 0 R>>>>/Dur 2.5/Thumb 7 0 R>>"}
+    corpus = Corpus(spark.createDataFrame([("f", plain_file(tree)[0])], "path string, content binary"))
+    page = corpus.pages().first()
+    assert bytes(page.direct_fonts["F1"]) == b"<</Type /Font /Name /A#20B>>" and page.fonts["F2"].obj == 9 and page.resources is None and bytes(page.direct_resources).startswith(b"<</Font")
+    own = corpus.page_properties().first()
+    assert (bytes(own.tabs), own.dur, own.thumb.obj, own.art_box) == (b"S", 2.5, 7, None)
+
+
+def test_rings_of_references_and_deep_values(spark):
+    tree = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids 3 0 R>>", 3: b"4 0 R", 4: b"3 0 R", 5: b"[" * 3000 + b"]" * 3000}
+    corpus = Corpus(spark.createDataFrame([("f", plain_file(tree)[0])], "path string, content binary"))
+    assert [r.error for r in corpus.pages().collect()] == ["a ring of references"]
+    assert corpus.object_nodes().where("obj = 5").count() == 3000
+
+
+def test_decoders_operators_and_bounds(spark, monkeypatch):
+    body = {**BROKEN, 6: b"<</Filter/Up/Length 9>>stream\nbt ab zz \nendstream"}
+    files = spark.createDataFrame([("f", plain_file(body)[0])], "path string, content binary")
+    corpus = Corpus(files, decoders={"Up": lambda data, parms: data.upper()}, operators={b"ZZ": ("own", "")})
+    assert [(r.op, r.category) for r in corpus.operators().where("page_ord = 0").orderBy("op_ord").collect()] == [("BT", "delimiter"), ("AB", "unimplemented"), ("ZZ", "own")]
+    with pytest.raises(ValueError, match="more than 10 bytes"):
+        codecs._inflate(zlib.compress(b"x" * 1000), 10)
+    with pytest.raises(ValueError, match="incomplete"):
+        codecs._inflate(zlib.compress(b"x" * 1000)[:-3], 10_000)
 
 
 def test_fail_fast(corpus):
