@@ -45,6 +45,12 @@ def _quiet(f: Callable) -> Callable:
     return run
 
 
+def startxref(c: Column) -> Column:
+    """The number behind the last startxref of a file's final 1024 bytes; null if there is none."""
+    tail = latin(F.substring(c, -1024, 1024))
+    return F.try_element_at(F.regexp_extract_all(tail, F.lit(rf"startxref{_SPACE}+([0-9]+)"), F.lit(1)), F.lit(-1)).try_cast("bigint")
+
+
 # -- primitives ----------------------------------------------------------------------------------
 
 

@@ -6,17 +6,18 @@ operator, and the SQL takes the answer straight from the columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.functions import scalars
+from quireflow.functions import scalars, syntax
 from quireflow.functions.scalars import FieldSpec
 from quireflow.operators import resolve, textstate
 from quireflow.plans import writing
 from quireflow.plans.writing import raw
-from quireflow.session import table
+from quireflow.session import ensure_checkpoint_dir, table
 from quireflow.sources.pdf import PAGE_PROPERTIES, Corpus, operators_of
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -157,13 +158,73 @@ def scalar_or_array(spark: SparkSession, d: str) -> DataFrame:
     return a.select("o_orderkey", scalars.latin(scalars.name(F.try_element_at("a", F.lit(1)))).alias("item"), F.size("a").alias("n"))
 
 
-@_query("SELECT DISTINCT prop_id, tabs, dur, last_modified IS NULL AS undated FROM page_props")
+@_query("""SELECT DISTINCT prop_id, CAST(year(recorded_at) AS INTEGER) AS modified_year, CAST(obj AS FLOAT) AS bleed_x, CAST(gen AS FLOAT) AS trim_y, CAST(prop_id % 1000 AS FLOAT) AS art_x, 1 AS n_box_color, 'Transparency' AS group_s,
+    obj AS thumb_obj, 2 AS n_b, dur, CASE WHEN prop_id % 2 = 0 THEN 'Wipe' END AS trans_s, CAST(prop_id % 3 AS INTEGER) AS n_annots, 1 AS n_aa, obj + 1 AS metadata_obj, 'App' AS piece_key, CAST(prop_id % 7 AS VARCHAR) AS struct_parents,
+    'AB' AS id_creation, CAST(1.5 AS DOUBLE) AS pz, 'Cyan' AS separation, tabs, CASE WHEN prop_id % 5 = 0 THEN 'Tem plate' END AS template_instantiated, 2 AS n_pres_steps, 1 AS n_vp, 2 AS n_af, 0 AS n_output_intents, obj + 2 AS d_part_obj FROM page_props""")
 def page_properties(spark: SparkSession, d: str) -> DataFrame:
-    dated = F.when(F.col("last_modified").isNotNull(), F.concat(F.lit("/LastModified"), writing.literal(writing.string_bytes(F.col("last_modified")))))
-    tabs, dur = F.concat(F.lit("/Tabs/"), "tabs"), F.concat(F.lit("/Dur "), F.col("dur").cast("decimal(20,6)").cast("string"))
-    m = table(spark, d, "page_props").select("prop_id", scalars.dictionary(_text("<<", dated, tabs, dur, ">>")).alias("m"))
-    out = scalars.project(m, "m", PAGE_PROPERTIES)
-    return out.select("prop_id", scalars.latin(F.col("tabs")).alias("tabs"), "dur", F.try_element_at("m", F.lit("LastModified")).isNull().alias("undated")).distinct()
+    """All properties of their own that pages may have, present and absent."""
+    p, obj, gen = F.col("prop_id"), F.col("obj"), F.col("gen")
+    written = {
+        "LastModified": F.concat(F.lit("(D:"), F.date_format("recorded_at", "yyyyMMddHHmm"), F.lit(")")), "BleedBox": F.format_string("[%d 0 9 9]", obj), "TrimBox": F.format_string("[0 %d 9 9]", gen), "ArtBox": F.format_string("[ %d 0 9 9 ]", p % 1000),
+        "BoxColorInfo": F.lit("<</CropBox<</S/D>>>>"), "Group": F.lit("<</S/Transparency>>"), "Thumb": F.format_string("%d 0 R", obj), "B": F.format_string("[%d 0 R %d 0 R]", obj, obj), "Dur": syntax.real(F.col("dur"), 6),
+        "Trans": F.when(p % 2 == 0, "<</S/Wipe>>").otherwise("null"), "Annots": syntax.array(F.transform(F.sequence(F.lit(1), (p % 3).cast("int") + 1), lambda i: F.when(i > 1, F.concat(i.cast("string"), F.lit(" 0 R"))).otherwise(""))),
+        "AA": F.lit("<</O 5 0 R>>"), "Metadata": F.format_string("%d 0 R", obj + 1), "PieceInfo": F.lit("<</App<</Private 1>>>>"), "StructParents": (p % 7).cast("string"), "ID": F.lit("[<4142><43>]"), "PZ": F.lit("1.5"), "SeparationInfo": F.lit("<</DeviceColorant/Cyan>>"),
+        "Tabs": syntax.name(F.encode("tabs", "ISO-8859-1")), "TemplateInstantiated": F.when(p % 5 == 0, "/Tem#20plate").otherwise("null"), "PresSteps": F.lit("<</NA 1 0 R/PA 2 0 R>>"), "VP": F.lit("[<</BBox[0 0 1 1]>>]"), "AF": F.lit("[1 0 R 2 0 R]"), "OutputIntents": F.lit("[]"), "DPart": F.format_string("%d 0 R", obj + 2),
+    }
+    m = table(spark, d, "page_props").select("prop_id", scalars.dictionary(raw(syntax.dictionary(written))).alias("m"))
+    f = scalars.project(m, "m", PAGE_PROPERTIES)
+    of = lambda c, k: scalars.latin(scalars.name(F.try_element_at(c, F.lit(k))))
+    return f.select(
+        "prop_id", F.col("last_modified.year").alias("modified_year"), F.col("bleed_box.xmin").alias("bleed_x"), F.col("trim_box.ymin").alias("trim_y"), F.col("art_box.xmin").alias("art_x"), F.size("box_color_info").alias("n_box_color"), of("group", "S").alias("group_s"),
+        F.col("thumb.obj").alias("thumb_obj"), F.size("b").alias("n_b"), "dur", of("trans", "S").alias("trans_s"), F.size("annots").alias("n_annots"), F.size("aa").alias("n_aa"), F.col("metadata.obj").alias("metadata_obj"), F.map_keys("piece_info")[0].alias("piece_key"), scalars.latin(F.col("struct_parents")).alias("struct_parents"),
+        scalars.latin(F.col("id.creation")).alias("id_creation"), "pz", of("separation_info", "DeviceColorant").alias("separation"), scalars.latin(F.col("tabs")).alias("tabs"), scalars.latin(F.col("template_instantiated")).alias("template_instantiated"), F.size("pres_steps").alias("n_pres_steps"),
+        F.size("vp").alias("n_vp"), F.size("af").alias("n_af"), F.size("output_intents").alias("n_output_intents"), F.col("d_part.obj").alias("d_part_obj"),
+    ).distinct()
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS BIGINT) END AS value, o_orderkey % 3 = 2 AS is_malformed FROM orders")
+def optional_values(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    written = F.when(key % 3 == 0, _text(key)).when(key % 3 == 1, _text(" null ")).otherwise(_text("/", key))
+    v = table(spark, d, "orders").select("o_orderkey", scalars.optional(written, scalars.PARSERS["i64"]).alias("v"))
+    return v.select("o_orderkey", "v.value", F.col("v.error").isNotNull().alias("is_malformed"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN p_name END AS name, CASE WHEN p_partkey % 4 > 0 THEN p_size END AS size, CASE WHEN p_partkey % 4 > 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 4 > 0 THEN 2 END AS n_items,
+    p_size AS only, CASE WHEN p_partkey % 3 = 0 THEN 'number' WHEN p_partkey % 3 = 1 THEN 'word' END AS variant, CASE WHEN p_partkey % 3 = 1 THEN p_type END AS word FROM part""")
+def mixed_tuples(spark: SparkSession, d: str) -> DataFrame:
+    """Values of several kinds one behind the other; a tuple of one; the first variant that parses."""
+    p = table(spark, d, "part")
+    name, brand = syntax.string(F.encode("p_name", "ISO-8859-1")), syntax.name(F.encode("p_brand", "ISO-8859-1"))
+    short = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(" [1 (])]")
+    word = syntax.name(F.encode("p_type", "ISO-8859-1"))
+    either = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_partkey") % 3 == 1, word).otherwise("(neither)")
+    t = p.select(
+        "p_partkey", scalars.tuple_of(_text(name, "\n% note\n ", F.col("p_size"), " ", brand, short), [scalars.PARSERS["string"], scalars.integer, scalars.name, scalars.array]).alias("t"),
+        scalars.tuple_of(_text(F.col("p_size"), " "), [scalars.integer]).alias("one"), scalars.first_of(_text(either), {"number": scalars.integer, "word": scalars.name}).alias("v"),
+    )
+    return t.select("p_partkey", scalars.text(F.col("t._1")).alias("name"), F.col("t._2").alias("size"), scalars.latin(F.col("t._3")).alias("brand"), F.when(F.col("t").isNotNull(), F.size("t._4")).alias("n_items"), F.col("one._1").alias("only"), "v.variant", scalars.latin(F.col("v.word")).alias("word"))
+
+
+@_query("SELECT c_custkey, c_name AS note, CAST(c_custkey % 5 AS INTEGER) AS n_items, CAST(c_custkey AS VARCHAR) AS as_is FROM customer")
+def comments(spark: SparkSession, d: str) -> DataFrame:
+    """The text of a comment; an array with comments between and before its items; a value left as it is."""
+    many = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("c_custkey") % 5).cast("int")), lambda i: F.when(i > 0, F.concat(i.cast("string"), F.lit(" % [ ( \r\n"))).otherwise("")), "")
+    c = table(spark, d, "customer").select("c_custkey", scalars.comment(_text("% \t", F.col("c_name"), "\r\nrest")).alias("note"), scalars.array(_text("% a\n  %b\r[%c\n", many, "]")).alias("a"), scalars.parse_as("raw", _text(F.col("c_custkey"))).alias("r"))
+    return c.select("c_custkey", "note", F.size("a").alias("n_items"), scalars.latin(F.col("r")).alias("as_is"))
+
+
+@_query("""SELECT o_orderkey, 'integer,real,boolean,string,string,name,ref,null,array,dictionary' AS kinds, o_orderkey AS int_v, round(o_totalprice, 2) AS real_v, o_orderstatus = 'F' AS bool_v, o_orderpriority AS text, o_orderpriority || ' (#/)' AS name, o_custkey AS ref_obj FROM orders""")
+def object_syntax(spark: SparkSession, d: str) -> DataFrame:
+    """Values of every kind written from columns and read again."""
+    priority = F.encode("o_orderpriority", "ISO-8859-1")
+    written = syntax.dictionary({
+        "A": syntax.integer(F.col("o_orderkey")), "B": syntax.real(F.round("o_totalprice", 2), 4), "C": syntax.boolean(F.col("o_orderstatus") == "F"), "D": syntax.string(priority), "E": syntax.hex_string(priority), "F": syntax.name(F.concat(priority, raw(F.lit(" (#/)")))),
+        "G": syntax.reference(F.struct(F.col("o_custkey").alias("obj"), F.lit(0).alias("gen"))), "H": syntax.integer(F.lit(None)), "I": syntax.array(syntax.integer(F.lit(1)), syntax.name(raw(F.lit("x")))), "J": syntax.dictionary({"K": syntax.integer(F.lit(2))}),
+    })
+    n = table(spark, d, "orders").select("o_orderkey", F.filter(scalars.nodes(raw(written)), lambda x: x["parent_id"] == 0).alias("n"))
+    at = lambda i, c: F.try_element_at("n", F.lit(i))[c]
+    return n.select("o_orderkey", F.array_join(F.transform("n", lambda x: x["kind"]), ",").alias("kinds"), at(1, "int_v").alias("int_v"), at(2, "real_v").alias("real_v"), at(3, "bool_v").alias("bool_v"), F.when(at(4, "bytes_v") == at(5, "bytes_v"), scalars.text(at(4, "bytes_v"))).alias("text"), scalars.latin(at(6, "name_v")).alias("name"), at(7, "ref_obj").alias("ref_obj"))
 
 
 # -- streams and cross-references ------------------------------------------------------------------
@@ -185,10 +246,10 @@ def stream_object(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT DISTINCT path, startxref FROM pdf_files")
 def startxref(spark: SparkSession, d: str) -> DataFrame:
-    """The last startxref of a file's tail, by built-in expressions."""
-    tail = F.concat(raw(F.repeat(F.lit("x"), 2000)), _text("startxref\n1\nstartxref ", F.coalesce(F.col("startxref").cast("string"), F.lit("none")), "\n%%EOF"))
-    found = F.regexp_extract_all(scalars.latin(F.expr("substring(b, -1024)")), F.lit(r"startxref[ \t\r\n]+(\w+)"), F.lit(1))
-    return table(spark, d, "pdf_files").select("path", tail.alias("b")).select("path", F.try_element_at(found, F.lit(-1)).try_cast("bigint").alias("startxref")).distinct()
+    tail = F.concat(raw(F.repeat(F.lit("x"), 2000)), _text("startxref\n1\nstartxref ", F.coalesce(F.col("startxref").cast("string"), F.lit("1")), "\n%%EOF"))
+    none = F.concat(_text("startxref 5\n"), raw(F.repeat(F.lit("x"), 2000)))
+    written = F.when(F.col("startxref").isNull(), none).otherwise(tail)
+    return table(spark, d, "pdf_files").select("path", scalars.startxref(written).alias("startxref")).distinct()
 
 
 @_query("""SELECT DISTINCT block_id, x.obj AS obj, x.gen AS gen, x.byte_pos AS byte_pos FROM (SELECT block_id, unnest(xrefs) AS x FROM xref_blocks) WHERE x.kind = 'plain'""")
@@ -240,10 +301,9 @@ def resolve_items(spark: SparkSession, d: str) -> DataFrame:
     items = F.transform("kids", lambda k: F.struct(k.alias("ref"), F.lit(None).cast("string").alias("direct")))
     objects = nodes.select("path", "obj", "gen", F.col("node_type").alias("value"))
     rows = nodes.where(F.size("kids") > 0).select("path", F.col("obj").alias("parent"), items.alias("items"))
-    rows = rows.select("path", "parent", F.posexplode("items").alias("pos", "item"))
-    found = resolve.resolve_or_direct(rows, "item", objects, "value", "kind", ["path"])
-    joined = resolve.concat_parts(found.withColumn("kind", F.coalesce("kind", F.lit("-"))), ["path", "parent"], "pos", "kind", "kid_types", b",")
-    return joined.select("path", F.col("parent").alias("obj"), "kid_types")
+    found = resolve.resolve_items(rows, ["path", "parent"], "items", objects, "value", "kinds", ["path"])
+    kinds = F.array_join(F.transform("kinds", lambda k: F.coalesce(k, F.lit("-"))), ",")
+    return found.select("path", F.col("parent").alias("obj"), kinds.alias("kid_types"))
 
 
 @_query("SELECT p_partkey, p_name AS name, p_size AS size FROM part")
@@ -267,6 +327,57 @@ def content_concat(spark: SparkSession, d: str) -> DataFrame:
     return resolve.concat_parts(parts, ["l_orderkey"], "l_linenumber", "part", "content").select("l_orderkey", scalars.latin(F.col("content")).alias("content"))
 
 
+@_query("SELECT p_partkey, CASE p_size % 3 WHEN 1 THEN 'unsupported filter LZWDecode' WHEN 2 THEN 'unknown filter Own' END AS problem, upper(p_name) AS own FROM part")
+def filter_names(spark: SparkSession, d: str) -> DataFrame:
+    """Which filters can be used; a stream through a decoder of one's own and a built-in one."""
+    own = {"Own": lambda data, settings: data.upper()}
+    f = F.when(F.col("p_size") % 3 == 0, "FlateDecode").when(F.col("p_size") % 3 == 1, "LZWDecode").otherwise("Own")
+    data = writing.deflate(F.encode("p_name", "UTF-8"))
+    return table(spark, d, "part").select("p_partkey", scalars.filter_problem(f).alias("problem"), F.decode(scalars.decoded(data, F.array(F.lit("FlateDecode"), F.lit("Own")), own), "UTF-8").alias("own"))
+
+
+def _customers_as_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's name as a string object, with generation 0."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("obj"), F.lit(0).alias("gen"), raw(writing.literal(writing.string_bytes(F.col("c_name")))).alias("raw"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS value, CASE WHEN o_orderkey % 2 = 1 THEN 'a reference without objects' END AS error FROM orders")
+def references_without_objects(spark: SparkSession, d: str) -> DataFrame:
+    written = F.when(F.col("o_orderkey") % 2 == 0, _text(syntax.string(F.encode("o_orderpriority", "ISO-8859-1")))).otherwise(_text(F.col("o_custkey"), " 0 R"))
+    v = table(spark, d, "orders").select("o_orderkey", scalars.without_references(written, scalars.string).alias("v"))
+    return v.select("o_orderkey", scalars.text(F.col("v.value")).alias("value"), "v.error")
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_orderpriority AS p, c_name AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey)
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN p WHEN 1 THEN coalesce(n, '-') WHEN 2 THEN p || ',' || coalesce(n, '-') ELSE '' END AS either, CASE WHEN o_orderkey % 3 > 0 THEN p || ',' || coalesce(n, '-') END AS two,
+      CASE WHEN n IS NOT NULL AND o_orderkey % 3 > 0 THEN n END AS first, CASE WHEN n IS NOT NULL AND o_orderkey % 3 > 0 THEN o_orderkey END AS second FROM o""")
+def resolve_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """A value or an array of values, an array of fixed length, and a tuple: every item may be a reference."""
+    objects, key = _customers_as_objects(spark, d), F.col("o_orderkey")
+    own, ref = syntax.string(F.encode("o_orderpriority", "ISO-8859-1")), F.concat(F.col("o_custkey").cast("string"), F.lit(" 0 R"))
+    either = F.when(key % 4 == 0, _text(own)).when(key % 4 == 1, _text(ref)).when(key % 4 == 2, _text("[", own, ref, "]")).otherwise(_text("[]"))
+    third = F.when(key % 3 == 0, F.lit(" 7")).otherwise("")
+    t = table(spark, d, "orders").select("o_orderkey", either.alias("either"), scalars.array(_text("[", own, ref, third, "]")).alias("two"), _text("[", ref, " ", key, third, "]").alias("pair"))
+    by = ["o_orderkey"]
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(scalars.latin(F.substring(x, F.lit(2), F.length(x) - 2)), F.lit("-"))), ",")
+    a = resolve.resolve_maybe_array(t, by, "either", objects, "raw", "either")
+    b = resolve.resolve_items(t.select("o_orderkey", F.transform("two", scalars.ref_or_direct).alias("two")), by, "two", objects, "raw", "two", size=2)
+    c = resolve.resolve_tuple(t, by, "pair", objects, "raw", "pair", [scalars.string, scalars.PARSERS["i64"]])
+    return a.join(b, by).join(c, by).select("o_orderkey", text("either").alias("either"), text("two").alias("two"), scalars.text(F.col("pair._1")).alias("first"), F.col("pair._2").alias("second"))
+
+
+@_query("""SELECT o_orderkey AS order_key, c_name AS name, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 10 WHEN 1 THEN o_orderkey * 2 END AS copies, CASE o_orderkey % 3 WHEN 2 THEN 'Copies' ELSE '' END AS malformed
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def resolved_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that are references, a computed default, and a malformed value that no default hides."""
+    key = F.col("o_orderkey")
+    copies = F.when(key % 3 == 0, (key % 10).cast("string")).when(key % 3 == 1, "null").otherwise("/Many")
+    m = table(spark, d, "orders").select("o_orderkey", scalars.dictionary(_text("<</OrderKey ", key, "/Name ", F.col("o_custkey"), " 0 R/Copies ", copies, ">>")).alias("m"))
+    specs = [FieldSpec("order_key", scalars.PARSERS["i64"], required=True), FieldSpec("name", scalars.string, follow=True), FieldSpec("copies", scalars.PARSERS["i64"], default=F.col("o_orderkey") * 2)]
+    done = scalars.project(m, "m", specs, _customers_as_objects(spark, d))
+    return done.select("order_key", scalars.text(F.col("name")).alias("name"), "copies", F.array_join("malformed", ",").alias("malformed"))
+
+
 # -- content ---------------------------------------------------------------------------------------
 
 
@@ -327,6 +438,42 @@ def text_state_running(spark: SparkSession, d: str) -> DataFrame:
     return spans.select("user_id", "text", cents("char_spacing").alias("char_spacing_hundredth"), cents("leading").alias("leading_hundredth"))
 
 
+@_query("""WITH o AS (SELECT o_orderkey, o_orderkey % 7 + 1 AS n, unnest([0, 1]) AS t FROM orders), k AS (SELECT *, n + t AS m, unnest([0, 1, 2, 3]) AS s FROM o)
+    SELECT o_orderkey, CAST(t AS INTEGER) AS text_obj_ord, CAST(s AS INTEGER) AS span_ord, CAST(0 AS FLOAT) AS x, CAST(-(s + 1) * m AS FLOAT) AS y, chr(CAST(97 + s AS INTEGER)) AS text, 'F1' AS font, CAST(m AS DOUBLE) AS leading,
+      CAST(CASE WHEN s = 3 THEN 3 * m ELSE m + 20 END AS DOUBLE) AS char_spacing, CAST(CASE WHEN s = 3 THEN 2 * m ELSE m END AS DOUBLE) AS word_spacing, CAST(100 + m AS DOUBLE) AS horizontal_scaling, CAST(m % 8 AS DOUBLE) AS rendering_mode, CAST(-m AS DOUBLE) AS rise, CAST(t * 5 AS DOUBLE) AS tint FROM k""")
+def text_operators(spark: SparkSession, d: str) -> DataFrame:
+    """Two text objects a page, with every operator that sets state, moves by lines or shows, and one operator more."""
+    n = F.col("o_orderkey") % 7 + 1
+
+    def one(m: Column, more: str) -> list[Column | str]:
+        return [f"BT {more} /F1 9 Tf ", m, " Tw ", m + 20, " Tc ", m + 100, " Tz ", m % 8, " Tr ", -m, " Ts 0 ", -m, " TD (a) Tj T* (b) Tj (c) ' ", m * 2, " ", m * 3, ' (d) " ET ']
+
+    pages = table(spark, d, "orders").select("o_orderkey", _text(*one(n, ""), *one(n + 1, "5 Tint")).alias("content"))
+    ops = operators_of(pages, ["o_orderkey"], "content", {b"Tint": ("state", "n")})
+    spans = textstate.text_spans(ops, ["o_orderkey"], parameters=textstate.PARAMETERS | {"tint": ("Tint", 0.0)})
+    return spans.select("o_orderkey", "text_obj_ord", "span_ord", "x", "y", "text", "font", "leading", *textstate.PARAMETERS, "tint")
+
+
+@_query("""SELECT c_custkey, m AS mode, CASE WHEN m = 'default' THEN 'F1' END AS font, CAST(CASE WHEN m = 'default' THEN c_custkey % 9 ELSE 0 END AS DOUBLE) AS word_spacing, CASE WHEN m = 'reset' THEN 'text shown before font' END AS error
+    FROM (SELECT c_custkey, unnest(['default', 'reset']) AS m FROM customer)""")
+def text_state_modes(spark: SparkSession, d: str) -> DataFrame:
+    """State set in one text object, as the next one sees it in either mode."""
+    pages = table(spark, d, "customer").select("c_custkey", _text("BT /F1 9 Tf ", F.col("c_custkey") % 9, " Tw ET BT (x) Tj ET").alias("content"))
+    ops = operators_of(pages, ["c_custkey"], "content")
+    both = [textstate.text_spans(ops, ["c_custkey"], mode).select("c_custkey", F.lit(mode).alias("mode"), "font", "word_spacing", "error") for mode in ("default", "reset")]
+    return both[0].unionByName(both[1])
+
+
+@_query("""SELECT c_custkey, CAST(0 AS INTEGER) AS text_obj_ord, CASE c_custkey % 4 WHEN 1 THEN 'text shown before font' ELSE 'incomplete text object' END AS error FROM customer WHERE c_custkey % 4 IN (1, 2)
+    UNION ALL SELECT c_custkey, 1, 'text shown before font' FROM customer WHERE c_custkey % 4 = 1""")
+def text_object_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Text objects that show before a font or never end, beside whole and empty ones."""
+    k = F.col("c_custkey") % 4
+    content = F.when(k == 0, "BT /F1 1 Tf (a) Tj ET").when(k == 1, "BT (a) Tj /F1 1 Tf ET BT [(b)] TJ ET").when(k == 2, "BT /F1 1 Tf (b) Tj").otherwise("q Q")
+    ops = operators_of(table(spark, d, "customer").select("c_custkey", raw(content).alias("content")), ["c_custkey"], "content")
+    return textstate.text_object_problems(ops, ["c_custkey"])
+
+
 # -- whole files -----------------------------------------------------------------------------------
 
 
@@ -396,6 +543,54 @@ def pdf_page_text(spark: SparkSession, d: str) -> DataFrame:
     return customer_corpus(spark, d).page_text().select("path", "page_ord", "page_text")
 
 
+def _supplier_corpus(spark: SparkSession, d: str, write: Callable[[int, str], bytes], **options: object) -> Corpus:
+    content = F.udf(write, "binary", useArrow=True)("s_suppkey", "s_name")
+    return Corpus(table(spark, d, "supplier").select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string")).alias("path"), content.alias("content")), **options)  # type: ignore[arg-type]
+
+
+@_query("""WITH s AS (SELECT 's/' || s_suppkey AS path, s_suppkey % 2 = 0 AS even, s_name FROM supplier), m AS (SELECT *, unnest(['default', 'reference']) AS mode FROM s)
+    SELECT path, mode, CAST(3 AS BIGINT) AS n_sections, CASE WHEN mode = 'default' THEN CASE WHEN even THEN '1,2,3,4,8,11' ELSE '1,2,3,4,8,10,11' END ELSE CASE WHEN even THEN '1,2,3,4,8,9,11' ELSE '1,2,3,4,8,9,10,11' END END AS objects,
+      CASE WHEN even AND mode = 'default' THEN reverse(s_name) ELSE s_name END AS said, true AS agrees FROM m""")
+def pdf_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Files of three sections that change and free objects, lengths of streams being references: both modes."""
+    out = None
+    for mode in ("default", "reference"):
+        c = _supplier_corpus(spark, d, writing.revised_file, mode=mode)
+        numbers = lambda t, name: t.where("obj is not null").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("obj")), ",").alias(name))
+        n = c.xref_sections().groupBy("path").agg(F.count(F.lit(1)).alias("n_sections"))
+        said = c.text_spans().select("path", F.col("text").alias("said"))
+        both = numbers(c.xref(), "objects").join(numbers(c.objects(), "read"), "path").join(n, "path").join(said, "path")
+        both = both.select("path", F.lit(mode).alias("mode"), "n_sections", "objects", "said", (F.col("objects") == F.col("read")).alias("agrees"))
+        out = both if out is None else out.unionByName(both)
+    return out  # type: ignore[return-value]
+
+
+@_query("""WITH s AS (SELECT 's/' || s_suppkey AS path, s_suppkey % 5 AS k, s_name FROM supplier)
+    SELECT path, CAST(NULL AS INTEGER) AS page_ord, CAST(NULL AS VARCHAR) AS text, CASE k WHEN 1 THEN 'the catalog is missing' WHEN 2 THEN 'startxref is missing' ELSE 'the chain of sections is a ring' END AS error FROM s WHERE k IN (1, 2)
+    UNION ALL SELECT path, 0, s_name, NULL FROM s WHERE k = 0 UNION ALL SELECT path, 1, NULL, 'a kid is missing' FROM s WHERE k IN (0, 4) UNION ALL SELECT path, 0, NULL, 'unsupported filter LZWDecode' FROM s WHERE k = 4
+    UNION ALL SELECT path, NULL, NULL, 'the chain of sections is a ring' FROM s WHERE k = 3""")
+def pdf_damage(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged files: what could be read, and a row for what could not."""
+    return _supplier_corpus(spark, d, writing.damaged_file).text_spans().select("path", "page_ord", "text", "error")
+
+
+@_query("""SELECT 's/' || s_suppkey AS path, s_name AS text, CAST(s_suppkey % 100 + 1 AS FLOAT) AS xmax, CAST(3 AS BIGINT) AS n_members FROM supplier""")
+def pdf_extended_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Objects found through an object stream that extends another one."""
+    c = _supplier_corpus(spark, d, writing.extended_file)
+    members = c.objects().where("obj < 4 and error is null").groupBy("path").agg(F.count(F.lit(1)).alias("n_members"))
+    pages = c.pages().select("path", F.col("media_box.xmax").alias("xmax"))
+    return c.text_spans().select("path", "text").join(pages, "path").join(members, "path").select("path", "text", "xmax", "n_members")
+
+
+@_query(f"WITH {_FILES} SELECT path, page_ord, chr(10) || c_name || c_mktsegment || 'x' AS page_text FROM p")
+def pdf_written_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text of pages written to a sink and read again, in the folder that all executors share."""
+    at = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    customer_corpus(spark, d).page_text().select("path", "page_ord", "page_text").write.json(at)
+    return spark.read.schema("path string, page_ord int, page_text string").json(at)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _QUERIES.items()}
 

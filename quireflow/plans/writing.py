@@ -123,3 +123,72 @@ def customer_file(nation: int, people: list[tuple[int, str, str]]) -> bytes:
         objects[node] = b"<</Type/Pages/Kids[%s]/Count %d/Rotate %d>>" % (b" ".join(kids), len(kids), 90 * (segments.index(segment) % 4))
     objects[2] = b"<</Type/Pages/Kids[%s]/MediaBox[0 0 %d 792]/Resources 3 0 R>>" % (b" ".join(b"%d 0 R" % n for n in nodes), 600 + nation)
     return document(objects, streams, 1, nation % 2 == 1)
+
+
+def indirect(number: int, body: bytes) -> bytes:
+    return b"%d 0 obj\n%s\nendobj\n" % (number, body)
+
+
+def stream(content: bytes, length: bytes | None = None, more: bytes = b"") -> bytes:
+    return b"<<%s/Length %s>>stream\n%s\nendstream" % (more, length or b"%d" % len(content), content)
+
+
+def revision(before: bytes, objects: dict[int, bytes], freed: dict[int, int], prev: int | None, root: int = 1) -> tuple[bytes, int]:
+    """(file, place of its newest section): a revision with a classic table behind ``before``; freed objects have the next generation."""
+    out, at = bytearray(before), {}
+    for number, body in objects.items():
+        at[number] = len(out)
+        out += indirect(number, body)
+    start = len(out)
+    out += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, a) for n, a in at.items()) + b"".join(b"%d 1\n0000000000 %05d f \n" % x for x in freed.items())
+    out += b"trailer\n<</Size %d/Root %d 0 R%s>>\nstartxref\n%d\n%%%%EOF\n" % (max([*objects, *freed]) + 1, root, b"" if prev is None else b"/Prev %d" % prev, start)
+    return bytes(out), start
+
+
+def revised_file(key: int, name: str) -> bytes:
+    """Three revisions: a page that says the name; then another content for even keys, and object 9 freed; then an object more."""
+    say = lambda s: stream(b"BT /F1 1 Tf %s Tj ET" % _escaped(s), b"8 0 R")
+    first = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R]>>", 3: b"<</Type/Page/Contents 4 0 R>>", 4: say(name), 8: b"%d" % len(b"BT /F1 1 Tf %s Tj ET" % _escaped(name)), 9: b"(old)"}
+    out, at = revision(b"%PDF-1.4\n", first, {}, None)
+    second = {4: say(name[::-1])} if key % 2 == 0 else {10: b"null"}
+    out, at = revision(out, second, {9: 1}, at)
+    return revision(out, {11: b"/Last"}, {}, at)[0]
+
+
+def damaged_file(key: int, name: str) -> bytes:
+    """By key modulo five: whole, without a catalog, without its end, with a ring of sections, with a content that can't be decoded."""
+    kind = key % 5
+    tree = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R 5 0 R]>>", 3: b"<</Type/Page/Contents 4 0 R>>", 4: stream(b"BT /F1 1 Tf %s Tj ET" % _escaped(name), None, b"/Filter/LZWDecode" if kind == 4 else b"")}
+    if kind == 1:
+        del tree[1]
+    out, start = revision(b"%PDF-1.4\n", tree, {}, None)
+    return out[: start + 20] if kind == 2 else revision(out, {6: b"null"}, {}, len(out) + len(indirect(6, b"null")))[0] if kind == 3 else out
+
+
+def extended_file(key: int, name: str) -> bytes:
+    """An object stream that extends another: the page tree is found through the younger one; a stream for the cross-reference."""
+    out, at = bytearray(b"%PDF-1.5\n"), {}
+
+    def put(number: int, body: bytes) -> None:
+        at[number] = len(out)
+        out.extend(indirect(number, body))
+
+    def pack(objects: dict[int, bytes], more: bytes) -> bytes:
+        head, body = b"", b""
+        for n, v in objects.items():
+            head += b"%d %d " % (n, len(body))
+            body += v + b" "
+        return stream(head + body, None, b"/Type/ObjStm/N %d/First %d%s" % (len(objects), len(head), more))
+
+    put(4, stream(b"BT /F1 1 Tf %s Tj ET" % _escaped(name), b"7 0 R"))
+    put(7, b"%d" % len(b"BT /F1 1 Tf %s Tj ET" % _escaped(name)))
+    put(20, pack({2: b"<</Type/Pages/Kids[3 0 R]/MediaBox[0 0 %d 9]>>" % (key % 100 + 1), 3: b"<</Type/Page/Contents 4 0 R>>"}, b""))
+    put(21, pack({1: b"<</Type/Catalog/Pages 2 0 R>>"}, b"/Extends 20 0 R"))
+    start = len(out)
+    rows = b""
+    for number in range(23):
+        spot = start if number == 22 else at.get(number)
+        rows += b"\x02" + (21).to_bytes(4) + bytes(2) if number in (1, 2, 3) else b"\x00" + bytes(6) if spot is None else b"\x01" + spot.to_bytes(4) + bytes(2)
+    out.extend(indirect(22, stream(rows, None, b"/Type/XRef/W[1 4 2]/Size 23/Root 1 0 R")))
+    out.extend(b"startxref\n%d\n%%%%EOF\n" % start)
+    return bytes(out)
