@@ -1,10 +1,11 @@
 """Parent-child links to full hierarchies: paths, depths, roots, descendants, cycles.
 
 Method: level-wise frontier joins. From the roots, the frontier joins the links and extends path,
-depth, root and inherited value of what it reaches. A round takes many levels at once: beside the
-ways down from the roots it keeps those of exactly 2^r steps between any two nodes, and one join with
-the latter extends both, so round r ends with all nodes less than 2^(r+1) levels deep and a tree of
-n levels takes log2(n) rounds. Ways that would repeat a node are dropped, which ends rings.
+depth, root and inherited value of what it reaches. A round takes many levels at once: first the links
+are joined with themselves to ways of exactly 2, 4, 8, ... steps; then the frontier takes the longest
+ways first, and what it has reached so far the next shorter ones, so each node is reached once, over the
+binary digits of its depth, and a tree of n levels takes log2(n) rounds of either kind. Ways that would
+repeat a node are dropped, which ends rings.
 
 Ancestor pairs, the nodes of each way with its end, give the nodes below each node. Links that are
 on no way from a root (a second parent, the link that closes a ring, links between unreached nodes)
@@ -45,30 +46,32 @@ def _shortest(ways: DataFrame, key: list[str]) -> DataFrame:
     return ways.where("not joint").select(*key, "way", "res", "joint").unionByName(best)
 
 
+def _extended(l: DataFrame, r: DataFrame) -> DataFrame:
+    """The ways of ``l`` followed by those of ``r`` that begin where they end; no node twice."""
+    l, r = l.alias("l"), r.alias("r")
+    met = l.join(r, [F.col("l.path") == F.col("r.path"), F.col("l.obj") == F.col("r.up")])
+    met = met.select("l.path", "l.up", "r.obj", F.concat("l.way", "r.way").alias("way"), F.coalesce("r.res", "l.res").alias("res"), (F.col("l.joint") | F.col("r.joint")).alias("joint"))
+    # a way starts behind its node up, except from a root; without a joint node only a ring comes back
+    again = (F.size(F.array_distinct("way")) < F.size("way")) | F.coalesce(F.array_contains("way", F.col("up")), F.lit(False))
+    return met.where(~again)
+
+
 def _ways(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """path, obj, way, res: of each node that a root reaches, the nodes from the root to it and the nearest own res."""
+    cols = ["path", "up", "obj", "way", "res", "joint"]
     above = edges.groupBy(*_NODE).agg(F.min("up").alias("up"), F.count(F.lit(1)).alias("parents"))
     known = cut(nodes.select(*_NODE, "res").join(above, _NODE, "left").select("*", F.array("obj").alias("way"), (F.coalesce("parents", F.lit(0)) > 1).alias("joint")))
-    more = edges.join(known.where("joint").select(*_NODE, "way", "res", "joint"), _NODE).where("up is not null")
-    cols = ["path", "up", "obj", "way", "res", "joint"]
-    steps = known.where("parents = 1").select(*cols).unionByName(more.select(*cols))
-    done = [known.where("parents is null").select(*cols[:1], *cols[2:])]
-    while has_rows(steps):
-        left = steps
-        for part in done:
-            left = left.unionByName(part.withColumn("up", F.lit(None).cast("bigint")))
-        l, r = left.alias("l"), steps.alias("r")
-        met = l.join(r, [F.col("l.path") == F.col("r.path"), F.col("l.obj") == F.col("r.up")])
-        met = met.select("l.path", "l.up", "r.obj", F.concat("l.way", "r.way").alias("way"), F.coalesce("r.res", "l.res").alias("res"), (F.col("l.joint") | F.col("r.joint")).alias("joint"))
-        # a way starts behind its node up, except from a root
-        simple = (F.size(F.array_distinct("way")) == F.size("way")) & ~F.coalesce(F.array_contains("way", F.col("up")), F.lit(False))
-        both = cut(met.where(simple))
-        done.append(_shortest(both.where("up is null"), _NODE))
-        steps = _shortest(both.where("up is not null"), ["path", "up", "obj"])
-    every = done[0]
-    for part in done[1:]:
-        every = every.unionByName(part)
-    return _shortest(every, _NODE).drop("joint")
+    more = edges.join(known.where("joint").select(*_NODE, "way", "res", "joint"), _NODE)
+    steps = [known.where("parents = 1").select(*cols).unionByName(more.select(*cols))]
+    while True:
+        both = cut(_extended(steps[-1], steps[-1]))
+        if not has_rows(both):
+            break
+        steps.append(_shortest(both, ["path", "up", "obj"]))
+    reached = known.where("parents is null").select(*cols)
+    for step in reversed(steps):
+        reached = _shortest(cut(reached.unionByName(_extended(reached, step))), _NODE).withColumn("up", F.lit(None).cast("bigint"))
+    return reached.select(*_NODE, "way", "res")
 
 
 def _odd_pairs(odd: DataFrame, ways: DataFrame) -> DataFrame:
