@@ -44,6 +44,8 @@ RARE = 3
 #: The share of records garbled by a chain, before any was seen.
 RATE = 0.002
 ROUNDS = 3
+#: How far behind the likeliest chain of a record others are considered, in log probability: some read alike.
+WITHIN = 8.0
 CAPITALS, CAPITAL_WORDS = 0.05, 1000
 #: Words a worker remembers before it starts anew; only speed depends on it.
 _REMEMBERED = 200_000
@@ -292,7 +294,7 @@ class Finder:
 
     def chains(self, words: list[str]) -> list[int]:
         """The chains by which a record of these odd words is likelier to be garbled than to be clean, the likeliest
-        first; none for a record of class clean."""
+        first, down to those WITHIN reach of it; none for a record of class clean."""
         leads = [x for w in words if (x := self.lead(w)) is not None]
         if not leads:
             return []
@@ -301,7 +303,7 @@ class Finder:
         each = [np.logaddexp(d + log(q), log(1 - q)).sum(0) + clean * log(1 - q) for q in SHARES]
         odds = np.logaddexp.reduce(each) - log(len(SHARES)) + self.prior
         order = np.argsort(-odds)
-        return [int(k) + 1 for k in order[: int((odds > 0).sum())]]
+        return [int(k) + 1 for k in order[: int((odds > max(0.0, odds.max() - WITHIN)).sum())]]
 
     def undo(self, word: str, k: int) -> tuple[str, list[int]] | None:
         key = (word, k)
@@ -359,17 +361,17 @@ class Finder:
         """Whether a word of a record garbled by chain k was garbled by it."""
         return self.near(word, k) and self.proof(word, k) > 0
 
-    def chain(self, words: list[str]) -> int:
+    def chain(self, words: list[str], classes: list[int] | None = None) -> int:
         """The chain (its number, 0 for none) of a record with these odd words: of those the classifier puts
-        before clean, the one whose inversion proves most words garbled."""
+        before clean (``classes``, where they are known), the one whose inversion proves most words garbled."""
         best, chosen = 0, 0
-        for k in self.chains(words):
+        for k in self.chains(words) if classes is None else classes:
             proofs = [self.proof(w, k) for w in words if self.garbled(w, k)]
             if max(proofs, default=0) > 1 and sum(proofs) > best:
                 best, chosen = sum(proofs), k
         return chosen
 
-    def look(self, text: str) -> tuple[np.ndarray, str, str | None, list[str] | None] | None:
+    def look(self, text: str, classes: list[int] | None = None) -> tuple[np.ndarray, str, str | None, list[str] | None] | None:
         """(garbled or not of each character, chain, restored text or None where it is lost, for each character what is
         restored from it: a sequence's character at its first, nothing at the others); None for a correct text."""
         bom = _BOM.search(text)
@@ -393,7 +395,7 @@ class Finder:
         odd = [w for w in words if is_odd(w)]
         if not odd:
             return None
-        k = self.chain([_form(w) for w in odd])
+        k = self.chain([_form(w) for w in odd], classes)
         bad = np.zeros(len(text), bool)
         at, marks = 0, list(text)
         for w in words:
@@ -419,13 +421,16 @@ class Finder:
 
 
 class CountedFinder(Finder):
-    """Takes the evidence from counts over the whole input, which come with each record."""
+    """Judges records that the classifier found garbled, by counts over the whole input, which come with each record."""
 
-    def judge(self, text: str, hits: list[dict] | None) -> tuple[np.ndarray, str, str | None, list[str] | None] | None:
-        """``look`` with the record's evidence: per word a list of chain, stored, restored and better."""
+    def judge(self, text: str, classes: list[int], hits: list[dict] | None) -> tuple[np.ndarray, str, str | None, list[str] | None] | None:
+        """``look`` with the record's classes and evidence: per word a list of chain, stored, restored and better."""
         self.counted = {(h["form"], c["k"]): (c["stored"], c["restored"], c["better"]) for h in hits or () for c in h["chains"]}
         self.proofs.clear()
-        return self.look(text)
+        return self.look(text, classes)
+
+    def near(self, word: str, k: int) -> bool:
+        return (word, k) in self.counted
 
     def evidence(self, word: str, k: int) -> tuple[int, int, float] | None:
         return self.counted.get((word, k))
@@ -509,17 +514,14 @@ def find_garbled(text_objects: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Dat
     asked = marked.where(F.size("forms") > 0).select("h", "forms").distinct().select("h", F.explode("forms").alias("form"))
     hits = asked.join(per, "form").groupBy("h").agg(F.collect_set(F.struct("form", "chains")).alias("hits"))
     judged = cut(marked.join(hits, "h", "left").select("text_object_id", "field_name", "items", "ks", "hits"))
-    found = np.zeros(len(CHAINS) + 1)
-    for r in judged.mapInArrow(_chains(spark.sparkContext.broadcast(model.for_corpus(model.rates, unit))), "k int").groupBy("k").count().collect():
-        found[r[0]] = r[1]  # a row for each chain
-    shared = spark.sparkContext.broadcast(model.for_corpus(_rates(found, records), unit))
+    shared = spark.sparkContext.broadcast(model.for_corpus(model.rates, unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = CountedFinder(shared.value)
         for b in batches:
             out: list[tuple] = []
-            for key, field, items, _, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if seen := finder.judge("".join(x for x in items if x), hits):
+            for key, field, items, ks, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if seen := finder.judge("".join(x for x in items if x), ks, hits):
                     if field == "text_buffer":
                         out.append((key, field, 0, seen[1], items[0], seen[2]))
                         continue
@@ -534,18 +536,3 @@ def find_garbled(text_objects: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Dat
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["text_object_id", "field_name", "item_no", "chain", "stored", "restored"])
 
     return judged.mapInArrow(run, FOUND)
-
-
-def _chains(model: Broadcast[Model]):
-    """The number of each record's chain."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = CountedFinder(model.value)
-        for b in batches:
-            out = []
-            for items, hits in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
-                finder.judge("", hits)
-                out.append(finder.chain([_form(w) for w in "".join(x for x in items if x).split(" ") if is_odd(w)]))
-            yield pa.record_batch([pa.array(out, pa.int32())], ["k"])
-
-    return run
