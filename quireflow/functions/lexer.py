@@ -126,7 +126,8 @@ def value(data: bytes, at: int = 0) -> tuple[object, int]:
         if inside is not None and data.startswith(b"]" if isinstance(inside, list) else b">>", at):
             at += 1 if isinstance(inside, list) else 2
             v: object = opened.pop()
-            keys.pop()
+            if keys.pop() is not None:
+                raise SyntaxProblem("a key without a value")
         else:
             m = _TOKEN.match(data, at)
             if m is None:

@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.session import cut, has_rows
+from quireflow.session import cut, forget, has_rows
 
 
-def chain_order(links: DataFrame, heads: DataFrame, space: str, at: str, prev: str, head: str) -> DataFrame:
+def chain_order(links: DataFrame, heads: DataFrame, space: str, at: str, prev: str, head: str, made: list[DataFrame] | None = None) -> DataFrame:
     """``links`` with ``ord``: the blocks of each space's chain, 0 being the newest.
 
+    The result reads checkpoints; they are added to ``made``, to be forgotten when it is no longer read.
+
     ``links`` has one row for each (space, at) with the ``prev`` it points to; ``heads`` has one start
     for each space. A chain ends at a null, at a position that names no block, or before a block it has
     visited; spaces whose head names no block have no rows. Rows with a null space or position are none.
@@ -34,6 +36,8 @@ def chain_order(links: DataFrame, heads: DataFrame, space: str, at: str, prev: s
     reached = [top]
     jump = known.dropna(subset=["to"]).select("s", F.col("a").alias("from"), F.col("to").alias("a"), F.lit(1).cast("bigint").alias("ord"), F.lit(None).cast("bigint").alias("most"))
     jump = cut(jump)
+    made = [] if made is None else made
+    made += [top, jump]
     while True:
         left = jump
         for part in reached:
@@ -41,6 +45,7 @@ def chain_order(links: DataFrame, heads: DataFrame, space: str, at: str, prev: s
         l, r = left.alias("l"), jump.alias("r")
         met = l.join(r, [F.col("l.s") == F.col("r.s"), F.col("l.a") == F.col("r.from")]).select("l.s", "l.from", "r.a", (F.col("l.ord") + F.col("r.ord")).alias("ord"), "l.most")
         both = cut(met.where("most is null or ord < most"))
+        made.append(both)
         top = both.where("most is not null")
         if not has_rows(top):
             break
@@ -98,7 +103,8 @@ def current_entries(xref_blocks: DataFrame, pdf_files: DataFrame) -> DataFrame:
     headers = xref_blocks.dropna(subset=["path", "start_pos"]).groupBy("path", "start_pos").agg(F.max_by(F.struct("prev", "block_id"), tie).alias("h")).select("path", "start_pos", "h.prev", "h.block_id")
     headers = cut(headers)
     heads = pdf_files.dropna(subset=["path", "startxref"]).groupBy("path").agg(F.max_by("startxref", F.struct(F.coalesce(F.col("received_at").cast("string"), F.lit("")), "startxref")).alias("startxref"))
-    chosen = chain_order(headers, heads, "path", "start_pos", "prev", "startxref").select("path", "block_id", "ord")
+    made = [headers]
+    chosen = chain_order(headers, heads, "path", "start_pos", "prev", "startxref", made).select("path", "block_id", "ord")
     entries = (
         xref_blocks.select("path", "block_id", "xrefs")
         .join(chosen, ["path", "block_id"])
@@ -106,4 +112,6 @@ def current_entries(xref_blocks: DataFrame, pdf_files: DataFrame) -> DataFrame:
         .where(F.col("x.kind").isin("plain", "compressed", "free") & F.col("x.obj").isNotNull())
         .select("path", F.col("x.obj").alias("obj"), "ord", "pos", (F.col("x.kind") == "free").alias("dead"), *[F.coalesce(F.col(f"x.{c}"), F.lit(-1)).alias(c) for c in ("gen", "byte_pos", "stream_id", "idx")])
     )
-    return resolve_newest_first(entries, ["path", "obj"], F.col("ord"), ["gen", "byte_pos", "stream_id", "idx"], F.col("dead"), F.col("pos"))
+    live = resolve_newest_first(entries, ["path", "obj"], F.col("ord"), ["gen", "byte_pos", "stream_id", "idx"], F.col("dead"), F.col("pos"))
+    forget(*made)  # the changes are laid out by now
+    return live

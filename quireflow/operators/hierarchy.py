@@ -56,21 +56,24 @@ def _extended(l: DataFrame, r: DataFrame) -> DataFrame:
     return met.where(~again)
 
 
-def _ways(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _ways(nodes: DataFrame, edges: DataFrame, made: list[DataFrame]) -> DataFrame:
     """path, obj, way, res: of each node that a root reaches, the nodes from the root to it and the nearest own res."""
     cols = ["path", "up", "obj", "way", "res", "joint"]
     above = edges.groupBy(*_NODE).agg(F.min("up").alias("up"), F.count(F.lit(1)).alias("parents"))
     known = cut(nodes.select(*_NODE, "res").join(above, _NODE, "left").select("*", F.array("obj").alias("way"), (F.coalesce("parents", F.lit(0)) > 1).alias("joint")))
+    made.append(known)
     more = edges.join(known.where("joint").select(*_NODE, "way", "res", "joint"), _NODE)
     steps = [known.where("parents = 1").select(*cols).unionByName(more.select(*cols))]
     while True:
         both = cut(_extended(steps[-1], steps[-1]))
+        made.append(both)
         if not has_rows(both):
             break
         steps.append(_shortest(both, ["path", "up", "obj"]))
     reached = known.where("parents is null").select(*cols)
     for step in reversed(steps):
-        reached = _shortest(cut(reached.unionByName(_extended(reached, step))), _NODE).withColumn("up", F.lit(None).cast("bigint"))
+        made.append(cut(reached.unionByName(_extended(reached, step))))
+        reached = _shortest(made[-1], _NODE).withColumn("up", F.lit(None).cast("bigint"))
     return reached.select(*_NODE, "way", "res")
 
 
@@ -84,7 +87,7 @@ def _odd_pairs(odd: DataFrame, ways: DataFrame) -> DataFrame:
         l, r = pairs.alias("l"), pairs.alias("r")
         further = l.join(r, [F.col("l.path") == F.col("r.path"), F.col("l.obj") == F.col("r.anc")]).select("l.path", "l.anc", "r.obj")
         more = cut(pairs.unionByName(further).distinct())
-        forget(pairs)
+        forget(pairs)  # ``more`` has all of them
         pairs, before, n = more, n, more.count()
         if n == before:
             return pairs
@@ -118,9 +121,12 @@ def hierarchy(page_nodes: DataFrame) -> DataFrame:
     nodes = cut(_nodes(page_nodes))
     wanted = nodes.select("path", F.col("obj").alias("up"), F.explode("kids").alias("k")).select("path", "up", "k.obj", "k.gen").dropna()
     edges = cut(wanted.join(nodes.select(*_NODE, "gen"), [*_NODE, "gen"], "left_semi").select("path", "up", "obj").distinct())
-    ways = cut(_ways(nodes, edges))
+    made: list[DataFrame] = []
+    ways = cut(_ways(nodes, edges, made))
+    forget(*made)
     taken = ways.where("size(way) > 1").select("path", F.element_at("way", -2).alias("up"), "obj")
     odd = cut(edges.join(taken, ["path", "up", "obj"], "left_anti"))
+    forget(edges)
     out = nodes.select(*_NODE).join(ways, _NODE, "left").join(_below(ways, odd), _NODE, "left")
     return out.select(
         *_NODE,

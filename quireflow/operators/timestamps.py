@@ -54,9 +54,12 @@ def _zone_name(tail: Column) -> Column:
     )
 
 
-def normalise_timestamps(df: DataFrame, text: str, offset_minutes: str, zone: str, day_first: str, out: str = "utc_us") -> DataFrame:
+def normalise_timestamps(df: DataFrame, text: str, offset_minutes: str, zone: str, day_first: str, out: str = "utc_us", local: str | None = None, source: str | None = None) -> DataFrame:
     """``df`` with ``out``: microseconds since 1970-01-01 UTC, or null where ``text`` denotes no possible date.
 
+    ``local`` names a column for the time as written, as if it were UTC, ``source`` one for where the zone
+    came from: 'text', 'offset', 'zone', 'none', or 'epoch' for counted seconds; null where there is no date.
+
     Null, blank and unparsable texts give null. Missing parts take their lowest value. Digits alone
     are a date when they have 4, 6, 8, 12 or 14 places and fit one, else seconds (9 to 11 places),
     milliseconds (12, 13) or microseconds (15 and more) since 1970. The zone is the one in the text,
@@ -88,7 +91,14 @@ def normalise_timestamps(df: DataFrame, text: str, offset_minutes: str, zone: st
     n, places = F.col("_qf_s").try_cast("bigint"), F.length("_qf_s")
     epoch = F.when(F.col("_qf_s").rlike(r"^\d{9,18}$") & (places != 14) & ~((places == 12) & as_utc.isNotNull()), F.when(places < 12, n * 1_000_000).when(places < 14, n * 1000).otherwise(n))
     utc = F.when(epoch.isNotNull(), epoch).when(offset.isNotNull(), as_utc - offset * 60_000_000).when(F.col("_qf_zone") == "", F.coalesce(in_zone, as_utc)).otherwise(in_zone)
-    return d.select(*[F.col(f"`{c}`") for c in df.columns if c != out], utc.alias(out))
+    known = F.when(epoch.isNotNull(), "epoch").when(utc.isNull(), None).when(F.col("_qf_zone") != "", "text").when(offset.isNotNull(), "offset").when(in_zone.isNotNull(), "zone").otherwise("none")
+    more = {out: utc} | ({local: F.when(epoch.isNull(), as_utc)} if local else {}) | ({source: known} if source else {})
+    return d.select(*[F.col(f"`{c}`") for c in df.columns if c not in more], *[c.alias(n) for n, c in more.items()])
+
+
+def convert_local(local_us: Column, zone: Column) -> Column:
+    """Microseconds of a local time, as if it were UTC, to UTC by the whole offset history of a zone."""
+    return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local_us), zone))
 
 
 def estimate_zones(df: DataFrame, group: list[str], local_us: str, seen_us: str, candidates: Sequence[str], exact: bool = False) -> DataFrame:
@@ -105,7 +115,7 @@ def estimate_zones(df: DataFrame, group: list[str], local_us: str, seen_us: str,
         raise ValueError("there is no candidate zone")
 
     def violated(zone: str) -> Column:
-        utc = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col(local_us)), zone))
+        utc = convert_local(F.col(local_us), F.lit(zone))
         return (utc != F.col(seen_us)) if exact else (utc > F.col(seen_us))
 
     # no filter on the two times: it would be pushed down and parse every text a second time

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.operators import changefeed, hierarchy, orphans, timestamps
-from quireflow.session import table
+from quireflow.session import cut, few, table
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
@@ -51,19 +51,36 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return done.where("prop_id is not null").groupBy("prop_id").agg(F.max("utc_us").alias("utc_us")).where("utc_us is not null")
 
 
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct text with its local time, its instant and where its zone came from."""
+    rows = timestamps.normalise_timestamps(_dated(spark, d), "last_modified", "date_offset", "tz", "day_first", local="local_us", source="zone_from")
+    return rows.select("prop_id", "archive_key", "tz", "local_us", "utc_us", "zone_from").distinct()
+
+
+def _zones(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """For every archive the zone whose offset history fits the texts that name a zone of their own best."""
+    candidates = [r[0] for r in few(table(spark, d, "archives").select("tz").dropna().distinct().orderBy("tz"), 1000)]
+    own = F.col("zone_from") == "text"
+    # no filter: it would be pushed down and parse every text a second time
+    seen = rows.select("archive_key", "tz", F.when(own, F.col("local_us")).alias("local_us"), F.when(own, F.col("utc_us")).alias("utc_us"))
+    return timestamps.estimate_zones(seen, ["archive_key", "tz"], "local_us", "utc_us", candidates, exact=True).where("archive_key is not null")
+
+
 def p5_zones(spark: SparkSession, d: str) -> DataFrame:
-    """For every archive the zone that fits the texts carrying an offset of their own best."""
-    rows = _dated(spark, d).withColumn("numeric", F.col("last_modified").rlike(r"[+-]\d{2}(:?\d{2}|'\d{2}'?|')\)?$")).where("numeric")
-    rows = timestamps.normalise_timestamps(rows, "last_modified", "date_offset", "tz", "day_first", "seen_us")
-    bare = F.regexp_replace("last_modified", r"\s*[+-]\d{2}(:?\d{2}|'\d{2}'?|')(\)?)$", "$2")
-    rows = timestamps.normalise_timestamps(rows.withColumn("bare", bare).withColumn("none", F.lit(None).cast("int")).withColumn("no_zone", F.lit(None).cast("string")), "bare", "none", "no_zone", "day_first", "local_us")
-    candidates = [r[0] for r in table(spark, d, "archives").select("tz").dropna().distinct().orderBy("tz").collect()]  # a fixed table
-    rows = rows.select("prop_id", "archive_key", "tz", "local_us", "seen_us").distinct()
-    return timestamps.estimate_zones(rows.dropna(subset=["archive_key"]), ["archive_key", "tz"], "local_us", "seen_us", candidates, exact=True)
+    """For every archive, also those whose zone is unknown, the estimated zone and how many observations speak against it."""
+    return _zones(spark, d, _read(spark, d))
+
+
+def p5_estimated(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without any zone, of archives without one: the instant by the archive's estimated zone, beside UTC's."""
+    rows = cut(_read(spark, d))
+    zones = _zones(spark, d, rows).where("tz is null").select("archive_key", "zone")
+    bare = rows.where("zone_from = 'none'").join(zones, "archive_key")
+    return bare.select("prop_id", "archive_key", "zone", "utc_us", timestamps.convert_local(F.col("local_us"), F.col("zone")).alias("estimated_us"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p4_found, p5_found, p5_zones)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p4_found, p5_found, p5_zones, p5_estimated)}
 
 
 _REFS = """
@@ -124,6 +141,32 @@ SELECT path, x.obj AS obj, coalesce(x.gen, -1) AS gen, coalesce(x.byte_pos, -1)
 """
 
 
+_P5 = r"""
+WITH z(name, minutes) AS (VALUES ('Z', 0), ('UT', 0), ('UTC', 0), ('GMT', 0), ('WET', 0), ('WEST', 60), ('BST', 60), ('CET', 60), ('CEST', 120), ('EET', 120), ('EEST', 180), ('MSK', 180), ('EST', -300), ('EDT', -240), ('CST', -360), ('CDT', -300), ('MST', -420), ('MDT', -360), ('PST', -480), ('PDT', -420), ('JST', 540), ('AEST', 600), ('AEDT', 660), ('NZST', 720), ('NZDT', 780)),
+f AS (SELECT path, max(archive_key) AS archive_key FROM pdf_files WHERE path IS NOT NULL GROUP BY 1),
+t AS (SELECT DISTINCT prop_id, date_offset, a.tz, coalesce(a.day_first, true) AS day_first, trim(CASE WHEN trim(last_modified) LIKE '(%)' THEN trim(trim(last_modified), '()') ELSE last_modified END) AS s
+  FROM page_props p LEFT JOIN f USING (path) LEFT JOIN archives a USING (archive_key) WHERE last_modified IS NOT NULL AND prop_id IS NOT NULL),
+g AS (SELECT *, regexp_extract(s, '^D:(\d{4})(\d\d)?(\d\d)?(\d\d)?(\d\d)?(\d\d)?(.*)$', ['y', 'm', 'd', 'h', 'i', 'sec', 'tail']) AS a, regexp_extract(s, '^(\d{4})(\d\d)(\d\d)T?(\d\d)(\d\d)(\d\d)(.*)$', ['y', 'm', 'd', 'h', 'i', 'sec', 'tail']) AS b,
+  regexp_extract(s, '^(\d{4})-(\d+)-(\d+)(?:[T ](\d+):(\d+)(?::(\d+(?:\.\d+)?))?)?(.*)$', ['y', 'm', 'd', 'h', 'i', 'sec', 'tail']) AS c, regexp_extract(s, '^(\d+)[./](\d+)[./](\d{4})(?: +(\d+):(\d+)(?::(\d+))?)? *([AP]M)?(.*)$', ['d', 'm', 'y', 'h', 'i', 'sec', 'half', 'tail']) AS e,
+  regexp_extract(s, '^(?:[A-Za-z]+, )?(\d+) ([A-Z][a-z]+) (\d{4})(?: (\d+):(\d+)(?::(\d+))?)?(.*)$', ['d', 'm', 'y', 'h', 'i', 'sec', 'tail']) AS n, regexp_extract(s, '^([A-Z][a-z]+) (\d+), (\d{4})(?: (\d+):(\d+)(?::(\d+))?)? *([AP]M)?(.*)$', ['m', 'd', 'y', 'h', 'i', 'sec', 'half', 'tail']) AS u FROM t),
+p AS (SELECT prop_id, date_offset, tz, s, coalesce(nullif(a.y, ''), nullif(b.y, ''), nullif(c.y, ''), nullif(e.y, ''), nullif(n.y, ''), nullif(u.y, '')) AS y,
+  CASE WHEN a.y <> '' THEN a.m WHEN b.y <> '' THEN b.m WHEN c.y <> '' THEN c.m WHEN e.y <> '' THEN CASE WHEN day_first OR s LIKE '%.%.%' THEN e.m ELSE e.d END
+    ELSE CAST((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(left(n.m || u.m, 3))) + 2) // 3 AS VARCHAR) END AS m,
+  CASE WHEN a.y <> '' THEN a.d WHEN b.y <> '' THEN b.d WHEN c.y <> '' THEN c.d WHEN e.y <> '' THEN CASE WHEN day_first OR s LIKE '%.%.%' THEN e.d ELSE e.m END ELSE n.d || u.d END AS d,
+  a.h || CASE WHEN a.y = '' THEN b.h || c.h || e.h || n.h || u.h ELSE '' END AS h, a.i || CASE WHEN a.y = '' THEN b.i || c.i || e.i || n.i || u.i ELSE '' END AS i, a.sec || CASE WHEN a.y = '' THEN b.sec || c.sec || e.sec || n.sec || u.sec ELSE '' END AS sec,
+  e.half || u.half AS half, regexp_replace(a.tail || CASE WHEN a.y = '' THEN b.tail || c.tail || e.tail || n.tail || u.tail ELSE '' END, '[][ '':]', '', 'g') AS zone FROM g),
+l AS (SELECT *, TRY_CAST(y || '-' || lpad(coalesce(nullif(m, ''), '1'), 2, '0') || '-' || lpad(coalesce(nullif(d, ''), '1'), 2, '0') || ' ' || lpad(CAST(CASE half WHEN '' THEN CAST(coalesce(nullif(h, ''), '0') AS INTEGER) WHEN 'AM' THEN CAST(h AS INTEGER) % 12 ELSE CAST(h AS INTEGER) % 12 + 12 END AS VARCHAR), 2, '0')
+    || ':' || coalesce(nullif(i, ''), '00') || ':' || CASE WHEN sec = '' THEN '00' ELSE sec END AS TIMESTAMP) AS local,
+  CASE WHEN zone = '' THEN date_offset WHEN regexp_matches(zone, '^[+-]\d{2}(\d\d)?$') THEN CAST(left(zone, 1) || '1' AS INTEGER) * (60 * CAST(substr(zone, 2, 2) AS INTEGER) + CAST(coalesce(nullif(substr(zone, 4), ''), '0') AS INTEGER))
+    WHEN regexp_matches(zone, '^Z0+$') THEN 0 ELSE (SELECT minutes FROM z WHERE z.name = upper(zone)) END AS fixed,
+  CASE WHEN zone = '' THEN coalesce(tz, 'UTC') WHEN zone LIKE '%/%' THEN zone END AS named FROM p WHERE y IS NOT NULL),
+w AS (SELECT prop_id, local, fixed, named, timezone(named, local) AS inst FROM l WHERE local IS NOT NULL AND s <> '' AND NOT regexp_matches(s, '^\d+$')
+  UNION ALL SELECT prop_id, local, CASE WHEN named IS NULL THEN fixed ELSE date_offset END, named, timezone(named, local) FROM l WHERE local IS NOT NULL AND regexp_matches(s, '^\d{14}$'))
+SELECT prop_id, max(CASE WHEN fixed IS NOT NULL THEN epoch_us(local) - CAST(fixed AS BIGINT) * 60000000 WHEN timezone(named, inst - INTERVAL 1 HOUR) = local THEN epoch_us(inst) - 3600000000 ELSE epoch_us(inst) END) AS utc_us FROM w WHERE fixed IS NOT NULL OR named IS NOT NULL GROUP BY 1
+UNION ALL SELECT DISTINCT prop_id, CAST(s AS BIGINT) * CASE WHEN length(s) < 12 THEN 1000000 WHEN length(s) < 14 THEN 1000 ELSE 1 END FROM t WHERE regexp_matches(s, '^(\d{9,11}|\d{13}|\d{15,18})$')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_REFS} SELECT DISTINCT ref_table, ref_id, slot, strftime(at_time, '%Y-%m') AS ref_month FROM lost",
@@ -132,4 +175,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT n.ref_table, n.ref_month, n.n_refs, coalesce(m.n_orphans, 0) AS n_orphans FROM n LEFT JOIN m ON n.ref_table = m.ref_table AND n.ref_month IS NOT DISTINCT FROM m.ref_month""",
         "p3_found": _P3,
         "p4_found": _P4,
+        "p5_found": _P5,
     }

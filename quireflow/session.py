@@ -93,7 +93,7 @@ def forget(*tables: DataFrame) -> None:
     """Deletes the files behind results of :func:`cut` which nothing reads any more."""
     for df in tables:
         plan = df._jdf.queryExecution().logical()
-        file = plan.rdd().getCheckpointFile() if plan.nodeName() == "Scan ExistingRDD" else None
+        file = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
         if file is not None and file.isDefined():
             jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
             at = jvm.org.apache.hadoop.fs.Path(file.get())

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -141,6 +142,24 @@ def brute_feed(blocks, files):
     return sorted(out)
 
 
+def test_base_rows_come_last(spark):
+    changes = spark.createDataFrame([("a", 1, 0, "new", False), ("a", 1, 3, "old", False), ("b", 1, 2, None, True), (None, 1, 0, "x", False)], "p string, k int, ord int, v string, dead boolean")
+    base = spark.createDataFrame([("a", 1, "base", 5), ("b", 1, "base", 5), ("c", 1, "base", 5), (None, 1, "base", 5)], "p string, k int, v string, extra int")
+    got = changefeed.resolve_newest_first(changes, ["p", "k"], F.col("ord"), ["v"], F.col("dead"), F.col("ord"), base)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # only the base is moved
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1, "new"), ("c", 1, "base")]
+    assert sorted(r.p for r in changefeed.resolve_newest_first(changes.limit(0), ["p", "k"], F.col("ord"), ["v"], F.col("dead"), F.col("ord"), base).collect()) == ["a", "b", "c"]
+
+
+def test_checkpoints_of_rounds_are_deleted(spark, tmp_path):
+    blocks = spark.createDataFrame([(i, "p", i, i - 1 if i else None, [(1, 0, "plain", i, None, None)], T0, 0, "") for i in range(40)], BLOCKS)
+    files = spark.createDataFrame([("p", 39, T0, "")], FILES)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert changefeed.current_entries(blocks, files).collect()[0].byte_pos == 39
+    assert len(set(folder.iterdir()) - before) == 1
+
+
 def test_change_feed_against_brute_force(spark):
     rng = random.Random(5)
     blocks, files = [], []
@@ -229,3 +248,31 @@ def test_resolving(spark):
     assert got == {1: ["one", "x", None], 2: [], 3: None}
     one = resolve.resolve(df.select("i", "path", F.col("items")[0]["ref"].alias("r")).where("i = 1"), F.col("r"), objects, "v", "found", ["path"])
     assert one.columns == ["i", "path", "r", "found"] and one.first().found == "one"
+
+
+def test_estimated_zones_of_archives_whose_zone_is_known(spark):
+    """Held-out check: the estimate must find the offset history of each archive, from ingestion alone or from exact instants."""
+    rng = random.Random(11)
+    zones = ["Europe/Berlin", "America/New_York", "Asia/Tokyo", "UTC"]
+    rows = []
+    for i in range(4000):
+        zone = zones[i % 4]
+        utc = datetime(2015, 1, 1, tzinfo=ZoneInfo("UTC")) + timedelta(minutes=rng.randint(0, 5_000_000))
+        local = utc.astimezone(ZoneInfo(zone)).replace(tzinfo=None, fold=0)
+        us = lambda t: int(t.timestamp()) * 1_000_000
+        rows.append((zone, us(local.replace(tzinfo=ZoneInfo("UTC"))), us(utc), us(utc + timedelta(seconds=rng.randint(0, 3000)))))
+    df = spark.createDataFrame(rows, "zone_is string, local_us bigint, utc_us bigint, seen_us bigint")
+    exact = timestamps.estimate_zones(df, ["zone_is"], "local_us", "utc_us", zones, exact=True).collect()
+    assert all(r.zone == r.zone_is for r in exact) and len(exact) == 4 and max(r.n_violations for r in exact) <= 3
+    # ingestion bounds the instant from above only: zones further west would come after it, so the westernmost that fits is meant
+    west = ["America/New_York", "UTC", "Europe/Berlin", "Asia/Tokyo"]
+    late = timestamps.estimate_zones(df, ["zone_is"], "local_us", "seen_us", west).collect()
+    assert all(r.zone == r.zone_is for r in late) and len(late) == 4
+
+
+def test_local_time_and_source_of_the_zone(spark):
+    rows = [("2020-07-01 12:00 +02:00", 60, "Asia/Tokyo"), ("2020-07-01 12:00", 60, "Asia/Tokyo"), ("2020-07-01 12:00", None, "Asia/Tokyo"), ("2020-07-01 12:00", None, None), ("1593604800", 60, None), ("nothing", 60, "UTC"), (None, None, None)]
+    df = spark.createDataFrame(rows, "t string, o int, z string").withColumn("f", F.lit(True))
+    got = timestamps.normalise_timestamps(df, "t", "o", "z", "f", local="local_us", source="from").collect()
+    noon = 1593604800 * 1_000_000
+    assert [(r["from"], r.local_us, None if r.utc_us is None else (noon - r.utc_us) // 3_600_000_000) for r in got] == [("text", noon, 2), ("offset", noon, 1), ("zone", noon, 9), ("none", noon, 0), ("epoch", None, 0), (None, None, None), (None, None, None)]

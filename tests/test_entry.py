@@ -1,5 +1,6 @@
 """The driver's contract: names, SQL agreement on the smallest data, independence of the optional package."""
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -53,7 +54,14 @@ def test_core_lives_without_the_text_package():
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
     assert "fine" in done.stdout, done.stderr
     core = [p for p in (Path(entry.__file__).parent / "quireflow").rglob("*.py") if "llm" not in p.parts]
-    assert core and not any("quireflow.llm" in p.read_text() and "import quireflow.llm" in p.read_text() for p in core)
+    assert core and not any(re.search(r"(import|from)\s+quireflow\.llm|from\s+quireflow\s+import\s+.*\bllm\b|import_module\(.*llm", p.read_text()) for p in core)
+
+
+def test_only_the_text_package_itself_may_be_missing():
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; e.queries()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    there = (Path(entry.__file__).parent / "quireflow" / "llm").exists()
+    assert (done.returncode != 0 and "regex" in done.stderr) if there else done.returncode == 0
 
 
 def test_checkpoints_go_to_the_set_folder(spark):

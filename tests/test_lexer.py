@@ -18,7 +18,8 @@ def read(b):
     ("data", "want"),
     [
         (b"true", True), (b"false", False), (b"null", None), (b"12", 12), (b"+17", 17), (b"-98", -98), (b"0007", 7), (b"34.5", 34.5), (b"-3.62", -3.62), (b"4.", 4.0), (b".5", 0.5), (b"-.002", -0.002),
-        (b"/Name1", b"Name1"), (b"/A;Name_With-Various***Characters?", b"A;Name_With-Various***Characters?"), (b"/1.2", b"1.2"), (b"/$$", b"$$"), (b"/lime#20Green", b"lime Green"), (b"/paired#28#29x", b"paired()x"), (b"/A#42", b"AB"), (b"/", b""),
+        # fixed values: the examples of the public standard
+        (b"/Name1", b"Name1"), (b"/A;Name_With-Various***Characters?", b"A;Name_With-Various***Characters?"), (b"/1.2", b"1.2"), (b"/$$", b"$$"), (b"/Lime#20Green", b"Lime Green"), (b"/paired#28#29parentheses", b"paired()parentheses"), (b"/The_Key_of_F#23_Minor", b"The_Key_of_F#_Minor"), (b"/A#42", b"AB"), (b"/", b""),
         (b"/A)", b"A"), (b"/A{", b"A"), (b"/A%c", b"A"),
         (b"(simple)", b"simple"), (b"(a(b)c)", b"a(b)c"), (b"()", b""), (b"(\\101\\7x)", b"A\x07x"), (b"(\\0533)", b"+3"), (b"(a\\\nb)", b"ab"), (b"(a\\\r\nb)", b"ab"), (b"(a\r\nb\rc)", b"a\nb\nc"), (b"(\\\\)", b"\\"),
         (b"(a\\tb)", b"a\tb"), (b"(\\b\\f)", b"\x08\x0c"), (b"(\\q)", b"q"), (b"(\\777)", b"\xff"),
@@ -176,3 +177,34 @@ def test_object_stream():
 def test_nodes_are_depth_first():
     rows = structure.nodes(b"<</A[1 2.5]/B 3 0 R>>")
     assert [(r[0], r[1], r[2], r[3], r[4]) for r in rows] == [(0, None, None, None, "dictionary"), (1, 0, b"A", None, "array"), (2, 1, None, 0, "integer"), (3, 1, None, 1, "real"), (4, 0, b"B", None, "ref")]
+
+
+def _values():
+    plain = st.none() | st.booleans() | st.integers(-(10**20), 10**20) | st.binary(max_size=12) | st.builds(lexer.Name, st.binary(max_size=8)) | st.builds(lexer.Ref, st.integers(0, 99), st.integers(0, 9))
+    return st.recursive(plain, lambda x: st.lists(x, max_size=4) | st.dictionaries(st.builds(lexer.Name, st.binary(max_size=5)), x, max_size=4), max_leaves=12)
+
+
+@given(_values())
+def test_values_are_written_and_read_again(v):
+    written = lexer.syntax(v)
+    back, end = lexer.value(written)
+    assert back == v and type(back) is type(v) and end == len(written)
+
+
+def test_reals_are_written_and_read_again():
+    for x in (0.5, -2.25, 100.0, 1e-9):
+        assert lexer.value(lexer.syntax(x))[0] == x
+    with pytest.raises(TypeError):
+        lexer.syntax(object())
+
+
+def test_nesting_has_no_bound():
+    deep = b"[" * 20_000 + b"<</A 1>>" + b"]" * 20_000
+    v, end = lexer.value(deep)
+    assert end == len(deep)
+    for _ in range(20_000):
+        v = v[0]
+    assert v == {b"A": 1}
+    for bad in (b"[1", b"<</A 1", b"<</A>>", b"<<1 2>>", b"]", b"[>>]"):
+        with pytest.raises(lexer.SyntaxProblem):
+            lexer.value(bad)
