@@ -13,14 +13,17 @@ from typing import NamedTuple
 
 WS = rb"\x00\t\n\x0c\r "
 _DELIM = rb"()<>\[\]{}/%"
-_SKIP = re.compile(rb"(?:[" + WS + rb"]+|%[^\r\n]*)*")
+_SKIP = re.compile(rb"(?:[" + WS + rb"]++|%[^\r\n]*+)*+")
+_NEXT = rb"(?=[" + WS + _DELIM + rb"]|$)"
+#: The next token behind white space and comments; a reference is one token.
 _TOKEN = re.compile(
-    rb"(?P<num>[+-]?(?:\d+\.?\d*|\.\d+)(?=[" + WS + _DELIM + rb"]|$))"
+    rb"(?:[" + WS + rb"]++|%[^\r\n]*+)*+(?:"  # possessive: nothing is tried twice
+    rb"(?P<ref>(\d++)[" + WS + rb"]++(\d++)[" + WS + rb"]++R" + _NEXT + rb")"
+    rb"|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+)" + _NEXT + rb")"
     rb"|(?P<name>/[^" + WS + _DELIM + rb"]*)"
     rb"|(?P<dict><<)|(?P<hex><)|(?P<lit>\()|(?P<arr>\[)|(?P<end>>>|[\]>)}{])"
-    rb"|(?P<word>[^" + WS + _DELIM + rb"]+)"
+    rb"|(?P<word>[^" + WS + _DELIM + rb"]+))"
 )
-_REF = re.compile(rb"(\d+)[" + WS + rb"]+(\d+)[" + WS + rb"]+R(?=[" + WS + _DELIM + rb"]|$)")
 _LIT_STOP = re.compile(rb"[()\\\r]")
 _HASH = re.compile(rb"#([0-9A-Fa-f]{2})")
 _NEWLINE = re.compile(rb"\r\n?|\n")
@@ -118,51 +121,52 @@ _WORDS = {b"true": True, b"false": False, b"null": None}
 
 def value(data: bytes, at: int = 0) -> tuple[object, int]:
     """(value, place behind) of the next object, nested as deep as it is; a keyword that is none raises."""
+    match = _TOKEN.match
     opened: list[list | dict] = []
     keys: list[bytes | None] = []
+    inside: list | dict | None = None
+    v: object
     while True:
-        at = skip(data, at)
-        inside = opened[-1] if opened else None
-        if inside is not None and data.startswith(b"]" if isinstance(inside, list) else b">>", at):
-            at += 1 if isinstance(inside, list) else 2
-            v: object = opened.pop()
-            if keys.pop() is not None:
-                raise SyntaxProblem("a key without a value")
-        else:
-            m = _TOKEN.match(data, at)
-            if m is None:
-                raise SyntaxProblem("no value")
-            kind = m.lastgroup
-            if isinstance(inside, dict) and keys[-1] is None:
-                if kind != "name":
-                    raise SyntaxProblem("a key is no name")
-                keys[-1] = name_value(m[0])
-                at = m.end()
-                continue
-            if kind in ("arr", "dict"):
-                opened.append([] if kind == "arr" else {})
-                keys.append(None)
-                at = m.end()
+        m = match(data, at)
+        if m is None:
+            raise SyntaxProblem("no value")
+        kind, at = m.lastgroup, m.end()
+        if kind == "name":
+            token = m["name"]
+            v = Name(token[1:]) if b"#" not in token else name_value(token)
+            if inside.__class__ is dict and keys[-1] is None:
+                keys[-1] = v
                 continue
-            if kind == "num":
-                r = _REF.match(data, at)
-                v, at = (Ref(int(r[1]), int(r[2])), r.end()) if r else (number(m[0]), m.end())
-            elif kind == "name":
-                v, at = name_value(m[0]), m.end()
-            elif kind == "lit":
-                v, at = literal_string(data, at)
-            elif kind == "hex":
-                v, at = hex_string(data, at)
-            elif kind == "word" and m[0] in _WORDS:
-                v, at = _WORDS[m[0]], m.end()
-            else:
-                raise SyntaxProblem(f"no value: {m[0][:20]!r}")
-        if not opened:
+        elif kind == "end":
+            if inside is None or m["end"] != (b"]" if inside.__class__ is list else b">>") or keys.pop() is not None:
+                raise SyntaxProblem(f"no value: {m['end']!r}")
+            v = opened.pop()
+            inside = opened[-1] if opened else None
+        elif inside.__class__ is dict and keys[-1] is None:
+            raise SyntaxProblem("a key is no name")
+        elif kind == "ref":
+            v = Ref(int(m[2]), int(m[3]))
+        elif kind == "num":
+            v = number(m["num"])
+        elif kind == "arr" or kind == "dict":
+            inside = [] if kind == "arr" else {}
+            opened.append(inside)
+            keys.append(None)
+            continue
+        elif kind == "lit":
+            v, at = literal_string(data, at - 1)
+        elif kind == "hex":
+            v, at = hex_string(data, at - 1)
+        elif m["word"] in _WORDS:
+            v = _WORDS[m["word"]]
+        else:
+            raise SyntaxProblem(f"no value: {m['word'][:20]!r}")
+        if inside is None:
             return v, at
-        if isinstance(opened[-1], list):
-            opened[-1].append(v)
+        if inside.__class__ is list:
+            inside.append(v)  # type: ignore[union-attr]
         else:
-            opened[-1][keys[-1]] = v  # type: ignore[index]
+            inside[keys[-1]] = v  # type: ignore[index]
             keys[-1] = None
 
 
@@ -213,7 +217,7 @@ def raw_dictionary(data: bytes, at: int = 0) -> tuple[dict[bytes, bytes], int]:
         if k is None or k.lastgroup != "name":
             raise SyntaxProblem("a key is no name")
         begin, at = extent(data, k.end())
-        out[bytes(name_value(k[0]))] = data[begin:at]
+        out[bytes(name_value(k["name"]))] = data[begin:at]
 
 
 class Indirect(NamedTuple):
@@ -230,17 +234,23 @@ _STREAM = re.compile(rb"stream(?:\r\n|\n|\r)")
 _END = re.compile(rb"endobj(?=[" + WS + _DELIM + rb"]|$)")
 
 
-def indirect(data: bytes, at: int) -> Indirect:
-    """The indirect object at a place; white space behind ``obj`` and before ``endobj`` is optional."""
+def indirect_value(data: bytes, at: int) -> tuple[Indirect, object]:
+    """(indirect object, its value) at a place; white space behind ``obj`` and before ``endobj`` is optional."""
     m = _HEAD.match(data, skip(data, at))
     if m is None:
         raise SyntaxProblem("no indirect object")
-    begin, end = extent(data, m.end())
+    begin = skip(data, m.end())
+    v, end = value(data, begin)
     behind = skip(data, end)
-    s = _STREAM.match(data, behind) if data[begin : begin + 2] == b"<<" else None
+    s = _STREAM.match(data, behind) if isinstance(v, dict) else None
     if s is None and not _END.match(data, behind):
         raise SyntaxProblem("endobj is missing")
-    return Indirect(int(m[1]), int(m[2]), data[begin:end], s.end() if s else None)
+    return Indirect(int(m[1]), int(m[2]), data[begin:end], s.end() if s else None), v
+
+
+def indirect(data: bytes, at: int) -> Indirect:
+    """The indirect object at a place, without its value."""
+    return indirect_value(data, at)[0]
 
 
 def stream_bytes(data: bytes, at: int, length: object) -> bytes:
@@ -326,32 +336,40 @@ def operations(data: bytes, more: dict[bytes, tuple[str, str]] | None = None) ->
     out: list[Operation] = []
     operands: list[object] = []
     at = begin = skip(data, 0)
-    n = len(data)
+    n, match = len(data), _TOKEN.match
     while at < n:
-        m = _TOKEN.match(data, at)
+        m = match(data, at)
         if m is None:
             break
         kind = m.lastgroup
-        if kind == "num" and m.end() - at <= 300:
-            operands.append(number(m[0]))
-            at = skip(data, m.end())
-            continue
-        if kind == "word" and m[0] not in (b"true", b"false", b"null"):
+        if kind == "num" and len(m["num"]) <= 300:
+            operands.append(number(m["num"]))
+            at = m.end()
+        elif kind == "name":
+            operands.append(name_value(m["name"]))
+            at = m.end()
+        elif kind == "word" and m["word"] not in _WORDS:
             at = m.end()
-            if m[0] == b"BI":
+            if m["word"] == b"BI":
                 at = _image(data, at)
                 out.append(Operation("BI", "unimplemented", None, None, None, None, data[begin:at], None))
             else:
-                out.append(_operation(m[0], operands, data[begin:at], more))
+                out.append(_operation(m["word"], operands, data[begin:at], more))
             operands = []
             at = begin = skip(data, at)
-            continue
-        try:
-            v, at = value(data, at)
-        except SyntaxProblem:
-            break
-        operands.append(v)
-        at = skip(data, at)
+        elif kind == "lit":
+            try:
+                v, at = literal_string(data, m.end() - 1)
+            except SyntaxProblem:
+                break
+            operands.append(v)
+        else:
+            try:
+                v, at = value(data, at)
+            except SyntaxProblem:
+                break
+            operands.append(v)
+    at = skip(data, at)
     return out, begin if at < n or operands else n
 
 

@@ -96,8 +96,7 @@ def _section(data: bytes, at: int, order: int) -> Section:
         trailer, _ = lexer.value(data, behind + 7)
         kind = "table"
     else:
-        found = lexer.indirect(data, at)
-        trailer, _ = lexer.value(found.raw)
+        found, trailer = lexer.indirect_value(data, at)
         if found.stream_at is None or not isinstance(trailer, dict):
             raise SyntaxProblem("no cross-reference section")
         plain = codecs.decode(lexer.stream_bytes(data, found.stream_at, trailer.get(b"Length")), trailer.get(b"Filter"), trailer.get(b"DecodeParms"))
@@ -161,6 +160,7 @@ class File:
         self.data, self.decoders = data, decoders
         self.at = {(e.obj, e.gen): e for e in entries if e.kind != "free"}
         self.streams: dict[int, dict[int, bytes]] = {}
+        self.values: dict[Ref, object] = {}
 
     def deref(self, v: object) -> object:
         """``v``, or what it points to, over any number of references; a ring of them raises."""
@@ -169,16 +169,16 @@ class File:
             if v in seen:
                 raise SyntaxProblem("a ring of references")
             seen.add(v)
-            e = self.at.get((v.obj, v.gen))
-            if e is None:
-                return None
-            v, _ = lexer.value(lexer.indirect(self.data, e.offset).raw if e.kind == "plain" else self.member(e))  # type: ignore[arg-type]
+            if v not in self.values:
+                e = self.at.get((v.obj, v.gen))
+                if e is None:
+                    return None
+                self.values[v] = lexer.indirect_value(self.data, e.offset)[1] if e.kind == "plain" else lexer.value(self.member(e))[0]  # type: ignore[arg-type]
+            v = self.values[v]
         return v
 
-    def content(self, found: lexer.Indirect) -> bytes:
-        """The decoded bytes of a stream; its length, filters and their settings may be references."""
-        d, _ = lexer.value(found.raw)
-        assert isinstance(d, dict)
+    def content(self, found: lexer.Indirect, d: dict) -> bytes:
+        """The decoded bytes of a stream with its dictionary; its length, filters and their settings may be references."""
         get = lambda k: self.deref(d.get(k))
         filters = get(b"Filter")
         filters = [self.deref(f) for f in filters] if isinstance(filters, list) else filters
@@ -191,12 +191,11 @@ class File:
             e = self.at.get((stream_id, 0))
             if e is None or e.kind != "plain":
                 raise SyntaxProblem("the object stream is missing")
-            found = lexer.indirect(self.data, e.offset)  # type: ignore[arg-type]
-            d, _ = lexer.value(found.raw)
+            found, d = lexer.indirect_value(self.data, e.offset)  # type: ignore[arg-type]
             if found.stream_at is None or not isinstance(d, dict):
                 raise SyntaxProblem("no object stream")
             parent = d.get(b"Extends")
-            own = split_members(self.content(found), self.deref(d.get(b"N")), self.deref(d.get(b"First")))
+            own = split_members(self.content(found, d), self.deref(d.get(b"N")), self.deref(d.get(b"First")))
             self.streams[stream_id] = (self.members(parent.obj) if isinstance(parent, Ref) else {}) | own
         return self.streams[stream_id]
 
@@ -212,13 +211,13 @@ class File:
             if e.kind == "compressed":
                 raw = self.member(e)
                 return Found(e.obj, e.gen, kind_of(lexer.value(raw)[0]), raw, None, None)
-            found = lexer.indirect(self.data, e.offset)  # type: ignore[arg-type]
+            found, v = lexer.indirect_value(self.data, e.offset)  # type: ignore[arg-type]
             if (found.obj, found.gen) != (e.obj, e.gen):
                 return Found(e.obj, e.gen, None, None, None, f"the entry leads to object {found.obj} {found.gen}")
             if found.stream_at is None:
-                return Found(e.obj, e.gen, kind_of(lexer.value(found.raw)[0]), found.raw, None, None)
+                return Found(e.obj, e.gen, kind_of(v), found.raw, None, None)
             try:
-                return Found(e.obj, e.gen, "stream", found.raw, self.content(found), None)
+                return Found(e.obj, e.gen, "stream", found.raw, self.content(found, v), None)  # type: ignore[arg-type]
             except SyntaxProblem as problem:
                 return Found(e.obj, e.gen, "stream", found.raw, None, str(problem))
         except (SyntaxProblem, TypeError, ValueError, RecursionError) as problem:
@@ -339,9 +338,9 @@ def pages(file: File, root: Ref | None) -> list[dict]:
                 "media_box": _box(file, own.get(b"MediaBox")), "crop_box": _box(file, own.get(b"CropBox")), "rotate": rotate if rotate in ROTATIONS and not isinstance(rotate, bool) else None,
                 "user_unit": float(unit) if isinstance(unit, (int, float)) else 1.0, "resources": resources if isinstance(resources, Ref) else None,
                 "fonts": {k.decode("latin-1"): v for k, v in fonts.items() if isinstance(v, Ref)} if isinstance(fonts, dict) else {}, "contents": [c for c in contents if isinstance(c, Ref)],
-                "direct_resources": lexer.syntax(resources) if isinstance(resources, dict) else None,
-                "direct_fonts": {k.decode("latin-1"): lexer.syntax(v) for k, v in fonts.items() if isinstance(v, dict)} if isinstance(fonts, dict) else {},
-                "own": {k.decode("latin-1"): lexer.syntax(v) for k, v in d.items()},
+                "direct_resources": resources if isinstance(resources, dict) else None,
+                "direct_fonts": {k.decode("latin-1"): v for k, v in fonts.items() if isinstance(v, dict)} if isinstance(fonts, dict) else {},
+                "own": {k.decode("latin-1"): v for k, v in d.items()},
             }
             if rotate is not None and row["rotate"] is None:
                 row["error"] = "unknown rotation"
@@ -359,10 +358,10 @@ def page_content(file: File, contents: list[Ref]) -> tuple[bytes | None, str | N
             e = file.at.get((ref.obj, ref.gen))
             if e is None or e.kind != "plain":
                 raise SyntaxProblem("a content stream is missing")
-            found = lexer.indirect(file.data, e.offset)  # type: ignore[arg-type]
+            found, d = lexer.indirect_value(file.data, e.offset)  # type: ignore[arg-type]
             if found.stream_at is None:
                 raise SyntaxProblem("the content is no stream")
-            parts.append(file.content(found))
+            parts.append(file.content(found, d))  # type: ignore[arg-type]
         except (SyntaxProblem, TypeError, ValueError) as problem:
             return None, str(problem)
     return b"\n".join(parts), None

@@ -131,8 +131,8 @@ def _pages(f: _Opened) -> Iterator[tuple]:
     for r in rows:
         g = r.get
         yield (
-            r["page_ord"], r["obj"], r["gen"], box(g("media_box")), box(g("crop_box")), g("rotate"), g("user_unit"), _ref(g("resources")), g("direct_resources"),
-            [(k, _ref(v)) for k, v in g("fonts", {}).items()], list(g("direct_fonts", {}).items()), [_ref(x) for x in g("contents", [])], r["error"],
+            r["page_ord"], r["obj"], r["gen"], box(g("media_box")), box(g("crop_box")), g("rotate"), g("user_unit"), _ref(g("resources")), lexer.syntax(g("direct_resources")) if g("direct_resources") is not None else None,
+            [(k, _ref(v)) for k, v in g("fonts", {}).items()], [(k, lexer.syntax(v)) for k, v in g("direct_fonts", {}).items()], [_ref(x) for x in g("contents", [])], r["error"],
         )
     if error:
         yield (*[None] * 12, error)
@@ -141,7 +141,7 @@ def _pages(f: _Opened) -> Iterator[tuple]:
 def _own(f: _Opened) -> Iterator[tuple]:
     rows, error = f.pages()
     for r in rows:
-        yield r["page_ord"], r["obj"], r["gen"], list(r.get("own", {}).items()), r["error"]
+        yield r["page_ord"], r["obj"], r["gen"], [(k, lexer.syntax(v)) for k, v in r.get("own", {}).items()], r["error"]
     if error:
         yield (*[None] * 4, error)
 

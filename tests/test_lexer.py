@@ -208,3 +208,10 @@ def test_nesting_has_no_bound():
     for bad in (b"[1", b"<</A 1", b"<</A>>", b"<<1 2>>", b"]", b"[>>]"):
         with pytest.raises(lexer.SyntaxProblem):
             lexer.value(bad)
+
+
+def test_white_space_at_the_end_is_read_once():
+    for data in (b"1 2" + b" " * 200_000, b"(" + b"%" * 100_000, b"1" * 200 + b" " * 50_000, b"% x\n" * 50_000):
+        assert lexer.operations(data)[0] == []
+        with pytest.raises(SyntaxProblem):
+            lexer.value(data + b"]" if data[:1] == b"%" else b"[" + data)
