@@ -253,3 +253,28 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = f"{TOKENI
     value = "n_tokens bigint" if only_sizes else "ids array<int>"
     slim = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     return slim.mapInArrow(run, f"key {kind}, {value}").withColumnRenamed("key", key)
+
+
+def token_bytes(path: str | Path) -> list[bytes]:
+    """The bytes of each id of a byte-level tokenizer file; special tokens and gaps have none."""
+    if str(path).endswith(".tiktoken"):
+        ids = {int(rank): base64.b64decode(word) for word, rank in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
+    else:
+        byte_of = {letter: b for b, letter in enumerate(_byte_letters())}
+        vocabulary = json.loads(Path(path).read_text(encoding="utf-8"))["model"]["vocab"]
+        ids = {i: bytes(byte_of[ch] for ch in word) for word, i in vocabulary.items() if all(ch in byte_of for ch in word)}
+    return [ids.get(i, b"") for i in range(max(ids) + 1)]
+
+
+def decode_corpus(df: DataFrame, key: str, ids: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """(key, text) of every row: what the ids stand for, U+FFFD for bytes that are no UTF-8. Null ids give null, empty ones the empty text."""
+    shared = df.sparkSession.sparkContext.broadcast(token_bytes(tokenizer))
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for b in batches:
+            texts = [None if row is None else b"".join(map(of.__getitem__, row)).decode("utf-8", "replace") for row in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["key", "text"])
+
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{ids}`").alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)

@@ -24,6 +24,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the ids of p6_ids stand for: an exact round trip."""
+    return bpe.decode_corpus(p6_ids(spark, d), "doc_id", "ids")
+
+
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sizes of the documents, specs, containers)."""
     # the sizes are needed twice (to count the items, to pack them) and are a few bytes a row
@@ -77,8 +82,8 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_repaired, p6_ids, p7_containers, p7_fill, p7_valid, p8_found, p8_languages, p8_passages)}
+    return {f.__name__: f for f in (p2_found, p2_repaired, p6_ids, p6_decoded, p7_containers, p7_fill, p7_valid, p8_found, p8_languages, p8_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_valid": _P7_VALID}
+    return {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents", "p7_valid": _P7_VALID}

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quireflow.llm.bpe import PATTERN, TOKENIZERS, Encoder, Merges, encode_corpus
+from quireflow.llm.bpe import PATTERN, TOKENIZERS, Encoder, Merges, decode_corpus, encode_corpus
 
 FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
@@ -69,3 +69,13 @@ def test_frames(spark, theirs):
     sizes = {r.doc_id: r.n_tokens for r in encode_corpus(df, "doc_id", "text", only_sizes=True).collect()}
     assert sizes == {k: len(theirs([t])[0]) if t else 0 for k, t, _ in rows}
     assert encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_ids_stand_for_the_texts(spark):
+    rows = [(1, "naïve 日本 <|endoftext|>\n"), (2, ""), (3, None), (None, "x" * 3000), (1, "twice"), (1, "twice")]
+    df = spark.createDataFrame(rows, "key bigint, text string")
+    for file in (FILE, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"):
+        got = decode_corpus(encode_corpus(df, "key", "text", file), "key", "ids", file).collect()
+        assert sorted(map(str, ((r.key, r.text) for r in got))) == sorted(map(str, ((k, t or "") for k, t in rows)))
+    empty = spark.createDataFrame([(1, None)], "key int, ids array<int>")
+    assert decode_corpus(empty, "key", "ids").first().text is None and decode_corpus(empty.limit(0), "key", "ids").count() == 0
