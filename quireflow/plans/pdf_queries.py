@@ -480,7 +480,9 @@ def text_object_problems(spark: SparkSession, d: str) -> DataFrame:
 def customer_corpus(spark: SparkSession, d: str) -> Corpus:
     """The customers as files: one for every nation and hundred keys, a page for each customer."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.floor(F.col("c_custkey") / 100).alias("part"), F.struct("c_custkey", "c_name", "c_mktsegment").alias("p"))
-    g = c.groupBy("nation", "part").agg(F.collect_list("p").alias("people"))
+    # a number of partitions of our own: small rows that mean much work would be merged into one task
+    spread = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "nation", "part")
+    g = spread.groupBy("nation", "part").agg(F.collect_list("p").alias("people"))
 
     def write(nation: int, people: list) -> bytes:
         return writing.customer_file(nation, [(p["c_custkey"], p["c_name"], p["c_mktsegment"]) for p in people])
